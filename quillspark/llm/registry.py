@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import kdtree
+from quillspark.llm import fingerprint, kdtree, pii
 
 
 def queries() -> dict:
     return {
+        "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
+        "op7_pii": pii.op7_pii,
         "op8_kd_tree_sharding": kdtree.op8_kd_tree_sharding,
     }
 
