@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from quillspark.llm import fingerprint, kdtree, pii
+from quillspark.llm import fingerprint, kdtree, langid, nbsvm, pii, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+        "op4_quality_classifier": nbsvm.op4_quality_classifier,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_document_fingerprints": fingerprint.op6_document_fingerprints,
         "op7_pii": pii.op7_pii,
         "op8_kd_tree_sharding": kdtree.op8_kd_tree_sharding,
+        "op9_language_id": langid.op9_language_id,
     }
 
 
