@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import fingerprint, kdtree, langid, nbsvm, pii, simhash, toxicity
+from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, nbsvm, pii, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_chat_formatting": chat.op1_chat_formatting,
+        "op2_decontamination": decontaminate.op2_decontamination,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
         "op4_quality_classifier": nbsvm.op4_quality_classifier,
         "op5_toxicity": toxicity.op5_toxicity,
