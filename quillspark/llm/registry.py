@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, nbsvm, pii, simhash, toxicity
+from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, mixing, nbsvm, pii, simhash, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_pii": pii.op7_pii,
         "op8_kd_tree_sharding": kdtree.op8_kd_tree_sharding,
         "op9_language_id": langid.op9_language_id,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
