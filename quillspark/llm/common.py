@@ -44,6 +44,26 @@ def keep_only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Ids are broadcast up to so many (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def _by_id(rows: DataFrame, ids: DataFrame, id_col: str, kind: str) -> DataFrame:
+    listed = ids.select(F.col(ids.columns[0]).alias(id_col))
+    small = listed.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(listed) if small else listed, id_col, kind)
+
+
+def anti_by_id(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is not listed (null ids stay); columns and their order are kept."""
+    return _by_id(rows, ids, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def semi_by_id(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is listed."""
+    return _by_id(rows, ids, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def hash_mod(col: str, n: int) -> Column:
     """crc32 of a column's text form, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

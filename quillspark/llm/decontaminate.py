@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import anti_by_id, materialize, table
 
 NGRAM = 3
 RARE_SHARE = 0.0005
@@ -244,5 +244,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without the documents in which an item of the benchmark is found."""
+    return anti_by_id(docs, materialize(leaks(docs, benchmark, min_score).select("doc_id").distinct(), "leaks-gone"), "doc_id")
+
+
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import anti_by_id, materialize, table
 
 MAX_TRAIN = 20_000
 BUCKETS = 1 << 15
@@ -194,6 +194,33 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_t
     return rows.select("doc_id", "tokens", likeliest.alias("domain"), *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)], rate.alias("rate"))
 
 
+def thin(docs: DataFrame, labelled: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """``docs`` without some documents of the domains in ``shares``, so that each of these has at
+    most that share of the mix's expected tokens; the other domains keep what they have.
+
+    A document goes if its likeliest domain is one to be thinned and a hash of its id, as
+    a number from 0 to 1, is not below its rate; all columns are kept."""
+    model = learn(docs, labelled)
+    domains = model["domains"]
+    if not set(domains) & set(shares) or not set(domains) - set(shares):
+        return docs
+    rows = materialize(posteriors(docs, model), "mix-posteriors")
+    k = len(domains)
+    now = [float(x or 0) for x in rows.agg(*[F.sum(F.col("tokens") * F.col(f"p_{i}")) for i in range(k)]).first()]
+    rest = sum(x for x, d in zip(now, domains, strict=True) if d not in shares)
+    whole = rest / max(1e-9, 1 - sum(shares[d] for d in domains if d in shares))
+    aims = [min(x, shares[d] * whole) if d in shares else x for x, d in zip(now, domains, strict=True)]
+    rate, _ = rates(rows, aims)
+    top = F.greatest(*[F.col(f"p_{i}") for i in range(k)])
+    excess = F.lit(False)
+    for i, d in enumerate(domains):
+        if d in shares:
+            excess = excess | ((F.col(f"p_{i}") == top) & (F.col(f"p_{i}") > 0.5))
+    chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
+    gone = rows.where(excess & (chance >= rate)).select("doc_id").distinct()
+    return anti_by_id(docs, materialize(gone, "mix-gone"), "doc_id")
+
+
 def label_domains(labels: DataFrame) -> DataFrame:
     """The domain that a row of ``labels`` puts its document in."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean").alias("domain"))

@@ -198,6 +198,18 @@ def scored(docs: DataFrame, model: bytes, score_text, threshold: float) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def rejected(docs: DataFrame, model: bytes, score_text, threshold: float) -> DataFrame:
+    """``docs`` without the rows that score the threshold or more; all columns are kept."""
+    import pickle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pickle.loads(model)
+        for b in batches:
+            yield b.filter(pa.array([score_text(t, known) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", may_learn=None, most: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
     """doc_id, score, predicted; ``may_learn`` is a condition on the labels' doc_id."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, most)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, mixing, nbsvm, pii, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_chat_formatting": chat.op1_chat_formatting,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
@@ -21,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import anti_by_id, materialize, semi_by_id
 from quillspark.llm.components import connected_components
 
 SEED = 42
@@ -66,16 +66,28 @@ def simhash(text: bytes, words: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, ascending."""
+    w = text.lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(w) - words + 1)
+    tuples = zip(*[w[i:] for i in range(words)], strict=False) if n > 1 else [w]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, tuples)), np.uint64))
+
+
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, fp (the fingerprint's bits as a signed long), sig (a hash of the word sequence)."""
     raw = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(bytes(t), words) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            texts = b.column("text").to_pylist()
+            fp = np.array([simhash(t, words) for t in texts], np.uint64)
+            sig = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED + 1) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64))], ["doc_id", "fp", "sig"])
 
-    return raw.mapInArrow(run, "doc_id long, fp long")
+    return raw.mapInArrow(run, "doc_id long, fp long, sig long")
 
 
 # --- parts and thresholds ---------------------------------------------------
@@ -253,9 +265,33 @@ def forest(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def links(fp: np.ndarray, role: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one run, all or (in a dense one) its spanning forest, as fingerprints."""
-    probe, index = fp[role >= 2], fp[(role & 1) == 1]
+def cover(probe: np.ndarray, index: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of hubs in a dense run: again and again of the fingerprint with most links among
+    those that no hub links yet, until every fingerprint with a link has a hub."""
+    u = np.unique(np.concatenate([probe, index]))
+    degree = np.zeros(len(u), np.int64)
+    rows = max(1, (1 << 22) // len(index))
+    for at in range(0, len(probe), rows):
+        near = np.bitwise_count(probe[at:at + rows, None] ^ index[None, :]) <= tau
+        np.add.at(degree, np.searchsorted(u, probe[at:at + rows]), near.sum(1))
+        np.add.at(degree, np.searchsorted(u, index), near.sum(0))
+    free = degree > 0
+    a, b = [], []
+    while free.any():
+        x = int(np.argmax(np.where(free, degree, -1)))
+        near = np.nonzero(np.bitwise_count(u ^ u[x]) <= tau)[0]
+        near = near[near != x]
+        free[x] = False
+        free[near] = False
+        a.append(np.full(len(near), u[x])), b.append(u[near])
+    none = np.zeros(0, np.uint64)
+    x, y = np.concatenate([none, *a]), np.concatenate([none, *b])
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def links(fp: np.ndarray, role: np.ndarray, tau: int, hubs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one run, all or (in a dense one) its spanning forest or its hubs', as fingerprints."""
+    probe, index = np.unique(fp[role >= 2]), np.unique(fp[(role & 1) == 1])
     none = np.zeros(0, np.uint64)
     if not len(probe) or not len(index) or (len(fp) == 1):
         return none, none
@@ -271,14 +307,18 @@ def links(fp: np.ndarray, role: np.ndarray, tau: int) -> tuple[np.ndarray, np.nd
         pa_.append(np.minimum(x, y)), pb_.append(np.maximum(x, y))
         found += len(x)
         if found > most:
+            if hubs:
+                return cover(probe, index, tau)
             u = np.unique(fp)
             i, j = forest(u, tau)
             return u[i], u[j]
     return np.concatenate(pa_), np.concatenate(pb_)
 
 
-def near_pairs(distinct: DataFrame, tau: int, m: int | None = None) -> DataFrame:
-    """a, b, d: pairs of distinct fingerprints that link within ``tau`` bits (see 5 above)."""
+def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int | None = None, hubs: bool = False) -> DataFrame:
+    """a, b, d: pairs of distinct fingerprints that link within ``tau`` bits (see 5 above).
+
+    Pairs that meet at up to ``accept`` bits, if that is more, are given as well."""
     n, both = bit_counts(distinct)
     if m is None:
         m = 5 if n < 1 << 21 else 4
@@ -300,7 +340,7 @@ def near_pairs(distinct: DataFrame, tau: int, m: int | None = None) -> DataFrame
         kept = None
 
         def linked(runs):
-            a, b = zip(*[links(f, r, tau) for f, r in runs], strict=True) if runs else ((), ())
+            a, b = zip(*[links(f, r, accept or tau, hubs) for f, r in runs], strict=True) if runs else ((), ())
             a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
@@ -346,6 +386,59 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, id_col: str =
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int = 14, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id over links of at least ``similarity`` Jaccard of word shingles.
+
+    SimHash proposes: all pairs within ``tau`` bits, and those up to ``accept`` bits that
+    meet as well (a pair of similarity 0.8 differs in about 10 bits of 64, and meets in
+    some part with a chance of nine in ten). Exact Jaccard over the whole texts' shingle
+    sets decides. In a dense run hubs propose, each to all its neighbours, so that the
+    text from which a group was copied meets every copy. Documents whose fingerprints
+    are equal but whose words are not are compared with their fingerprint's least id."""
+    marked = materialize(fingerprints(docs, words, id_col, text_col), "similar")
+    node = materialize(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "similar-node")
+    distinct = materialize(node.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "similar-fp")
+    pairs = near_pairs(distinct, tau, accept=accept, hubs=True)
+    across = (
+        pairs.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
+        .join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+    )
+    inside = node.join(distinct.where("n > 1").select("fp", F.col("rep").alias("u")), "fp").where("rep <> u").select("u", F.col("rep").alias("v"))
+    asked = materialize(across.unionByName(inside).distinct(), "similar-asked")
+    ids = materialize(asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "similar-ids")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
+    rows = semi_by_id(rows, ids, "doc_id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingle_set(t, words).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "own"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "x", "y")), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    out.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    # a repeated id stands for its greatest set, whichever row it comes from
+    own = materialize(rows.mapInArrow(sets, "doc_id long, own binary").groupBy("doc_id").agg(F.max("own").alias("own")), "similar-sets")
+    held = asked.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v")
+    found = connected_components(held.mapInArrow(compared, "u long, v long"), "u", "v")
+    of_node = node.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
+    return marked.join(of_node, ["fp", "sig"]).select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the documents that are similar to one of a lesser id (see similar_documents)."""
+    found = materialize(similar_documents(docs, id_col=id_col, text_col=text_col, **how), "similar-found")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return anti_by_id(docs, materialize(gone, "similar-gone"), id_col)
+
+
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, words=4, tau=4).select(

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import hash_mod, table
-from quillspark.llm.nbsvm import fitted, labelled_sample, logistic_curve, scored
+from quillspark.llm.nbsvm import fitted, labelled_sample, logistic_curve, rejected, scored
 
 MAX_TRAIN = 16_000
 BUCKETS = 1 << 32
@@ -176,6 +176,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", ma
     return scored(docs, fitted(sample, fit), score, threshold)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = MAX_TRAIN) -> DataFrame:
+    """``docs`` without the documents likelier toxic than not, learned from all labels of ``docs``."""
+    return rejected(docs, fitted(labelled_sample(docs, labels, "toxic", F.lit(True), most), fit), score, threshold)
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxicity_scores(docs, labels, "toxic", hash_mod("doc_id", 4) != 2)
