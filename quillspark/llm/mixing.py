@@ -2,8 +2,9 @@
 
 1. A naive Bayes classifier over hashed token indicators is learned from labelled
    rows (at most MAX_TRAIN, those whose id hashes lowest). It keeps buckets more
-   frequent in a domain than in the others by Z_MIN standard errors and by a factor;
-   a text speaks by those it has and those it lacks; a single
+   frequent in a domain (the commonest, the background, aside) than in the others by
+   Z_MIN standard errors and by a factor; a text speaks by those it has and those it
+   lacks; a single
    temperature, chosen on a tenth of the sample that the counts leave out, keeps its
    posteriors soft.
 2. Every whole document gets its token count and a posterior for each domain.
@@ -41,6 +42,8 @@ SKETCH = 6
 SMOOTHING = 0.5
 TEMPERATURES = [0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0]
 ITERATIONS = 60
+#: A document is only thinned out of a domain it belongs to with this posterior at least.
+SURE = 0.8
 TOLERANCE = 1e-6
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -77,6 +80,9 @@ def learn(docs: DataFrame, labelled: DataFrame, most: int = MAX_TRAIN) -> dict:
     counts: dict[int, dict[str, int]] = {}
     for r in known.select("domain", F.explode("have").alias("bucket")).groupBy("bucket", "domain").count().collect():
         counts.setdefault(r.bucket, {})[r.domain] = r["count"]
+    # The commonest domain is the background: what tells for it is mostly what long texts have
+    # and short ones lack, so that only the other domains' buckets are evidence.
+    background = max(domains, key=lambda d: (n[d], d))
     telling = set()
     for b, by in counts.items():
         everywhere = sum(by.values())
@@ -84,6 +90,8 @@ def learn(docs: DataFrame, labelled: DataFrame, most: int = MAX_TRAIN) -> dict:
             continue
         share = everywhere / total
         for d in domains:
+            if d == background and len(domains) > 1:
+                continue
             inside, outside, rest = by.get(d, 0), everywhere - by.get(d, 0), max(total - n[d], 1)
             z = (inside / n[d] - outside / rest) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / n[d] + 1 / rest))
             if z >= Z_MIN and math.log((inside + SMOOTHING) / (n[d] + 1) / ((outside + SMOOTHING) / (rest + 1))) >= RATIO_MIN:
@@ -198,7 +206,8 @@ def thin(docs: DataFrame, labelled: DataFrame, shares: dict[str, float]) -> Data
     """``docs`` without some documents of the domains in ``shares``, so that each of these has at
     most that share of the mix's expected tokens; the other domains keep what they have.
 
-    A document goes if its likeliest domain is one to be thinned and a hash of its id, as
+    A document goes if its likeliest domain is one to be thinned, with a posterior of SURE
+    at least, and a hash of its id, as
     a number from 0 to 1, is not below its rate; all columns are kept."""
     model = learn(docs, labelled)
     domains = model["domains"]
@@ -215,7 +224,7 @@ def thin(docs: DataFrame, labelled: DataFrame, shares: dict[str, float]) -> Data
     excess = F.lit(False)
     for i, d in enumerate(domains):
         if d in shares:
-            excess = excess | ((F.col(f"p_{i}") == top) & (F.col(f"p_{i}") > 0.5))
+            excess = excess | ((F.col(f"p_{i}") == top) & (F.col(f"p_{i}") >= SURE))
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
     gone = rows.where(excess & (chance >= rate)).select("doc_id").distinct()
     return anti_by_id(docs, materialize(gone, "mix-gone"), "doc_id")
