@@ -358,7 +358,7 @@ def section_column(names: list[str]):
     return _mapped(lambda t: sections(t, names), T.ArrayType(T.StringType()))
 
 
-@F.pandas_udf("struct<text:string,error:string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("error", T.StringType())]))
 def replaced(content: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """fuzzy_replace by row; a failure is an error value, not an exception."""
     out = []

@@ -33,7 +33,7 @@ def step_cost(tokens: dict[str, Column], rates: dict[str, Column], large: dict[s
         out = each[0]
         for x in each[1:]:
             out = out + x
-        return (out / F.lit(1_000_000)).cast("double")
+        return (out.cast("decimal(28,8)") * F.lit("0.000001").cast("decimal(7,6)")).cast("double")
 
     if large is None:
         return total(rates)

@@ -135,7 +135,7 @@ def metric_rows(events: DataFrame) -> DataFrame:
 
 def markdown_table(lines: DataFrame, columns: list[str], value: str = "value") -> DataFrame:
     """Body rows of a Markdown table (S20): the header and the rule below it are not rows."""
-    cells = F.transform(F.slice(F.split(F.col(value), r"\|"), 2, len(columns)), F.trim)
+    cells = F.transform(F.slice(F.split(F.col(value), r"\|"), 2, len(columns)), lambda x: F.trim(x))
     body = lines.where(F.col(value).rlike(r"^\s*\|.*\|\s*$") & ~F.col(value).rlike(r"^\s*\|[\s:|-]+\|\s*$"))
     out = body.select(*[F.get(cells, k).alias(c) for k, c in enumerate(columns)])
     return out.where(F.col(columns[0]) != columns[0])
