@@ -78,5 +78,5 @@ def sticky(df: DataFrame, key: str, value: str, time: str, now: Column, hours: i
 
 def latency(df: DataFrame, key: str, start: str, time: str) -> DataFrame:
     """Milliseconds to the first and to the last chunk."""
-    ms = lambda c: F.unix_millis(c)
-    return df.groupBy(key).agg((ms(F.min(time)) - ms(F.min(start))).alias("first_ms"), (ms(F.max(time)) - ms(F.min(start))).alias("last_ms"))
+    since = lambda t: F.floor((F.unix_micros(t) - F.unix_micros(F.min(start))) / 1000).cast("long")
+    return df.groupBy(key).agg(since(F.min(time)).alias("first_ms"), since(F.max(time)).alias("last_ms"))
