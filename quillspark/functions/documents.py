@@ -368,3 +368,9 @@ def replaced(content: pd.Series, old: pd.Series, new: pd.Series) -> pd.DataFrame
         except ValueError as e:
             out.append((None, str(e)))
     return pd.DataFrame(out, columns=["text", "error"])
+
+
+@F.pandas_udf(T.IntegerType())
+def place_of(lines: pd.Series, pattern: pd.Series) -> pd.Series:
+    """seek by row, from the start."""
+    return pd.Series([seek(list(a), list(b)) for a, b in zip(lines, pattern, strict=True)], dtype="int32")

@@ -112,10 +112,10 @@ def anti(spark, d):
     return table(spark, d, "part").join(F.broadcast(off), "p_brand", "left_anti").select(F.col("p_partkey").alias("id"))
 
 
-@query("j13_insert_absent", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j13_insert_absent", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW')")
 def insert_absent(spark, d):
     new = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"))
-    return J.absent_only(new, table(spark, d, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+    return J.absent_only(new, table(spark, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("id")), ["id"])
 
 
 @query("j14_theta_pattern", "SELECT p_partkey AS id, pattern FROM part JOIN (VALUES ('%ring'), ('red%'), ('small %')) t(pattern) ON p_name LIKE pattern")

@@ -10,7 +10,7 @@ from quillspark.operators import retrieval as R
 from quillspark.operators import search as S
 from quillspark.plans.registry import query
 from quillspark.plans.views import FILE, file
-from quillspark.session import table
+from quillspark.session import scratch, table
 from quillspark.sources.files import needs_rebuild, sync_plan
 
 TERMS = extract("please find the thing about erwh tion")
@@ -21,6 +21,11 @@ def fingerprints(spark, d):
     return file(spark, d).groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"))
 
 
+@query("w10_chunk_counts")
+def chunk_counts(spark, d):
+    return R.chunks(file(spark, d)).groupBy("path").agg(F.count("*").alias("chunks"), F.max("end_line").alias("lines"))
+
+
 @query("r02_chunks")
 def chunks(spark, d):
     return R.chunks(file(spark, d))
@@ -128,12 +133,9 @@ def cache_prune(spark, d):
 
 @query("r15_reindex", "SELECT r_regionkey AS id, r_name || '!' AS name FROM region")
 def reindex(spark, d):
-    import tempfile
-
     from quillspark.operators import writes
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    root = f"{root.rstrip('/')}/reindex-{id(spark)}-{abs(hash(d))}-{spark.sparkContext.applicationId}"
+    root = scratch(spark, "reindex")
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
     writes.swap_in(r, root, "names")
     writes.swap_in(r.withColumn("name", F.concat("name", F.lit("!"))), root, "names")

@@ -74,6 +74,12 @@ def week_bounds(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(C.week_start(t), "yyyy-MM-dd").alias("monday"), F.date_format(C.week_end(t), "yyyy-MM-dd").alias("until"))
 
 
+@query("f13_week_span", "SELECT o_orderkey AS id, CAST(date_diff('day', o_orderdate, date_trunc('week', o_orderdate) + INTERVAL 7 DAY) AS INTEGER) AS days_left FROM orders")
+def week_span(spark, d):
+    t = F.col("o_orderdate").cast("timestamp")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.datediff(C.week_end(t), t).alias("days_left"))
+
+
 @query(
     "f14_monthly_bounds",
     """WITH b AS (SELECT o_orderkey AS id, o_orderdate AS s, date_trunc('month', o_orderdate) + INTERVAL 16 MONTH + INTERVAL (o_orderkey % 28) DAY AS now FROM orders),
@@ -325,3 +331,19 @@ def normalized_usage(spark, d):
     b = js(input_tokens=F.col("input") * 2, output_tokens=F.col("output"), input_tokens_details=F.struct((i % 10).alias("cached_tokens")), output_tokens_details=F.struct((i % 5).alias("reasoning_tokens")))
     out = M.normalized_usage(F.when(even, "messages").otherwise("responses"), F.when(even, a).otherwise(b))
     return usage(spark, d).select("id", out.alias("u")).select("id", "u.input", "u.output", "u.reasoning", "u.cache_read")
+
+
+@query("f53_layers", "SELECT * FROM (VALUES ('model', 'b'), ('plugin', 'x,y,z')) AS t(k, v)")
+def layers(spark, d):
+    from quillspark.functions.config import merged
+
+    got = merged({"model": "a", "plugin": ["x", "y"]}, {"model": "b", "plugin": ["y", "z"]})
+    return spark.createDataFrame([(k, ",".join(v) if isinstance(v, list) else v) for k, v in got.items()], "k string, v string")
+
+
+@query("f54_seek", "SELECT c_custkey AS id, CAST(1 + c_custkey % 3 AS INTEGER) AS place FROM customer")
+def seek(spark, d):
+    k = F.col("c_custkey")
+    lines = F.concat(F.array(F.lit("first")), F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("pad"))).otherwise(F.array(F.lit("pad"), F.lit("pad"))), F.array(F.lit("  \u201csaid\u201d\u2014x  "), F.lit("last ")))
+    pattern = F.array(F.lit('"said"-x'), F.lit("last"))
+    return table(spark, d, "customer").select(k.alias("id"), D.place_of(lines, pattern).alias("place"))

@@ -10,7 +10,7 @@ from quillspark.operators.joins import last_match
 from quillspark.plans.registry import query
 from quillspark.plans.views import FILE, MESSAGE, SESSION, USAGE, file, message, session, usage
 from quillspark.sources import files as S
-from quillspark.session import table
+from quillspark.session import scratch, table
 
 
 @query("s01_full_scan", f"WITH {SESSION} SELECT id, project_id, title, parent_id, time_created, time_updated FROM session")
@@ -28,6 +28,25 @@ def projected_scan(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
 
 
+def _tree(spark, d):
+    """nation rows as a tree of one-object files; every fifth is broken."""
+    root = scratch(spark, "tree")
+    k = F.col("n_nationkey")
+    body = F.when(k % 5 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct("n_name", F.lit("wrong").alias("session"))))
+    table(spark, d, "nation").select(body.alias("value"), k.alias("session")).repartition("session").write.partitionBy("session").text(root)
+    return S.json_tree(spark, root, "n_name string", ["file", "session"], "*.txt")
+
+
+@query("s04_json_tree", "SELECT 'session=' || n_nationkey AS session, n_name FROM nation WHERE n_nationkey % 5 <> 0")
+def json_tree(spark, d):
+    return _tree(spark, d)[0].select("session", "n_name")
+
+
+@query("s05_unreadable", "SELECT count(*) AS n FROM nation WHERE n_nationkey % 5 = 0")
+def unreadable(spark, d):
+    return _tree(spark, d)[1].agg(F.count("*").alias("n"))
+
+
 @query("s06_markdown_manifest", f"WITH {FILE} SELECT path, sha256(text) AS hash FROM file")
 def markdown_manifest(spark, d):
     return file(spark, d).select("path", F.sha2("text", 256).alias("hash"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.operators import writes as W
 from quillspark.plans.registry import query
 from quillspark.plans.views import MESSAGE, SESSION, USAGE, message, session, usage
-from quillspark.session import table
+from quillspark.session import scratch, table
 from quillspark.streaming import assembly, counters, eventlog
 
 
@@ -167,12 +167,19 @@ def latency(spark, d):
     return counters.latency(_use(spark, d).withColumn("start", F.col("t")), "key_id", "start", "t").select("key_id", "last_ms")
 
 
-@query("e19_ordered", "SELECT c_custkey AS id, row_number() OVER (ORDER BY c_name) AS n FROM customer")
+@query("e19_ordered", "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_name")
 def ordered(spark, d):
-    from pyspark.sql import Window
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).orderBy("name")
+
 
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name").orderBy("c_name")
-    return c.withColumn("n", F.row_number().over(Window.orderBy("c_name")).cast("long")).select("id", "n")
+@query("e02_replay_stream")
+def replay_stream(spark, d):
+    root = scratch(spark, "replay")
+    log = table(spark, d, "events").where("event_id < 500").select(F.lit("all").alias("aggregate_id"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"), F.col("props").alias("data"))
+    log.coalesce(1).write.parquet(f"{root}/in")
+    out = eventlog.replay_stream(spark.readStream.schema(log.schema).parquet(f"{root}/in"))
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
 @query("e20_subscribe", "SELECT event_id AS id FROM events WHERE event_type = 'error'")
@@ -279,6 +286,32 @@ def registered_function(spark, d):
     return session(spark, d).selectExpr("id", "shout_x01(title) AS shown")
 
 
+@query("x02_discovered", "SELECT r_regionkey AS id, upper(r_name) AS shown FROM region")
+def discovered(spark, d):
+    import tempfile
+    from pathlib import Path
+
+    from quillspark.plans import plugins
+
+    root = tempfile.mkdtemp(prefix="quillspark-plugins-")  # read by the driver alone
+    Path(root, "tools").mkdir()
+    Path(root, "tools", "x02.py").write_text("from quillspark.plans.plugins import tool\n\nloud = tool('string', 'string')(lambda s: s.str.upper())\n")
+    plugins.discover(spark, root)
+    return table(spark, d, "region").selectExpr("r_regionkey AS id", "x02_loud(r_name) AS shown")
+
+
+@query("x04_decorated", "SELECT n_nationkey AS id, n_name || '-' || n_regionkey AS shown FROM nation")
+def decorated(spark, d):
+    from quillspark.plans import plugins
+
+    @plugins.tool("string", "string", "string")
+    def joined_x04(a, b):
+        return a + "-" + b
+
+    plugins.register(spark, joined_x04)
+    return table(spark, d, "nation").selectExpr("n_nationkey AS id", "joined_x04(n_name, string(n_regionkey)) AS shown")
+
+
 @query("x03_reregistered", "SELECT r_regionkey AS id, r_name || '2' AS shown FROM region")
 def reregistered(spark, d):
     from quillspark.plans import plugins

@@ -27,3 +27,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory (any path Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or, where that is
+    unset (tests), a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

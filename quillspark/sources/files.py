@@ -12,15 +12,15 @@ from quillspark.functions.calendar import path_date
 CORRUPT = "_corrupt"
 
 
-def json_tree(spark: SparkSession, root: str, schema: str, ids: list[str]) -> tuple[DataFrame, DataFrame]:
+def json_tree(spark: SparkSession, root: str, schema: str, ids: list[str], pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
     """(rows, unreadable files) of a tree of one-object JSON files (S04, S05). ``ids`` names the path
     components before '.json', last first; they come from the path, never from the body."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     rows = files.select(F.col("_metadata.file_path").alias("_path"), "value", parsed.alias("_p"))
     bad = rows.where(F.col(f"_p.{CORRUPT}").isNotNull()).select(F.col("_path").alias("path"), F.col("value").alias("body"))
     rows = rows.where(F.col(f"_p.{CORRUPT}").isNull()).select("_path", "_p.*").drop(CORRUPT)
-    bare = F.regexp_replace("_path", r"\.json$", "")
+    bare = F.regexp_replace("_path", r"\.[a-z]+$", "")
     for k, name in enumerate(ids):
         rows = rows.withColumn(name, F.substring_index(F.substring_index(bare, "/", -1 - k), "/", 1))
     return rows.drop("_path"), bad
