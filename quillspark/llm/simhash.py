@@ -50,44 +50,54 @@ CHUNK = 1 << 16
 
 # --- fingerprints -----------------------------------------------------------
 
-def simhash(text: bytes, words: int) -> int:
-    """Unsigned 64-bit fingerprint of UTF-8 bytes; bytes.lower and bytes.split are ASCII-only."""
+def _bit_sums(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def simhash(text: bytes, words: int, second: bool = False) -> tuple[int, int]:
+    """Unsigned 64-bit fingerprint of UTF-8 bytes (bytes.lower and bytes.split are ASCII-only) and,
+    if asked for, a second one from the same hashes remixed, else 0."""
     w = text.lower().split()
     if not w:
-        return 0
+        return 0, 0
     n = max(1, len(w) - words + 1)
-    ones = np.zeros(64, np.int64)
+    ones, more = np.zeros(64, np.int64), np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
         part = w[at:at + CHUNK + words - 1] if n > 1 else w
         tuples = zip(*[part[i:] for i in range(words)], strict=False) if n > 1 else [part]
         h = np.fromiter((digest(s, SEED) for s in map(b" ".join, tuples)), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+        ones += _bit_sums(h)
+        if second:
+            x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            more += _bit_sums((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+    pack = lambda k: int(np.packbits(2 * k > n, bitorder="little").view(np.uint64)[0])
+    return pack(ones), pack(more) if second else 0
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles, ascending."""
+    """Distinct hashes of a text's shingles, their upper 32 bits, ascending."""
     w = text.lower().split()
     if not w:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     n = max(1, len(w) - words + 1)
     tuples = zip(*[w[i:] for i in range(words)], strict=False) if n > 1 else [w]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, tuples)), np.uint64))
+    return np.unique((np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, tuples)), np.uint64) >> np.uint64(32)).astype(np.uint32))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), sig (a hash of the word sequence)."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", second: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), fp2 (a second one, or 0), sig (a hash of
+    the word sequence)."""
     raw = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
-            fp = np.array([simhash(t, words) for t in texts], np.uint64)
-            sig = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED + 1) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(sig.view(np.int64))], ["doc_id", "fp", "sig"])
+            fp = np.array([simhash(t, words, second) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+            sig = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED + 1) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), pa.array(sig)], ["doc_id", "fp", "fp2", "sig"])
 
-    return raw.mapInArrow(run, "doc_id long, fp long, sig long")
+    return raw.mapInArrow(run, "doc_id long, fp long, fp2 long, sig long")
 
 
 # --- parts and thresholds ---------------------------------------------------
@@ -211,10 +221,12 @@ def allocate(values: list[np.ndarray], cost: list[np.ndarray], total: int) -> np
 
 # --- keys and runs ----------------------------------------------------------
 
-def keys_of(fp: np.ndarray, parts, hist, cost, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, fp, role) rows; role 1: index, 2: probe, 3: both."""
+def keys_of(fp: np.ndarray, parts, hist, cost, total: int, quiet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, fp, role) rows; role 1: index, 2: probe, 3: both. Quiet rows are index only."""
     values = [part_values(fp, p) for p in parts]
     chosen = allocate(values, cost, total)
+    if quiet is not None:
+        chosen[quiet] = -1
     ks, fs, rs = [], [], []
 
     def send(i, v, f, role):
@@ -267,23 +279,27 @@ def forest(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
 
 def cover(probe: np.ndarray, index: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of hubs in a dense run: again and again of the fingerprint with most links among
-    those that no hub links yet, until every fingerprint with a link has a hub."""
+    those that no hub links yet, to all of these and to the nearest that one does, until every
+    fingerprint with a link has a hub. At most two links a fingerprint."""
     u = np.unique(np.concatenate([probe, index]))
     degree = np.zeros(len(u), np.int64)
     rows = max(1, (1 << 22) // len(index))
     for at in range(0, len(probe), rows):
         near = np.bitwise_count(probe[at:at + rows, None] ^ index[None, :]) <= tau
-        np.add.at(degree, np.searchsorted(u, probe[at:at + rows]), near.sum(1))
-        np.add.at(degree, np.searchsorted(u, index), near.sum(0))
+        degree[np.searchsorted(u, probe[at:at + rows])] += near.sum(1)
+        degree[np.searchsorted(u, index)] += near.sum(0)
     free = degree > 0
     a, b = [], []
-    while free.any():
-        x = int(np.argmax(np.where(free, degree, -1)))
-        near = np.nonzero(np.bitwise_count(u ^ u[x]) <= tau)[0]
-        near = near[near != x]
-        free[x] = False
-        free[near] = False
-        a.append(np.full(len(near), u[x])), b.append(u[near])
+    for x in np.argsort(-degree, kind="stable").tolist():
+        if not free[x]:
+            continue
+        d = np.bitwise_count(u ^ u[x])
+        near = d <= tau
+        near[x] = free[x] = False
+        new, old = np.nonzero(near & free)[0], np.nonzero(near & ~free)[0]
+        to = np.append(new, old[np.argmin(d[old])]) if len(old) else new
+        free[new] = False
+        a.append(np.full(len(to), u[x])), b.append(u[to])
     none = np.zeros(0, np.uint64)
     x, y = np.concatenate([none, *a]), np.concatenate([none, *b])
     return np.minimum(x, y), np.maximum(x, y)
@@ -315,10 +331,11 @@ def links(fp: np.ndarray, role: np.ndarray, tau: int, hubs: bool = False) -> tup
     return np.concatenate(pa_), np.concatenate(pb_)
 
 
-def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int | None = None, hubs: bool = False) -> DataFrame:
+def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int | None = None, hubs: bool = False, quiet: str | None = None) -> DataFrame:
     """a, b, d: pairs of distinct fingerprints that link within ``tau`` bits (see 5 above).
 
-    Pairs that meet at up to ``accept`` bits, if that is more, are given as well."""
+    Pairs that meet at up to ``accept`` bits, if that is more, are given as well. ``quiet``
+    names a boolean column of fingerprints that the others find but that don't search."""
     n, both = bit_counts(distinct)
     if m is None:
         m = 5 if n < 1 << 21 else 4
@@ -331,7 +348,8 @@ def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int
     def keyed(batches):
         for b in batches:
             if b.num_rows:
-                k, f, r = keys_of(_fps(b), parts, hist, cost, total)
+                still = b.column("quiet").to_numpy(zero_copy_only=False).astype(bool)
+                k, f, r = keys_of(_fps(b), parts, hist, cost, total, still)
                 for at in range(0, len(k), 1 << 20):
                     to = at + (1 << 20)
                     yield pa.RecordBatch.from_arrays([pa.array(k[at:to]), pa.array(f[at:to].view(np.int64)), pa.array(r[at:to])], ["k", "fp", "role"])
@@ -364,7 +382,8 @@ def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int
         if kept:
             yield linked([(np.concatenate(kept[1]), np.concatenate(kept[2]))])
 
-    rows = distinct.select("fp").mapInArrow(keyed, "k long, fp long, role byte")
+    still = F.col(quiet) if quiet else F.lit(False)
+    rows = distinct.select("fp", still.alias("quiet")).mapInArrow(keyed, "k long, fp long, role byte")
     found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(joined, "a long, b long")
     return found.distinct().withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
 
@@ -386,25 +405,43 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, id_col: str =
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Groups of more fingerprints than CROWD are searched for by others and by about SEEKERS of their own.
+CROWD, SEEKERS = 64, 8
+#: Of 128 bits of both fingerprints, as many may differ in a pair that is worth comparing.
+WORTH = 30
+
+
 def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int = 14, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id over links of at least ``similarity`` Jaccard of word shingles.
 
-    SimHash proposes: all pairs within ``tau`` bits, and those up to ``accept`` bits that
-    meet as well (a pair of similarity 0.8 differs in about 10 bits of 64, and meets in
-    some part with a chance of nine in ten). Exact Jaccard over the whole texts' shingle
-    sets decides. In a dense run hubs propose, each to all its neighbours, so that the
-    text from which a group was copied meets every copy. Documents whose fingerprints
-    are equal but whose words are not are compared with their fingerprint's least id."""
-    marked = materialize(fingerprints(docs, words, id_col, text_col), "similar")
-    node = materialize(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep")).where("rep IS NOT NULL"), "similar-node")
-    distinct = materialize(node.groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "similar-fp")
-    pairs = near_pairs(distinct, tau, accept=accept, hubs=True)
-    across = (
-        pairs.join(distinct.select(F.col("fp").alias("a"), F.col("rep").alias("u")), "a")
-        .join(distinct.select(F.col("fp").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
-    )
+    SimHash proposes: all pairs within ``tau`` bits, and those up to ``accept`` bits that meet as
+    well (a pair of similarity 0.8 differs in about 10 bits of 64, and meets in some part with a
+    chance of nine in ten), if a second fingerprint agrees. The Jaccard similarity of the whole
+    texts' shingle sets (as 32-bit hashes) decides.
+
+    A first search with exact parts alone finds crowds: groups of more than CROWD fingerprints.
+    In them hubs propose, so that the text from which a crowd was copied meets its copies; in the
+    second search, up to ``tau``, a crowd's members are found by all others, but search only by a
+    few, so that the pairs within a crowd are never listed. Documents whose fingerprints are equal
+    but whose words are not are compared with their fingerprint's least id."""
+    marked = materialize(fingerprints(docs, words, id_col, text_col, second=True), "similar")
+    node = materialize(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("fp2")).where("rep IS NOT NULL"), "similar-node")
+    distinct = materialize(node.groupBy("fp").agg(F.min_by("fp2", "rep").alias("fp2"), F.min("rep").alias("rep"), F.count("*").alias("n")), "similar-fp")
+
+    def named(pairs: DataFrame) -> DataFrame:
+        """Representatives of pairs that the second fingerprint holds worth comparing."""
+        end = lambda c, r, s: distinct.select(F.col("fp").alias(c), F.col("rep").alias(r), F.col("fp2").alias(s))
+        both = pairs.join(end("a", "u", "s"), "a").join(end("b", "v", "t"), "b")
+        return both.where(F.col("d") + F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= WORTH).select("u", "v")
+
+    first = materialize(named(near_pairs(distinct, 4, accept=accept, hubs=True)).distinct(), "similar-first")
+    groups = materialize(connected_components(first, "u", "v"), "similar-groups")
+    crowds = groups.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > CROWD)
+    crowded = groups.join(crowds, "component").where(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SEEKERS)) != 0)
+    still = distinct.join(crowded.select(F.col("id").alias("rep"), F.lit(True).alias("quiet")), "rep", "left").withColumn("quiet", F.coalesce("quiet", F.lit(False)))
+    across = named(near_pairs(materialize(still, "similar-still"), tau, accept=accept, hubs=True, quiet="quiet"))
     inside = node.join(distinct.where("n > 1").select("fp", F.col("rep").alias("u")), "fp").where("rep <> u").select("u", F.col("rep").alias("v"))
-    asked = materialize(across.unionByName(inside).distinct(), "similar-asked")
+    asked = materialize(first.unionByName(across).unionByName(inside).distinct(), "similar-asked")
     ids = materialize(asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "similar-ids")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
     rows = semi_by_id(rows, ids, "doc_id")
@@ -418,14 +455,16 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
         for b in batches:
             out = []
             for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "x", "y")), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
                     out.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    # a repeated id stands for its greatest set, whichever row it comes from
-    own = materialize(rows.mapInArrow(sets, "doc_id long, own binary").groupBy("doc_id").agg(F.max("own").alias("own")), "similar-sets")
+    own = rows.mapInArrow(sets, "doc_id long, own binary")
+    if rows.select("doc_id").count() > ids.count():  # a repeated id stands for its greatest set
+        own = own.groupBy("doc_id").agg(F.max("own").alias("own"))
+    own = materialize(own, "similar-sets")
     held = asked.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v")
     found = connected_components(held.mapInArrow(compared, "u long, v long"), "u", "v")
     of_node = node.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
