@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import anti_by_id, materialize, table
 
 MAX_TRAIN = 20_000
-BUCKETS = 1 << 15
+BUCKETS = 1 << 14
 Z_MIN = 6.0
 RATIO_MIN = 1.0
 MIN_ROWS = 8
@@ -44,7 +44,7 @@ TEMPERATURES = [0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0]
 ITERATIONS = 60
 #: A document is only thinned out of a domain it belongs to with this posterior at least.
 SURE = 0.8
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 

@@ -54,7 +54,7 @@ SKETCH = 6
 RATE = 0.1
 DECAY = 1e-5
 #: Words whose buckets a worker remembers, at most.
-MEMO = 500_000
+MEMO = 100_000
 _WORD = re.compile(r"[^\W_]+")
 
 
