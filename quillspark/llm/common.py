@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: More cells than this are never made; a cell only bounds the rows one window sees.
-MAX_CELLS = 4096
+MAX_CELLS = 16_384
 ROWS_PER_CELL = 2000
 
 

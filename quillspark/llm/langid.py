@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of 1 to 3 characters of the whole lower-cased text;
-their document frequencies are counted over all documents. The model is fitted by
+their document frequencies are counted over all documents that may be learned from. The model is fitted by
 follow-the-regularised-leader with elastic-net penalties (so most weights are
 exactly zero), then one temperature, chosen on a tenth of the sample that the fit
 has not seen, calibrates its probabilities.
@@ -149,9 +149,10 @@ def identify(docs: DataFrame, may_learn=None, most: int = MAX_TRAIN) -> DataFram
     """doc_id, lang_pred, score; ``may_learn`` is a condition on the rows learned from."""
     import pickle
 
-    n, df = document_frequencies(docs)
+    allowed = docs if may_learn is None else docs.where(may_learn)
+    n, df = document_frequencies(allowed)
     idf = np.log((1 + n) / (1 + df)) + 1
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if may_learn is None else may_learn))
+    known = allowed.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     sample = known.select("doc_id", "text", F.col("lang").alias("y")).join(F.broadcast(chosen), "doc_id")
     model = fitted(sample, make_fit(idf))
