@@ -6,6 +6,7 @@ deliberate differences from the behaviour studied, whose two legs scored on unli
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -150,6 +151,30 @@ def bm25(index: DataFrame, terms: list[str], stats: tuple[int, float] | None = N
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def bm25_scan(docs: DataFrame, id_: str, text: str, terms: list[str]) -> DataFrame:
+    """The same without an index: texts are split where they are read, and only counts of the
+    terms asked for leave them."""
+    asked = list(dict.fromkeys(terms))
+    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 0)
+    rows = docs.select(F.col(id_).alias("id"), words.alias("words"))
+    rows = rows.select("id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(asked)).alias("hits"))
+    got = rows.where("length > 0").agg(
+        F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.array_contains("hits", t)).alias(f"df_{k}") for k, t in enumerate(asked)]).first()
+    parts = []
+    for k, t in enumerate(asked):
+        idf = math.log((got.n - got[f"df_{k}"] + 0.5) / (got[f"df_{k}"] + 0.5) + 1)
+        tf = F.size(_equal("hits", t))
+        parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (got.mean or 1.0))))
+    score = parts[0]
+    for p in parts[1:]:
+        score = score + p
+    return rows.where(F.size("hits") > 0).select("id", score.alias("score"))
+
+
+def _equal(array: str, value: str) -> Column:
+    return F.filter(array, lambda w: w == value)
+
+
 def rank_scale(df: DataFrame, rank: str = "rank") -> DataFrame:
     """Lower ranks are better: best 1, worst 0; a sole or all-equal result is 1."""
     w = Window.partitionBy()

@@ -51,12 +51,17 @@ _WORDS = """w AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[^\
 
 @query("r04_bm25", f"WITH {FILE}, {_WORDS} SELECT id, round(score, 6) AS score FROM bm")
 def bm25(spark, d):
+    return R.bm25_scan(file(spark, d), "id", "text", TERMS).select("id", F.round("score", 6).alias("score"))
+
+
+@query("r04_bm25_index", f"WITH {FILE}, {_WORDS} SELECT id, round(score, 6) AS score FROM bm")
+def bm25_index(spark, d):
     return R.bm25(R.postings(file(spark, d), "id", "text"), TERMS).select("id", F.round("score", 6).alias("score"))
 
 
 @query("r05_rank_scale", f"WITH {FILE}, {_WORDS}, r AS (SELECT id, -score AS rank FROM bm ORDER BY rank, id LIMIT 30) SELECT id, round(1 - (rank - (SELECT min(rank) FROM r)) / ((SELECT max(rank) FROM r) - (SELECT min(rank) FROM r)), 6) AS score FROM r")
 def rank_scale(spark, d):
-    hits = R.bm25(R.postings(file(spark, d), "id", "text"), TERMS).select("id", (-F.col("score")).alias("rank")).orderBy("rank", "id").limit(30)
+    hits = R.bm25_scan(file(spark, d), "id", "text", TERMS).select("id", (-F.col("score")).alias("rank")).orderBy("rank", "id").limit(30)
     return R.rank_scale(hits).select("id", F.round("score", 6).alias("score"))
 
 
@@ -88,7 +93,7 @@ def overfetch(spark, d):
 @query("r09_hybrid_merge", f"WITH {FILE}, {_WORDS}, v AS (SELECT id, score FROM ({_NEAR}) WHERE query = 1) SELECT id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(bm.score, 0), 6) AS score, CASE WHEN coalesce(v.score, 0) >= coalesce(bm.score, 0) THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN bm USING (id)")
 def hybrid_merge(spark, d):
     v = _near(spark, d, 1 << 30).where("query = 1").select("id", "score")
-    k = R.bm25(R.postings(file(spark, d), "id", "text"), TERMS)
+    k = R.bm25_scan(file(spark, d), "id", "text", TERMS)
     return J.merge_scores(v, k).select("id", F.round("score", 6).alias("score"), "source")
 
 
@@ -110,7 +115,7 @@ def mmr(spark, d):
 def _pipeline(spark, d, **how):
     chunks_ = file(spark, d).select("id", "path", "text")
     v = _near(spark, d, 1 << 30).where("query = 1").select("id", "score")
-    k = R.rank_scale(R.bm25(R.postings(chunks_, "id", "text"), TERMS).withColumn("rank", -F.col("score")).orderBy("rank", "id").limit(30)).select("id", "score")
+    k = R.rank_scale(R.bm25_scan(chunks_, "id", "text", TERMS).withColumn("rank", -F.col("score")).orderBy("rank", "id").limit(30)).select("id", "score")
     return R.hybrid(v, k, chunks_, F.lit("2025-12-01").cast("timestamp"), **how).select("id", "rank", F.round("score", 6).alias("score"))
 
 

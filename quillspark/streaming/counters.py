@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,23 +35,25 @@ def since_subscription(df: DataFrame, key: str, time: str, cost: str, subscribed
 
 def anchored(df: DataFrame, key: str, time_s: str, cost: str, window_s: int, *ties: str) -> DataFrame:
     """Running cost since an anchor (E12): the anchor is the first use, and moves to the first use
-    after the window has passed. Which events are anchors depends on the anchors before, so each key
-    is folded in order; the fold keeps two numbers and reads plain arrays."""
+    after the window has passed. Which events are anchors depends on the anchors before, so rows
+    stream past in order of key and time; three values are carried from row to row, and no key's
+    rows are ever held together."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time_s, *ties], kind="stable")
-        anchors, used, anchor, total = [], [], None, 0
-        for t, c in zip(pdf[time_s].to_numpy(), pdf[cost].to_numpy(), strict=True):
-            if anchor is None or anchor < t - window_s:
-                anchor, total = t, 0
-            total += c
-            anchors.append(anchor)
-            used.append(total)
-        return pdf.assign(anchor=anchors, used=used)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor, total, begun = None, 0, 0, False
+        for b in batches:
+            anchors, used = [], []
+            for k, t, c in zip(*(b.column(x).to_pylist() for x in (key, time_s, cost)), strict=True):
+                if not begun or k != last or anchor < t - window_s:
+                    last, anchor, total, begun = k, t, 0, True
+                total += c
+                anchors.append(anchor)
+                used.append(total)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(anchors, pa.int64()), pa.array(used, pa.int64())], [*b.schema.names, "anchor", "used"])
 
     schema = StructType([*df.schema.fields, StructField("anchor", LongType()), StructField("used", LongType())])
-    return df.groupBy(key).applyInPandas(fold, schema)
+    return df.repartition(key).sortWithinPartitions(key, time_s, *ties).mapInArrow(run, schema)
 
 
 def daily_limit(df: DataFrame, ip: str, time: str, limit: int, *ties: str) -> DataFrame:
