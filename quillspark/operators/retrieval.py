@@ -151,28 +151,28 @@ def bm25(index: DataFrame, terms: list[str], stats: tuple[int, float] | None = N
     return rows.groupBy("id").agg(F.sum(part).alias("score"))
 
 
+_LETTER = r"[\p{L}\p{N}_]"
+
+
 def bm25_scan(docs: DataFrame, id_: str, text: str, terms: list[str]) -> DataFrame:
-    """The same without an index: texts are split where they are read, and only counts of the
-    terms asked for leave them."""
+    """The same without an index: words are counted where texts are read, and a term's own count is
+    only taken in texts that contain it."""
     asked = list(dict.fromkeys(terms))
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 0)
-    rows = docs.select(F.col(id_).alias("id"), words.alias("words"))
-    rows = rows.select("id", F.size("words").alias("length"), F.filter("words", lambda w: w.isin(asked)).alias("hits"))
-    got = rows.where("length > 0").agg(
-        F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.array_contains("hits", t)).alias(f"df_{k}") for k, t in enumerate(asked)]).first()
-    parts = []
-    for k, t in enumerate(asked):
-        idf = math.log((got.n - got[f"df_{k}"] + 0.5) / (got[f"df_{k}"] + 0.5) + 1)
-        tf = F.size(_equal("hits", t))
-        parts.append(F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (got.mean or 1.0))))
-    score = parts[0]
-    for p in parts[1:]:
-        score = score + p
-    return rows.where(F.size("hits") > 0).select("id", score.alias("score"))
-
-
-def _equal(array: str, value: str) -> Column:
-    return F.filter(array, lambda w: w == value)
+    low = F.lower(F.col(text))
+
+    def count(t: str) -> Column:
+        whole = rf"(?<!{_LETTER}){re.escape(t)}(?!{_LETTER})"
+        return F.when(low.contains(t), F.regexp_count(low, F.lit(whole))).otherwise(0)
+
+    rows = docs.select(F.col(id_).alias("id"), F.regexp_count(low, F.lit(f"{_LETTER}+")).alias("length"), *[count(t).alias(f"tf_{k}") for k, t in enumerate(asked)])
+    got = rows.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(asked))]).first()
+    score, any_hit = F.lit(0.0), F.lit(False)
+    for k in range(len(asked)):
+        tf, df = F.col(f"tf_{k}"), got[f"df_{k}"]
+        idf = math.log((got.n - df + 0.5) / (df + 0.5) + 1)
+        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (got.mean or 1.0)))
+        any_hit = any_hit | (tf > 0)
+    return rows.where(any_hit).select("id", score.alias("score"))
 
 
 def rank_scale(df: DataFrame, rank: str = "rank") -> DataFrame:
