@@ -23,4 +23,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    """The others' methods (alignments, hashes, trained models, trees) cannot be said in SQL; they are
+    tested against brute force, exact round trips or held-out rows."""
+    out = {"op1_chat_formatting": chat.OP1_SQL}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

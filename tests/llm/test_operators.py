@@ -157,6 +157,12 @@ def test_chat_query(spark):
     assert len(rows) == len({r[0] for r in src})
 
 
+def test_chat_query_matches_duckdb(spark):
+    from tests.oracle import differences, duck
+
+    assert differences(spark, "op1", chat.op1_chat_formatting, chat.OP1_SQL, MID, duck(MID)) is None
+
+
 def test_chat_edge_cases(spark):
     rows = [(1, 0, None, None), (1, None, "user", "x"), (None, 0, "assistant", "y"), (1, 0, None, None)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("ids", F.lit(1))
