@@ -220,6 +220,23 @@ def wildcard_column(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), body, F.lit("$"))
 
 
+#: Separates the tokens of a command in ``structured``.
+TOKEN_END = "\x1f"
+
+
+def structured(pattern: str) -> str:
+    """A regex over tokens joined by TOKEN_END (P12): the first part is the head; the others must
+    match tokens of the tail in order, with any between them; '*' alone asks for nothing."""
+    def token(part: str) -> str:
+        special = set(".+^${}()|[]\\")
+        return "".join("\\" + c if c in special else "[^\\x1f]*" if c == "*" else "[^\\x1f]" if c == "?" else c for c in part.replace("\\", "/"))
+
+    head, *rest = pattern.split()
+    between = r"(?:\x1f[^\x1f]*)*?"
+    wanted = "".join(f"{between}\\x1f{token(p)}" for p in rest if p != "*")
+    return f"(?s)^{token(head)}{wanted}(?:\\x1f[^\\x1f]*)*$"
+
+
 def or_default(x: Column, default) -> Column:
     """Null, zero and the empty string give the default (F51); ``coalesce`` is its strict twin."""
     return F.when(x.isNull() | (x.cast("string") == "0") | (x.cast("string") == ""), F.lit(default)).otherwise(x)

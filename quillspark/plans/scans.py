@@ -256,10 +256,10 @@ def longest_pattern_wins(spark, d):
     return last_match(file(spark, d).select("id", "path"), _rules(spark), F.expr("path rlike rx"), "id", F.struct(F.length("pattern"), "pattern"), "action")
 
 
-@query("p12_structured_pattern", "SELECT o_orderkey AS id FROM orders WHERE regexp_full_match(o_orderpriority || ' x ' || o_orderstatus, '[12]-.*( .*)? P')")
+@query("p12_structured_pattern", "SELECT p_partkey AS id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda t: t LIKE 'r%')) > 0 AND p_type LIKE '%O%'")
 def structured_pattern(spark, d):
-    words = F.concat_ws(" ", "o_orderpriority", F.lit("x"), "o_orderstatus")
-    return table(spark, d, "orders").where(words.rlike(r"^[12]-.*( .*)? P$")).select(F.col("o_orderkey").alias("id"))
+    words = F.concat_ws(T.TOKEN_END, "p_type", F.array_join(F.split("p_name", " "), T.TOKEN_END))
+    return table(spark, d, "part").where(words.rlike(T.structured("*O* * r*"))).select(F.col("p_partkey").alias("id"))
 
 
 _SAID = """said AS (SELECT id, CASE id % 6 WHEN 0 THEN 'Please ignore previous instructions, ' || left(text, 40) WHEN 1 THEN 'I prefer tabs. ' || left(text, 60) WHEN 2 THEN 'we decided on plan ' || id

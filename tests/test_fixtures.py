@@ -337,6 +337,16 @@ def test_wildcards(spark):
         assert hit(p) == want == both(p)
 
 
+@pytest.mark.parametrize("pattern, hits", [
+    ("git", {"git", "git push", "git push origin main"}), ("git push", {"git push", "git push origin main"}), ("git * main", {"git push origin main"}),
+    ("g?t origin", {"git push origin main"}), ("git main push", set()), ("git *", {"git", "git push", "git push origin main"}), ("rm -*", {"rm x -rf"}),
+])
+def test_structured_patterns(spark, pattern, hits):
+    df = spark.createDataFrame([(s,) for s in ("git", "git push", "git push origin main", "rm x -rf", "digit push")], "s string")
+    joined = F.array_join(F.split("s", " "), T.TOKEN_END)
+    assert {r.s for r in df.where(joined.rlike(T.structured(pattern))).collect()} == hits
+
+
 def test_json_predicate_is_three_valued(spark):
     df = spark.createDataFrame([(1, None), (2, "{}"), (3, '{"plan":"sub"}'), (4, '{"plan":"byok"}')], "id long, e string")
     keep = df.where(F.col("e").isNull() | (F.get_json_object("e", "$.plan") != "sub"))
