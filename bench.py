@@ -15,7 +15,7 @@ HEADLINE = [
     "j02_star", "j08_nest", "j10_full_outer_merge", "j20_as_of", "w01_prune", "w03_denials", "w05_latest", "e02_replay", "e04_project",
     "e12_anchored_window", "r04_bm25", "r06_vector_search", "r18_regex_lines", "t03_keyset_page", "f25_step_cost", "f35_html_text", "d01_upsert",
 ]
-REPEATS = 3
+REPEATS = 5
 
 
 def main() -> None:
@@ -23,14 +23,15 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, int(cpus), **{"spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false"})
     times: dict[str, float] = {}
+    spread: dict[str, float] = {}
     for name in HEADLINE:
         runs = []
         for _ in range(REPEATS):
             t = time.perf_counter()
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - t)
-        times[name] = round(statistics.median(runs), 3)
-    print(json.dumps({"metric": f"total of the median of {REPEATS} runs", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+        times[name], spread[name] = round(statistics.median(runs), 3), round(max(runs) - min(runs), 3)
+    print(json.dumps({"metric": f"total of the median of {REPEATS} runs", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "spread": spread}))
     spark.stop()
 
 
