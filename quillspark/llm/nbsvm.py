@@ -25,6 +25,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ MAX_TRAIN = 12_000
 #: Bound on the features kept, and the rows of the sample a feature must occur in.
 MAX_FEATURES = 150_000
 MIN_ROWS = 5
+#: Hashed counts that tell which tokens are worth an exact count.
+SLOTS = 1 << 22
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 12
@@ -108,16 +111,21 @@ def fit(texts: list[str], y: np.ndarray) -> dict:
     if pos in (0.0, 1.0) or not len(y):
         p = min(max(pos, 1e-3), 1 - 1e-3)
         return model | {"b": float(np.log(p / (1 - p)))}
-    seqs = [tokens(t) for t in texts]
+    # texts are split again in each step: their tokens, as objects, would take many times their room
+    slots = np.zeros(SLOTS, np.int32)
+    for t in texts:
+        np.add.at(slots, [crc32(x.encode("utf-8", "replace")) % SLOTS for x in set(tokens(t))], 1)
     seen = Counter()
-    for s in seqs:
-        seen.update(set(s))
+    for t in texts:
+        seen.update(x for x in set(tokens(t)) if slots[crc32(x.encode("utf-8", "replace")) % SLOTS] >= MIN_ROWS)
     vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in seen.items() if n >= MIN_ROWS))}
-    coded = [grams(s, vocabulary) for s in seqs]
+    del seen, slots
+    coded = [grams(tokens(t), vocabulary) for t in texts]
     codes, n = np.unique(np.concatenate(coded), return_counts=True)
     kept = np.sort(np.lexsort((codes, -n))[:MAX_FEATURES])
     codes = codes[kept[n[kept] >= MIN_ROWS]]
-    idx = [np.searchsorted(codes, c[np.isin(c, codes, assume_unique=True)]) for c in coded]
+    idx = [np.searchsorted(codes, c[np.isin(c, codes, assume_unique=True)]).astype(np.int32) for c in coded]
+    del coded
     test = np.arange(len(y)) % 10 == 9
     if len(set(y[test] > 0)) < 2:
         test[:] = False
@@ -130,7 +138,7 @@ def fit(texts: list[str], y: np.ndarray) -> dict:
 
     def row(i):
         v = ratio[i]
-        return np.append(i, len(codes)), np.append(v / max(np.sqrt(v @ v), 1e-9), 1.0)
+        return np.append(i, np.int32(len(codes))), np.append(v / max(np.sqrt(v @ v), 1e-9), 1.0).astype(np.float32)
 
     rows = [row(i) for i in idx]
     train = np.nonzero(~test)[0]
