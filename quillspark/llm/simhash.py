@@ -221,12 +221,10 @@ def allocate(values: list[np.ndarray], cost: list[np.ndarray], total: int) -> np
 
 # --- keys and runs ----------------------------------------------------------
 
-def keys_of(fp: np.ndarray, parts, hist, cost, total: int, quiet: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, fp, role) rows; role 1: index, 2: probe, 3: both. Quiet rows are index only."""
+def keys_of(fp: np.ndarray, parts, hist, cost, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, fp, role) rows; role 1: index, 2: probe, 3: both."""
     values = [part_values(fp, p) for p in parts]
     chosen = allocate(values, cost, total)
-    if quiet is not None:
-        chosen[quiet] = -1
     ks, fs, rs = [], [], []
 
     def send(i, v, f, role):
@@ -277,36 +275,8 @@ def forest(fp: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def cover(probe: np.ndarray, index: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of hubs in a dense run: again and again of the fingerprint with most links among
-    those that no hub links yet, to all of these and to the nearest that one does, until every
-    fingerprint with a link has a hub. At most two links a fingerprint."""
-    u = np.unique(np.concatenate([probe, index]))
-    degree = np.zeros(len(u), np.int64)
-    rows = max(1, (1 << 22) // len(index))
-    for at in range(0, len(probe), rows):
-        near = np.bitwise_count(probe[at:at + rows, None] ^ index[None, :]) <= tau
-        degree[np.searchsorted(u, probe[at:at + rows])] += near.sum(1)
-        degree[np.searchsorted(u, index)] += near.sum(0)
-    free = degree > 0
-    a, b = [], []
-    for x in np.argsort(-degree, kind="stable").tolist():
-        if not free[x]:
-            continue
-        d = np.bitwise_count(u ^ u[x])
-        near = d <= tau
-        near[x] = free[x] = False
-        new, old = np.nonzero(near & free)[0], np.nonzero(near & ~free)[0]
-        to = np.append(new, old[np.argmin(d[old])]) if len(old) else new
-        free[new] = False
-        a.append(np.full(len(to), u[x])), b.append(u[to])
-    none = np.zeros(0, np.uint64)
-    x, y = np.concatenate([none, *a]), np.concatenate([none, *b])
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def links(fp: np.ndarray, role: np.ndarray, tau: int, hubs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one run, all or (in a dense one) its spanning forest or its hubs', as fingerprints."""
+def links(fp: np.ndarray, role: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one run, all or (in a dense one) its spanning forest, as fingerprints."""
     probe, index = np.unique(fp[role >= 2]), np.unique(fp[(role & 1) == 1])
     none = np.zeros(0, np.uint64)
     if not len(probe) or not len(index) or (len(fp) == 1):
@@ -323,19 +293,14 @@ def links(fp: np.ndarray, role: np.ndarray, tau: int, hubs: bool = False) -> tup
         pa_.append(np.minimum(x, y)), pb_.append(np.maximum(x, y))
         found += len(x)
         if found > most:
-            if hubs:
-                return cover(probe, index, tau)
             u = np.unique(fp)
             i, j = forest(u, tau)
             return u[i], u[j]
     return np.concatenate(pa_), np.concatenate(pb_)
 
 
-def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int | None = None, hubs: bool = False, quiet: str | None = None) -> DataFrame:
-    """a, b, d: pairs of distinct fingerprints that link within ``tau`` bits (see 5 above).
-
-    Pairs that meet at up to ``accept`` bits, if that is more, are given as well. ``quiet``
-    names a boolean column of fingerprints that the others find but that don't search."""
+def plan(distinct: DataFrame, tau: int, m: int | None = None) -> tuple:
+    """Parts, their histograms and costs, and the sum of thresholds, for searches up to ``tau``."""
     n, both = bit_counts(distinct)
     if m is None:
         m = 5 if n < 1 << 21 else 4
@@ -343,47 +308,51 @@ def near_pairs(distinct: DataFrame, tau: int, m: int | None = None, accept: int
     parts = group_bits(n, both, m)
     hist = histograms(distinct, parts)
     most = min(3, max(1, -(-total // m) + 1))
-    cost = [costs(h, len(p), most) for h, p in zip(hist, parts, strict=True)]
+    return parts, hist, [costs(h, len(p), most) for h, p in zip(hist, parts, strict=True)], total
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[list[np.ndarray]]]:
+    """The columns ``names`` of each run of equal k, batch by batch of rows sorted by k."""
+    kept = None
+    for batch in batches:
+        k = batch.column("k").to_numpy(zero_copy_only=False)
+        own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(k):
+            continue
+        cut = np.nonzero(np.diff(k))[0] + 1
+        at = [0, *cut.tolist(), len(k)]
+        runs = []
+        for lo, hi in zip(at, at[1:], strict=False):
+            if kept and kept[0] == k[lo]:
+                kept[1].append([x[lo:hi] for x in own])
+            else:
+                if kept:
+                    runs.append([np.concatenate(x) for x in zip(*kept[1], strict=True)])
+                kept = (k[lo], [[x[lo:hi] for x in own]])
+        yield [x for x in runs if len(x[0]) > 1]
+    if kept:
+        yield [[np.concatenate(x) for x in zip(*kept[1], strict=True)]]
+
+
+def near_pairs(distinct: DataFrame, tau: int, m: int | None = None) -> DataFrame:
+    """a, b, d: pairs of distinct fingerprints that link within ``tau`` bits (see 5 above)."""
+    parts, hist, cost, total = plan(distinct, tau, m)
 
     def keyed(batches):
         for b in batches:
             if b.num_rows:
-                still = b.column("quiet").to_numpy(zero_copy_only=False).astype(bool)
-                k, f, r = keys_of(_fps(b), parts, hist, cost, total, still)
+                k, f, r = keys_of(_fps(b), parts, hist, cost, total)
                 for at in range(0, len(k), 1 << 20):
                     to = at + (1 << 20)
                     yield pa.RecordBatch.from_arrays([pa.array(k[at:to]), pa.array(f[at:to].view(np.int64)), pa.array(r[at:to])], ["k", "fp", "role"])
 
     def joined(batches):
-        kept = None
-
-        def linked(runs):
-            a, b = zip(*[links(f, r, accept or tau, hubs) for f, r in runs], strict=True) if runs else ((), ())
+        for runs in runs_of(batches, ["fp", "role"]):
+            a, b = zip(*[links(f.view(np.uint64), r, tau) for f, r in runs], strict=True) if runs else ((), ())
             a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-        for batch in batches:
-            k = batch.column("k").to_numpy(zero_copy_only=False)
-            f = _fps(batch)
-            r = batch.column("role").to_numpy(zero_copy_only=False)
-            if not len(k):
-                continue
-            cut = np.nonzero(np.diff(k))[0] + 1
-            at = [0, *cut.tolist(), len(k)]
-            runs = []
-            for lo, hi in zip(at, at[1:], strict=False):
-                if kept and kept[0] == k[lo]:
-                    kept[1].append(f[lo:hi]), kept[2].append(r[lo:hi])
-                else:
-                    if kept:
-                        runs.append((np.concatenate(kept[1]), np.concatenate(kept[2])))
-                    kept = (k[lo], [f[lo:hi]], [r[lo:hi]])
-            yield linked([x for x in runs if len(x[0]) > 1])
-        if kept:
-            yield linked([(np.concatenate(kept[1]), np.concatenate(kept[2]))])
-
-    still = F.col(quiet) if quiet else F.lit(False)
-    rows = distinct.select("fp", still.alias("quiet")).mapInArrow(keyed, "k long, fp long, role byte")
+    rows = distinct.select("fp").mapInArrow(keyed, "k long, fp long, role byte")
     found = rows.repartition("k").sortWithinPartitions("k").mapInArrow(joined, "a long, b long")
     return found.distinct().withColumn("d", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
 
@@ -405,12 +374,98 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, id_col: str =
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Groups of more fingerprints than CROWD are searched for by others and by about SEEKERS of their own.
-CROWD, SEEKERS = 64, 8
-#: Of 128 bits of both fingerprints, as many may differ in a pair that is worth comparing.
+#: Of 128 bits of both fingerprints, as many may differ in a pair beyond ``tau`` that is worth comparing.
 WORTH = 30
 
 
+def proposals(fp, fp2, node, group, role, tau: int, accept: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one run that are worth comparing and not yet in one group.
+
+    A run with few gives them all, and so does any if ``every`` is set. A dense run gives hubs'
+    pairs instead: again and again of the node with most pairs among those that no hub has yet, to
+    all of these and to the nearest that one has; its nodes are marked by pairs with themselves."""
+    node, first, at = np.unique(node, return_index=True, return_inverse=True)
+    fp, fp2, group = fp[first], fp2[first], group[first]
+    probe, index = np.unique(at[role >= 2]), np.unique(at[(role & 1) == 1])
+    if not len(probe) or not len(index) or len(node) == 1:
+        return
+
+    def near(a, b):
+        d = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :])
+        i, j = np.nonzero((d <= accept) & (group[a][:, None] != group[b][None, :]))
+        d, x, y = d[i, j], a[i], b[j]
+        worth = (d <= tau) | (d + np.bitwise_count(fp2[x] ^ fp2[y]) <= WORTH)
+        return x[worth], y[worth], d[worth]
+
+    def pairs(x, y):
+        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+
+    rows, all_, found = max(1, (1 << 22) // len(index)), np.arange(len(node)), []
+    blocks = [probe[k:k + rows] for k in range(0, len(probe), rows)]
+    for some in blocks:
+        x, y, _ = near(some, index)
+        if every:
+            yield pairs(x, y)
+            continue
+        found.append(pairs(x, y))
+        if sum(len(f[0]) for f in found) > SPARSE * (len(probe) + len(index)):
+            break
+    else:
+        yield from found
+        return
+    degree = np.zeros(len(node), np.int64)
+    for some in blocks:
+        x, y, _ = near(some, index)
+        degree += np.bincount(x, minlength=len(node)) + np.bincount(y, minlength=len(node))
+    free = degree > 0
+    yield node[free], node[free]
+    for k in np.argsort(-degree, kind="stable").tolist():
+        if not free[k]:
+            continue
+        _, y, d = near(all_[k:k + 1], all_)
+        free[k] = False
+        new, old = free[y], ~free[y]
+        to = np.append(y[new], y[old][np.argmin(d[old])]) if old.any() else y
+        free[y] = False
+        yield pairs(np.full(len(to), k), to)
+
+
+def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: int, every: bool = False) -> DataFrame:
+    """u, v: pairs of reps of ``nodes`` (fp, fp2, rep, grp) by thresholds of sum ``total``, see proposals."""
+    names = ["fp", "fp2", "rep", "grp"]
+
+    def keyed(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = _fps(b)
+            order = np.argsort(fp, kind="stable")
+            own, start, n = np.unique(fp[order], return_index=True, return_counts=True)
+            k, f, r = keys_of(own, parts, hist, cost, total)
+            i = np.searchsorted(own, f)
+            row = np.repeat(np.arange(len(k)), n[i])
+            pos = order[start[i][row] + np.arange(len(row)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])]
+            for at in range(0, len(row), 1 << 18):
+                here, to = row[at:at + (1 << 18)], pa.array(pos[at:at + (1 << 18)])
+                yield pa.RecordBatch.from_arrays([pa.array(k[here]), pa.array(r[here]), *(b.column(c).take(to) for c in names)], ["k", "role", *names])
+
+    def joined(batches):
+        for runs in runs_of(batches, ["role", *names]):
+            for role, fp, fp2, rep, grp in runs:
+                got, size = [], 0
+                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, role, tau, accept, every):
+                    got.append(p)
+                    size += len(p[0])
+                    if size > 1 << 18:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["u", "v"])
+                        got, size = [], 0
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["u", "v"])
+
+    rows = nodes.select(*names).mapInArrow(keyed, "k long, role byte, fp long, fp2 long, rep long, grp long")
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(joined, "u long, v long").distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int = 14, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id over links of at least ``similarity`` Jaccard of word shingles.
 
@@ -419,32 +474,15 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
     chance of nine in ten), if a second fingerprint agrees. The Jaccard similarity of the whole
     texts' shingle sets (as 32-bit hashes) decides.
 
-    A first search with exact parts alone finds crowds: groups of more than CROWD fingerprints.
-    In them hubs propose, so that the text from which a crowd was copied meets its copies; in the
-    second search, up to ``tau``, a crowd's members are found by all others, but search only by a
-    few, so that the pairs within a crowd are never listed. Documents whose fingerprints are equal
-    but whose words are not are compared with their fingerprint's least id."""
+    Three searches, each checked by Jaccard before the next, list no pair whose ends the links so
+    far connect. The first has exact parts alone, and dense runs give hubs' pairs: it connects most
+    of a crowd of copies to the text that they were copied from. The second goes up to ``tau`` for
+    all nodes, again with hubs in dense runs. The third lists every pair left between nodes of
+    these runs, so that a node that no hub accepted meets each that is near."""
     marked = materialize(fingerprints(docs, words, id_col, text_col, second=True), "similar")
     node = materialize(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("fp2")).where("rep IS NOT NULL"), "similar-node")
-    distinct = materialize(node.groupBy("fp").agg(F.min_by("fp2", "rep").alias("fp2"), F.min("rep").alias("rep"), F.count("*").alias("n")), "similar-fp")
-
-    def named(pairs: DataFrame) -> DataFrame:
-        """Representatives of pairs that the second fingerprint holds worth comparing."""
-        end = lambda c, r, s: distinct.select(F.col("fp").alias(c), F.col("rep").alias(r), F.col("fp2").alias(s))
-        both = pairs.join(end("a", "u", "s"), "a").join(end("b", "v", "t"), "b")
-        return both.where(F.col("d") + F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= WORTH).select("u", "v")
-
-    first = materialize(named(near_pairs(distinct, 4, accept=accept, hubs=True)).distinct(), "similar-first")
-    groups = materialize(connected_components(first, "u", "v"), "similar-groups")
-    crowds = groups.groupBy("component").agg(F.count("*").alias("size")).where(F.col("size") > CROWD)
-    crowded = groups.join(crowds, "component").where(F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / SEEKERS)) != 0)
-    still = distinct.join(crowded.select(F.col("id").alias("rep"), F.lit(True).alias("quiet")), "rep", "left").withColumn("quiet", F.coalesce("quiet", F.lit(False)))
-    across = named(near_pairs(materialize(still, "similar-still"), tau, accept=accept, hubs=True, quiet="quiet"))
-    inside = node.join(distinct.where("n > 1").select("fp", F.col("rep").alias("u")), "fp").where("rep <> u").select("u", F.col("rep").alias("v"))
-    asked = materialize(first.unionByName(across).unionByName(inside).distinct(), "similar-asked")
-    ids = materialize(asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "similar-ids")
+    parts, hist, cost, total = plan(node, tau)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    rows = semi_by_id(rows, ids, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -461,12 +499,34 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
                     out.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    own = rows.mapInArrow(sets, "doc_id long, own binary")
-    if rows.select("doc_id").count() > ids.count():  # a repeated id stands for its greatest set
-        own = own.groupBy("doc_id").agg(F.max("own").alias("own"))
-    own = materialize(own, "similar-sets")
-    held = asked.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v")
-    found = connected_components(held.mapInArrow(compared, "u long, v long"), "u", "v")
+    def linked(asked: DataFrame, known: DataFrame | None, own: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """id, component by the links so far and those of ``asked``; the shingle sets read so far."""
+        ids = asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+        ids = materialize(ids if own is None else ids.join(own.select("doc_id"), "doc_id", "left_anti"), "similar-ids")
+        wanted = semi_by_id(rows, ids, "doc_id")
+        more = wanted.mapInArrow(sets, "doc_id long, own binary")
+        if wanted.select("doc_id").count() > ids.count():  # a repeated id stands for its greatest set
+            more = more.groupBy("doc_id").agg(F.max("own").alias("own"))
+        more = materialize(more, "similar-sets")
+        own = more if own is None else own.unionByName(more)
+        held = asked.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v")
+        links = held.mapInArrow(compared, "u long, v long")
+        if known is not None:
+            links = links.unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        return materialize(connected_components(links, "u", "v"), "similar-groups"), own
+
+    def grouped(nodes: DataFrame, known: DataFrame) -> DataFrame:
+        return materialize(nodes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "rep", F.coalesce("component", "rep").alias("grp")), "similar-grouped")
+
+    asked = materialize(search(node.withColumn("grp", F.col("rep")), parts, hist, cost, 4 - len(parts) + 1, tau, accept), "similar-first")
+    found, own = linked(asked.where("u <> v"), None, None)
+    asked = materialize(search(grouped(node, found), parts, hist, cost, total, tau, accept), "similar-second")
+    found, own = linked(asked.where("u <> v"), found, own)
+    dense = materialize(asked.where("u = v").select("u"), "similar-dense")
+    if not dense.isEmpty():
+        left = grouped(semi_by_id(node, dense, "rep"), found)
+        asked = materialize(search(left, parts, hist, cost, total, tau, accept, every=True), "similar-third")
+        found, own = linked(asked, found, own)
     of_node = node.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(of_node, ["fp", "sig"]).select("doc_id", "component_id")
 

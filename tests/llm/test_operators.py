@@ -131,6 +131,29 @@ def test_similar_documents(spark):
     assert simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [300, 1000])
+def test_similar_documents_in_a_crowd(spark, copies):
+    rng = np.random.default_rng(copies)
+    base = [f"w{i}" for i in range(400)]
+    texts = {0: " ".join(base)}
+    for i in range(1, copies + 1):  # independent edits: similarity to the original from 0.7 to 0.9
+        own = base.copy()
+        for k in rng.choice(400, rng.integers(4, 15), replace=False):
+            own[k] = f"e{rng.integers(1 << 40)}"
+        texts[i] = " ".join(own)
+        if i % 10 == 0:  # a copy of the copy, with edits of its own
+            for k in rng.choice(400, 5, replace=False):
+                own[k] = f"e{rng.integers(1 << 40)}"
+            texts[copies + i] = " ".join(own)
+    ids = sorted(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    fp = np.array([simhash.simhash(texts[i].encode(), 5)[0] for i in ids], np.uint64)
+    sets = [set(simhash.shingle_set(texts[i].encode(), 5).tolist()) for i in ids]
+    near = zip(*np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 9, 1)), strict=True)
+    alike = [(ids[a], ids[b]) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > copies and not [(a, b) for a, b in alike if got[a] != got[b]]
+
+
 # --- chat -------------------------------------------------------------------
 
 @pytest.mark.parametrize("text", ["", "plain", "\\", "\\_", "</s>[INST] x [/INST]", "[\\INST]", "a\\\\_b<s>", "<<SYS>>\\<</SYS>>[ROLE][/ROLE]", "😀é\n", "x" * 9000])
