@@ -1,19 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The words of the benchmark's items give their n-grams. One pass over all whole
-   documents notes where they occur. From that the documents of each n-gram are
-   counted; n-grams in at most RARE_SHARE of the documents (or RARE_ROWS of them),
-   and in any case the rarest RARE_PART of an item's own, are seeds, so an item that
-   leaked into a third of all documents still has seeds.
-2. Where an item has enough seeds close together, the stretch around them is aligned
-   with the item (local alignment over words: match 2, mismatch and gap -1). The
-   score is the best alignment's, as a share of the item's own; copies that are
-   edited, cut or rewritten in part lose only the words concerned.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. The words of the benchmark's items give their n-grams, which one pass over all whole
+   documents finds. All are seeds, however many documents hold them: which n-grams of an
+   item are rare depends on its copies' edits, so rare ones alone lose edited copies of an
+   item that leaked into many documents.
+2. Where an item has two seeds within its length, the stretch around them is aligned
+   with the item (local alignment over words: match 2, mismatch and gap -1), unless it
+   holds too few of the item's words for the least score. The score is the best
+   alignment's, as a share of the item's own; copies that are edited, cut or rewritten
+   in part lose only the words concerned.
 
 The benchmark is read in blocks of about BLOCK_BYTES of text, one pass a block, so
 what goes to the executors is bounded whatever its size; documents are never
-shuffled, and only those with several n-grams of one item are kept for alignment (as
-word numbers). Only counts of a block's n-grams reach the driver.
+shuffled, and nothing of them reaches the driver.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 words than an n-gram is its own only seed, and must occur whole; repeated documents
@@ -34,9 +33,6 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import anti_by_id, materialize, table
 
 NGRAM = 3
-RARE_SHARE = 0.0005
-RARE_ROWS = 20
-RARE_PART = 0.34
 MIN_SEEDS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.45
@@ -139,15 +135,22 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
     return top, matched, int(j), end
 
 
-def hits(x: np.ndarray, pos: np.ndarray, at: np.ndarray, index: Index, seeds: np.ndarray, min_score: float) -> list[tuple[int, float, int, int, int]]:
+def within_reach(item: np.ndarray, doc: np.ndarray, min_score: float) -> bool:
+    """Whether ``doc`` has enough of the item's words, each as often as it may match, for the least score."""
+    known, times = np.unique(item, return_counts=True)
+    k = np.minimum(np.searchsorted(known, doc), len(known) - 1)
+    has = np.bincount(k[known[k] == doc], minlength=len(known))
+    return int(np.minimum(has, times).sum()) / len(item) >= min_score
+
+
+def hits(x: np.ndarray, pos: np.ndarray, at: np.ndarray, index: Index, min_score: float) -> list[tuple[int, float, int, int, int]]:
     """(item, score, matched, start, end) of every item found in one document."""
-    keep = seeds[at] if len(at) else np.zeros(0, bool)
-    by = index.by_item(pos[keep], at[keep])
+    by = index.by_item(pos, at)
     out = []
     for k, found in by.items():
         ids = index.ids[k]
         m, best = len(ids), None
-        enough = min(MIN_SEEDS, int(seeds[index.of_item[k]].sum()))
+        enough = min(MIN_SEEDS, len(index.of_item[k]))
         if len({g for _, g in found}) < enough:
             continue
         found.sort()
@@ -165,6 +168,8 @@ def hits(x: np.ndarray, pos: np.ndarray, at: np.ndarray, index: Index, seeds: np
             lo = max(0, run[0][0] - m)
             for start in range(lo, run[-1][0] + m, 8 * m):
                 part = x[start:min(run[-1][0] + 2 * m, start + 10 * m)]
+                if not within_reach(ids, part, min_score):
+                    continue
                 top, matched, a, b = align(ids, part)
                 got = (top / (MATCH * m), matched, start + a, start + b)
                 if best is None or got > best:
@@ -184,42 +189,6 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int,
             yield got
 
 
-def _noted(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id, pos, gram: the block's n-grams in every document that has any; x: the document's
-    word numbers, where an item has as many of them as it takes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                x = index.numbers(t)
-                pos, at = index.find(x)
-                if not len(pos):
-                    continue
-                many = any(len({g for _, g in f}) >= min(MIN_SEEDS, len(index.of_item[k])) for k, f in index.by_item(pos, at).items())
-                rows.append((d, pos.astype(np.int32), at.astype(np.int32), x.astype(np.int32).tobytes() if many else None))
-            types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "pos", "gram", "x"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, pos array<int>, gram array<int>, x binary")
-
-
-def _document_counts(noted: DataFrame, index: Index) -> np.ndarray:
-    """For each n-gram of the block the documents that have it."""
-    out = np.zeros(len(index.grams), np.int64)
-    got = noted.select(F.explode(F.array_distinct("gram")).alias("gram")).groupBy("gram").count().toArrow()
-    out[got.column("gram").to_numpy()] = got.column("count").to_numpy()
-    return out
-
-
-def choose_seeds(index: Index, n: int, counts: np.ndarray) -> np.ndarray:
-    """Which n-grams are seeds (see 1 above)."""
-    seeds = counts <= max(RARE_ROWS, RARE_SHARE * n)
-    for own in index.of_item:
-        order = own[np.argsort(counts[own], kind="stable")]
-        seeds[order[: max(MIN_SEEDS, int(np.ceil(RARE_PART * len(own))))]] = True
-    return seeds
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, matched, start_word, end_word of every item found in a document."""
     spark, out = docs.sparkSession, None
@@ -227,19 +196,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, b
         index = Index(items)
         if not len(index.grams):
             continue
-        noted = materialize(_noted(docs, index), "leaks")
-        seeds = choose_seeds(index, docs.count(), _document_counts(noted, index))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index, seeds=seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
-                for d, pos, at, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pos", "gram", "x")), strict=True):
-                    found = hits(np.frombuffer(x, np.int32).astype(np.int64), np.array(pos, np.int64), np.array(at, np.int64), index, seeds, min_score)
-                    rows += [(d, index.items[k][0], s, m, a, e) for k, s, m, a, e in found]
+                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    x = index.numbers(t)
+                    rows += [(d, index.items[k][0], s, m, a, e) for k, s, m, a, e in hits(x, *index.find(x), index, min_score)]
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "item_id", "score", "matched", "start_word", "end_word"])
 
-        found = noted.where("x IS NOT NULL").mapInArrow(run, SCHEMA)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 

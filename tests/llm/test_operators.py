@@ -242,6 +242,21 @@ def test_leak_query_matches_brute_force(spark):
         assert brute_align(x, plain[d].split()) >= decontaminate.MIN_SCORE * 2 * len(x)
 
 
+def test_edited_copies_of_a_hot_item_are_found(spark):
+    rng = np.random.default_rng(8)
+    item = [f"w{i}" for i in range(16)]
+    docs, want = [], set()
+    for d in range(400):
+        own = [f"e{rng.integers(1 << 40)}" if d % 2 and rng.random() < 0.25 else w for w in item]
+        docs.append((d, " ".join([f"x{rng.integers(1 << 40)}" for _ in range(20)] + own + [f"y{d}"] * 20)))
+        grams = {tuple(item[i:i + 3]) for i in range(14)} & {tuple(own[i:i + 3]) for i in range(14)}
+        if len(grams) >= 2 and brute_align(item, own) >= decontaminate.MIN_SCORE * 2 * 16:
+            want.add(d)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 300 and want <= got
+
+
 # --- classifiers ------------------------------------------------------------
 
 def held(spark, fn, column, mod, rest):
