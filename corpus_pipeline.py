@@ -19,7 +19,7 @@ SHARDS = 8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine holds likelier toxic than not go."""
+    """Documents that the factorization machine holds toxic go, by the operator's own threshold."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 

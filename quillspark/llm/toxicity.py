@@ -35,6 +35,8 @@ from quillspark.llm.common import hash_mod, table
 from quillspark.llm.nbsvm import fitted, labelled_sample, logistic_curve, rejected, scored
 
 MAX_TRAIN = 16_000
+#: A text of this score or more is held toxic, by the operator and by the pipeline's stage.
+THRESHOLD = 0.3
 BUCKETS = 1 << 32
 PREFIXES = (4, 5, 6)
 RANK = 8
@@ -170,14 +172,14 @@ def score(text: str | None, model: dict) -> float:
     return float(1 / (1 + np.exp(-np.clip(model["a"] * out + model["b"], -35, 35))))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn=None, most: int = MAX_TRAIN, threshold: float = 0.3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn=None, most: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted; ``may_learn`` is a condition on the labels' doc_id."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, most)
     return scored(docs, fitted(sample, fit), score, threshold)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = MAX_TRAIN) -> DataFrame:
-    """``docs`` without the documents likelier toxic than not, learned from all labels of ``docs``."""
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAIN) -> DataFrame:
+    """``docs`` without the documents held toxic, learned from all labels of ``docs``."""
     return rejected(docs, fitted(labelled_sample(docs, labels, "toxic", F.lit(True), most), fit), score, threshold)
 
 

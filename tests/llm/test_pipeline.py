@@ -3,7 +3,7 @@
 import duckdb
 
 import corpus_pipeline as P
-from quillspark.llm import decontaminate, simhash
+from quillspark.llm import decontaminate, simhash, toxicity
 from quillspark.llm.common import materialize, table
 
 MID = "/root/testdata/sf0.01"
@@ -39,6 +39,13 @@ def test_stages(spark):
     assert {r.doc_id for r in shards} == set(kept) and {r.shard for r in shards} == set(range(P.SHARDS))
 
 
+def test_toxicity_stage_goes_by_the_operators_decision(spark):
+    docs, labels = table(spark, MID, "documents"), table(spark, MID, "labels")
+    kept = {r.doc_id for r in P.drop_toxic(spark, docs, MID).collect()}
+    told = toxicity.toxicity_scores(docs, labels).collect()
+    assert any(0.3 <= r.score < 0.5 for r in told) and {r.doc_id for r in told if not r.predicted} == kept
+
+
 def test_empty_documents(spark):
     docs = table(spark, MID, "documents").limit(0)
     for _, stage in P.STAGES:
