@@ -31,14 +31,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: lineage is cut there.
 
-    An application's tables lie together below its id, so they can be removed when it is done."""
+    An application's tables lie together below its id; what ``discard`` has not removed goes
+    when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    own = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = f"{own}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, own)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes the files of tables made by ``materialize`` that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_written", None):
+            fs, at = _file_system(t.sparkSession, path)
+            fs.delete(at, True)
 
 
 def keep_only(df: DataFrame, *names: str) -> DataFrame:
@@ -66,6 +85,24 @@ def semi_by_id(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return _by_id(rows, ids, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
+#: Keys of more rows than this go by a broadcast, at most MAX_HOT of them; the others by a shuffle.
+HOT_ROWS = 100_000
+MAX_HOT = 10_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` left-joined with ``facts``, which has one row a key and the key's count of ``rows`` in ``n``.
+
+    The rows of a key with a large share of all never meet in one task."""
+    hot = facts.where(F.col(n) > HOT_ROWS).orderBy(F.desc(n), *keys).limit(MAX_HOT)
+    if hot.isEmpty():
+        return rows.join(facts, keys, "left").drop(n)
+    hot = materialize(hot, "hot")
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts, keys, "left")
+    return near.unionByName(far).drop(n)
+
+
 def hash_mod(col: str, n: int) -> Column:
     """crc32 of a column's text form, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize
+from quillspark.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -40,8 +40,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         state = _state(now)
         if state == was or not state[0]:
             break
-        was = state
-        now = materialize(_small_star(_large_star(now).distinct()).distinct(), "cc")
+        was, before = state, now
+        now = materialize(_small_star(_large_star(before).distinct()).distinct(), "cc")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

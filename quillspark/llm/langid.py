@@ -6,8 +6,8 @@ follow-the-regularised-leader with elastic-net penalties (so most weights are
 exactly zero), then one temperature, chosen on a tenth of the sample that the fit
 has not seen, calibrates its probabilities.
 
-The fit uses at most MAX_TRAIN labelled rows, those whose id hashes lowest, in one
-task. Counting and scoring read every whole text, each in one pass; only BUCKETS
+The fit uses the rows with a language whose id hashes lowest, at most MAX_TRAIN of
+them and nbsvm's MAX_TRAIN_BYTES of text, in one task. Counting and scoring read every whole text, each in one pass; only BUCKETS
 counts are shuffled.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a
@@ -44,15 +44,16 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(
 def ngram_counts(text: str) -> np.ndarray:
     """How often each bucket's n-grams occur in the whole text."""
     out = np.zeros(BUCKETS, np.int64)
+    text = text.lower()
     for at in range(0, len(text), CHUNK):
-        part = text[max(0, at - ORDERS + 1):at + CHUNK].lower()
+        part = text[at:at + CHUNK + ORDERS - 1]  # n-grams that start within the chunk
         c = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
         h = np.zeros(len(c), np.uint64)
         for n in range(ORDERS):
             if len(c) <= n:
                 break
             h = (h[: len(c) - n] * np.uint64(0x100000001B3) + c[n:] + np.uint64(1)) * _MIX[n]
-            out += np.bincount((h >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
+            out += np.bincount((h[:CHUNK] >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
     return out
 
 

@@ -9,19 +9,27 @@
    posteriors soft.
 2. Every whole document gets its token count and a posterior for each domain.
 3. Projected-gradient least squares finds document rates r >= 0 whose expected
-   domain totals, sum r * tokens * posterior, meet the targets. A step only needs the
-   domains' residuals, so an iteration is one aggregate of as many sums as there are
-   domains; a rate is a short chain of clipped subtractions over the residuals so
-   far, computed where its document is.
+   domain totals, sum r * tokens * posterior, meet the targets. Every document starts
+   at rate 1; the gradient at a document is its posteriors times the domains'
+   residuals, so the sum of all steps is K multipliers, and a rate is the projection
+   of 1 less its posteriors times these on r >= 0. A step is scaled by the second
+   moments of the documents whose rate is not at a bound, and halved until the
+   objective falls; it needs one aggregate of K * (K + 3) / 2 + 1 sums. The term
+   STAY * tokens * (r - 1)^2 / 2 makes the solution unique: of mixes that meet the
+   targets equally well, the one nearest to the documents as they are.
 
 All of it is SQL on the JVM. Texts are read once for scoring and once for the
-sample, and never shuffled; only counts of BUCKETS buckets, and a few sums a step,
-reach the driver.
+sample, and never shuffled; documents of equal posteriors, which get equal rates, are
+added up before the fit; only counts of BUCKETS buckets, and a few sums a step, reach
+the driver. Of labelled rows that share their SKETCH least hashes of four tokens
+running, which only copies do, the one of least id is learned from.
 
 Defined results: a null or empty text has no token, the prior as its posterior and
-rate 1 if nothing asks for another; domains without labelled rows or targets get
+the rate that this asks for; domains without labelled rows or targets get
 weight 0; without any labelled row all rates are 1; repeated ids give a row each; an
-empty table gives no rows; extra columns are ignored.
+empty table gives no rows; extra columns are ignored. Targets that no rates reach
+are met as nearly as least squares can. Results do not depend on how rows are
+partitioned, but for the last bits of sums.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import anti_by_id, materialize, table
+from quillspark.llm.common import anti_by_id, discard, materialize, table
 
 MAX_TRAIN = 20_000
 BUCKETS = 1 << 14
@@ -41,10 +49,13 @@ MIN_ROWS = 8
 SKETCH = 6
 SMOOTHING = 0.5
 TEMPERATURES = [0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0, 16.0]
-ITERATIONS = 60
-#: A document is only thinned out of a domain it belongs to with this posterior at least.
+#: Posterior from which a document may be thinned out of a domain.
 SURE = 0.8
-TOLERANCE = 1e-4
+#: Weight of staying at rate 1, against squared residuals as shares of all tokens.
+STAY = 1e-7
+#: The fit ends when no domain's derivative exceeds this share of all tokens; it raises if that takes more steps.
+TOLERANCE = 1e-9
+MOST_STEPS = 200
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
@@ -64,9 +75,12 @@ def _sample(docs: DataFrame, labelled: DataFrame, most: int) -> DataFrame:
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     tested = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 9
-    have = rows.select("domain", tested.alias("tested"), F.array_distinct(buckets(F.col("text"))).alias("have"))
-    # copies would make every word of a copied text tell: of rows with the same least buckets one is kept
-    return have.withColumn("_like", F.slice(F.array_sort("have"), 1, SKETCH)).dropDuplicates(["domain", "_like"]).drop("_like")
+    split = rows.select("doc_id", "domain", tested.alias("tested"), buckets(F.col("text")).alias("all"))
+    # copies would make every word of a copied text tell
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - 3, F.lit(1))), lambda i: F.xxhash64(F.slice("all", i, 4)))
+    like = F.slice(F.array_sort(F.array_distinct(runs)), 1, SKETCH)
+    row = F.struct("doc_id", "tested", F.array_sort(F.array_distinct("all")).alias("have"))
+    return split.select("domain", like.alias("like"), row.alias("row")).groupBy("domain", "like").agg(F.min("row").alias("row")).select("domain", "row.tested", "row.have")
 
 
 def learn(docs: DataFrame, labelled: DataFrame, most: int = MAX_TRAIN) -> dict:
@@ -135,7 +149,7 @@ def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     telling = [float(any(w[b] for w in model["weights"])) for b in range(BUCKETS)]
     mask = _literal(telling)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), buckets(F.col(f"`{text_col}`")).alias("all"))
-    rows = rows.select("doc_id", F.size("all").cast("long").alias("tokens"), F.array_distinct(F.filter("all", lambda b: F.element_at(mask, b + 1) > 0)).alias("have"))
+    rows = rows.select("doc_id", F.size("all").cast("long").alias("tokens"), F.array_sort(F.array_distinct(F.filter("all", lambda b: F.element_at(mask, b + 1) > 0))).alias("have"))
     k = len(model["domains"])
     scored = rows.select("doc_id", "tokens", *logits(model, F.col("have")))
     z = [F.col(f"z_{i}") / model["t"] for i in range(k)]
@@ -144,41 +158,84 @@ def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     return scored.select("doc_id", "tokens", *[(x / sum(e[1:], e[0])).alias(f"p_{i}") for i, x in enumerate(e)])
 
 
-def _top_eigenvalue(m: list[list[float]]) -> float:
-    v, out = [1.0] * len(m), 1.0
-    for _ in range(100):
-        w = [sum(a * b for a, b in zip(r, v, strict=True)) for r in m]
-        out = math.sqrt(sum(x * x for x in w)) or 1.0
-        v = [x / out for x in w]
+def _solve(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b for a small symmetric positive definite a, by elimination."""
+    k = len(b)
+    rows = [[*r, x] for r, x in zip(a, b, strict=True)]
+    for i in range(k):
+        for j in range(i + 1, k):
+            f = rows[j][i] / rows[i][i]
+            rows[j] = [y - f * x for x, y in zip(rows[i], rows[j], strict=True)]
+    out = [0.0] * k
+    for i in reversed(range(k)):
+        out[i] = (rows[i][k] - sum(rows[i][j] * out[j] for j in range(i + 1, k))) / rows[i][i]
     return out
 
 
-def rates(rows: DataFrame, targets: list[float], iterations: int = ITERATIONS) -> tuple[Column, list[dict]]:
-    """A column of rates over ``rows`` (tokens, p_k), and each iteration's totals.
+def rate_of(m: list[float], most: float | None, movable: Column | None = None) -> Column:
+    """1 less the steps so far, projected on 0 to ``most``; 1 where a row may not move."""
+    out = F.greatest(F.lit(0.0), 1 - _dot(m))
+    out = out if most is None else F.least(F.lit(float(most)), out)
+    return out if movable is None else F.when(movable, out).otherwise(F.lit(1.0))
 
-    ``targets`` are expected tokens of each domain. Residuals are weighed by the inverse
-    of a domain's own second moment, so that a rare domain moves as fast as a common one."""
+
+def _dot(m: list[float]) -> Column:
+    return sum((F.col(f"p_{k}") * F.lit(float(x)) for k, x in enumerate(m[1:], 1)), F.col("p_0") * F.lit(float(m[0])))
+
+
+def rates(rows: DataFrame, targets: list[float], most: float | None = None, movable: Column | None = None) -> tuple[Column, dict]:
+    """A column of rates over ``rows`` (tokens, p_k), and the fit: multipliers, totals, off, steps.
+
+    ``targets`` are expected tokens of each domain; rows that are not ``movable`` keep rate 1,
+    no rate exceeds ``most``. ``off`` is the largest residual as a share of all tokens."""
     k = len(targets)
-    pairs = [(a, b) for a in range(k) for b in range(a, k)]
-    sums = rows.agg(F.sum("tokens").alias("s"), *[F.sum(F.col("tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")).alias(f"g_{a}_{b}") for a, b in pairs]).first()
-    total = float(sums.s or 0)
-    rate = F.lit(1.0)
+    held = F.lit(True) if movable is None else F.coalesce(movable, F.lit(False))
+    profiles = rows.select("tokens", *[F.col(f"p_{a}") for a in range(k)], held.alias("held")).where("tokens > 0")
+    profiles = profiles.groupBy("held", *[f"p_{a}" for a in range(k)]).agg(F.sum("tokens").cast("double").alias("tokens"))
+    profiles = materialize(profiles, "mix-profiles")
+    total = float(profiles.agg(F.sum("tokens")).first()[0] or 0)
     if not total or not k:
-        return rate, []
-    g = {(a, b): float(sums[f"g_{a}_{b}"]) / total for a, b in pairs}
-    weigh = [1 / g[a, a] if g[a, a] > 1e-12 else 0.0 for a in range(k)]
-    step = 1 / _top_eigenvalue([[math.sqrt(weigh[a] * weigh[b]) * g[min(a, b), max(a, b)] for b in range(k)] for a in range(k)])
-    log = []
-    for _ in range(iterations):
-        got = rows.agg(*[F.sum(rate * F.col("tokens") * F.col(f"p_{a}")).alias(f"e_{a}") for a in range(k)]).first()
-        totals = [float(x or 0) for x in got]
-        off = [(e - t) / total for e, t in zip(totals, targets, strict=True)]
-        log.append({"totals": totals, "off": max(abs(x) * (w > 0) for x, w in zip(off, weigh, strict=True))})
-        if log[-1]["off"] < TOLERANCE or (len(log) > 1 and abs(log[-1]["off"] - log[-2]["off"]) < TOLERANCE / 100):
+        return F.lit(1.0), {"multipliers": [0.0] * k, "totals": [0.0] * k, "off": 0.0, "steps": 0}
+    share = F.col("tokens") / total
+    aims = [t / total for t in targets]
+    pairs = [(a, b) for a in range(k) for b in range(a, k)]
+    # in the term of movable rows the slope is minus the rate, so that its derivative is minus the expected total
+    cap = F.lit(float("inf")) if most is None else F.lit(float(most))
+
+    def at(m: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        x = F.lit(1.0) - _dot(m)
+        inside = F.col("held") & (x > 0) & (x < cap)
+        rate = rate_of(m, most, F.col("held"))
+        term = F.when(~F.col("held"), x).when(x <= 0, F.lit(0.0)).when(x < cap, x * x / 2)
+        term = term if most is None else term.otherwise(cap * x - cap * cap / 2)
+        got = profiles.agg(
+            F.sum(share * term).alias("f"), *[F.sum(share * rate * F.col(f"p_{a}")).alias(f"e_{a}") for a in range(k)],
+            *[F.sum(F.when(inside, share * F.col(f"p_{a}") * F.col(f"p_{b}")).otherwise(0.0)).alias(f"h_{a}_{b}") for a, b in pairs]).first()
+        value = got.f + sum(x * t + STAY * x * x / 2 for x, t in zip(m, aims, strict=True))
+        h = [[got[f"h_{min(a, b)}_{max(a, b)}"] + STAY * (a == b) for b in range(k)] for a in range(k)]
+        return value, [got[f"e_{a}"] for a in range(k)], h
+
+    m, steps = [0.0] * k, 0
+    value, expected, h = at(m)
+    while True:
+        slope = [t - e + STAY * x for x, t, e in zip(m, aims, expected, strict=True)]
+        if max(map(abs, slope)) <= TOLERANCE:
             break
-        move = sum((F.col(f"p_{a}") * (step * weigh[a] * off[a]) for a in range(1, k)), F.col("p_0") * (step * weigh[0] * off[0]))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate, log
+        move = _solve(h, [-g for g in slope])
+        fall, size = sum(a * b for a, b in zip(move, slope, strict=True)), 1.0
+        while True:
+            steps += 1
+            to = [x + size * y for x, y in zip(m, move, strict=True)]
+            value_to, expected_to, h_to = at(to)
+            if value_to <= value + 1e-4 * size * fall + 1e-13 * abs(value):
+                break
+            size /= 2
+            if steps > MOST_STEPS:
+                raise RuntimeError(f"rates did not settle in {MOST_STEPS} steps")
+        m, value, expected, h = to, value_to, expected_to, h_to
+    discard(profiles)
+    off = max(abs(t - e) for t, e in zip(aims, expected, strict=True))
+    return rate_of(m, most, movable), {"multipliers": m, "totals": [e * total for e in expected], "off": off, "steps": steps}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_tokens: float | None = None) -> DataFrame:
@@ -202,13 +259,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_t
     return rows.select("doc_id", "tokens", likeliest.alias("domain"), *[F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(domains)], rate.alias("rate"))
 
 
-def thin(docs: DataFrame, labelled: DataFrame, shares: dict[str, float]) -> DataFrame:
+def thin(docs: DataFrame, labelled: DataFrame, shares: dict[str, float], sure: float = SURE) -> DataFrame:
     """``docs`` without some documents of the domains in ``shares``, so that each of these has at
     most that share of the mix's expected tokens; the other domains keep what they have.
 
-    A document goes if its likeliest domain is one to be thinned, with a posterior of SURE
-    at least, and a hash of its id, as
-    a number from 0 to 1, is not below its rate; all columns are kept."""
+    Only documents that belong to a domain to be thinned with a posterior of ``sure`` at least may
+    go; all others keep rate 1, as does everything if no row is labelled with a domain to be thinned,
+    or none with one that is not. The fit knows this, so the rates, 0 to 1, are those that the hash of a document's id, as a number
+    from 0 to 1, is held against: what is expected to stay is the fitted mix. All columns are kept."""
     model = learn(docs, labelled)
     domains = model["domains"]
     if not set(domains) & set(shares) or not set(domains) - set(shares):
@@ -219,12 +277,11 @@ def thin(docs: DataFrame, labelled: DataFrame, shares: dict[str, float]) -> Data
     rest = sum(x for x, d in zip(now, domains, strict=True) if d not in shares)
     whole = rest / max(1e-9, 1 - sum(shares[d] for d in domains if d in shares))
     aims = [min(x, shares[d] * whole) if d in shares else x for x, d in zip(now, domains, strict=True)]
-    rate, _ = rates(rows, aims)
-    top = F.greatest(*[F.col(f"p_{i}") for i in range(k)])
     excess = F.lit(False)
     for i, d in enumerate(domains):
         if d in shares:
-            excess = excess | ((F.col(f"p_{i}") == top) & (F.col(f"p_{i}") >= SURE))
+            excess = excess | (F.col(f"p_{i}") >= sure)
+    rate, _ = rates(rows, aims, most=1.0, movable=excess)
     chance = F.pmod(F.xxhash64(F.lit("mix"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
     gone = rows.where(excess & (chance >= rate)).select("doc_id").distinct()
     return anti_by_id(docs, materialize(gone, "mix-gone"), "doc_id")

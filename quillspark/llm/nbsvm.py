@@ -7,9 +7,10 @@ log ratio of its smoothed class frequencies; a hinge-loss model is then fitted b
 dual coordinate descent, and a logistic curve, fitted on a tenth of the sample
 that the model has not seen, turns margins into probabilities.
 
-The fit uses at most MAX_TRAIN labelled rows, those whose id hashes lowest, so its
-memory is bounded whatever the table's size; it runs in one task. Scoring reads
-every whole text, in one pass without a shuffle.
+The fit uses the labelled rows whose id hashes lowest, at most MAX_TRAIN of them and
+MAX_TRAIN_BYTES of text, so its memory is bounded whatever the table's size and its
+texts' length; it runs in one task. Scoring reads every whole text, in one pass
+without a shuffle.
 
 Defined results: a null or empty text has no feature and gets the score of the
 intercept; rows without a label are scored like any other; a table without two
@@ -20,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import hash_mod, table
 
-#: Bound on the labelled rows of a fit.
+#: Bounds on the labelled rows of a fit and on the bytes of their texts.
 MAX_TRAIN = 12_000
+MAX_TRAIN_BYTES = 128 << 20
 #: Bound on the features kept, and the rows of the sample a feature must occur in.
 MAX_FEATURES = 150_000
 MIN_ROWS = 5
@@ -43,7 +46,9 @@ MIN_ROWS = 5
 SLOTS = 1 << 22
 SMOOTHING = 1.0
 COST = 1.0
-EPOCHS = 12
+#: Passes end when no dual variable moved by more than MOVED, or after EPOCHS.
+EPOCHS = 60
+MOVED = 1e-3
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -68,22 +73,21 @@ def grams(seq: list[str], vocabulary: dict[str, int]) -> np.ndarray:
 
 
 def hinge_dual(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n: int, cost: float = COST, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of min |w|^2/2 + cost * sum max(0, 1 - y w.x)^2, one dual variable at a time."""
+    """Weights of min |w|^2/2 + cost * sum max(0, 1 - y w.x), one dual variable (0 to cost) at a time."""
     w, alpha = np.zeros(n), np.zeros(len(rows))
-    diag = 1 / (2 * cost)
-    square = np.array([float(v @ v) + diag for _, v in rows])
+    square = np.array([max(float(v @ v), 1e-12) for _, v in rows])
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         moved = 0.0
         for k in rng.permutation(len(rows)):
             i, v = rows[k]
-            g = y[k] * float(w[i] @ v) - 1 + diag * alpha[k]
-            new = max(0.0, alpha[k] - g / square[k])
+            g = y[k] * float(w[i] @ v) - 1
+            new = min(cost, max(0.0, alpha[k] - g / square[k]))
             if new != alpha[k]:
                 w[i] += (new - alpha[k]) * y[k] * v
                 moved = max(moved, abs(new - alpha[k]))
                 alpha[k] = new
-        if moved < 1e-4:
+        if moved < MOVED:
             break
     return w
 
@@ -171,19 +175,44 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, may_learn, m
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def train(sample: DataFrame, fit_rows) -> DataFrame:
-    """One row, ``model``: what ``fit_rows(texts, y)`` made of the whole sample, in one task."""
+class Sample:
+    """The rows of least hash, as long as their texts stay within ``most`` bytes together."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.end, self.heap = most, 0, None, []
+
+    def add(self, h: int, doc_id: int, text: str | None, y) -> None:
+        if self.end is not None and (h, doc_id) >= self.end:
+            return
+        size = len((text or "").encode("utf-8", "replace"))
+        heapq.heappush(self.heap, (-h, -doc_id, size, text or "", y))
+        self.held += size
+        while self.held > self.most:
+            h, doc_id, size, _, _ = heapq.heappop(self.heap)
+            self.held -= size
+            self.end = (-h, -doc_id)  # nothing from here on: what is kept is the same in any order of rows
+
+    def rows(self) -> list[tuple[str, object]]:
+        return [(t, y) for _, _, _, t, y in sorted(self.heap, key=lambda r: -r[1])]
+
+
+def train(sample: DataFrame, fit_rows, most_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """One row, ``model``: what ``fit_rows(texts, y)`` made of the sample, in one task."""
     import pickle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((d, t or "", y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "y")), strict=True))
+        kept = Sample(most_bytes)
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text", "y")), strict=True):
+                kept.add(*r)
+        rows = kept.rows()
         order = np.random.default_rng(11).permutation(len(rows))
-        model = fit_rows([rows[i][1] for i in order], np.array([rows[i][2] for i in order]))
+        model = fit_rows([rows[i][0] for i in order], np.array([rows[i][1] for i in order]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # a repeated id counts once, so that the sample stays within its bound
-    once = sample.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("row")).select("doc_id", "row.*")
-    return once.repartition(1).mapInArrow(run, "model binary")
+    once = sample.groupBy("doc_id").agg(F.min(F.struct("text", "y")).alias("row"))
+    return once.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "row.*").repartition(1).mapInArrow(run, "model binary")
 
 
 def fitted(sample: DataFrame, fit_rows) -> bytes:
@@ -208,14 +237,14 @@ def scored(docs: DataFrame, model: bytes, score_text, threshold: float) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def rejected(docs: DataFrame, model: bytes, score_text, threshold: float) -> DataFrame:
-    """``docs`` without the rows that score the threshold or more; all columns are kept."""
+def rejected(docs: DataFrame, model: bytes, rejects) -> DataFrame:
+    """``docs`` without the rows whose text ``rejects(text, model)``; all columns are kept."""
     import pickle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pickle.loads(model)
         for b in batches:
-            yield b.filter(pa.array([score_text(t, known) < threshold for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not rejects(t, known) for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -9,21 +9,26 @@ Adagrad on the logistic loss; a logistic curve fitted on a tenth of the sample t
 training has not seen makes its output a probability.
 
 Only buckets more frequent in label 1 by Z_MIN standard errors and by a factor, and
-those whose rate differs so among the rows that have one of these, are trained (at
-most MAX_ACTIVE): the others are noise in texts of thousands of words.
+those whose rate differs so among the rows that have one of these, are trained: the
+others are noise in texts of thousands of words.
 
-The fit uses at most MAX_TRAIN labelled rows, those whose id hashes lowest, in one
-task; its memory does not grow with the table. Scoring reads every whole text, in
-one pass without a shuffle.
+The fit uses the labelled rows whose id hashes lowest, at most MAX_TRAIN of them and
+MAX_TRAIN_BYTES of text, in one task; its memory does not grow with the table. Of
+rows that share their SKETCH least hashes of four words running, which only copies
+do, one is fitted. Scoring reads every whole text, in one pass without a shuffle.
 
 Defined results: a null or empty text has no term and gets the score of the bias;
 rows without a label are scored like any other; a table without two labelled
 classes gives every row the share of label 1 (0.5 if none is labelled); repeated
 ids give a row each; an empty table gives no rows; extra columns are ignored.
+``without_toxic`` drops a document only on evidence of its own: a score of the
+threshold or more, and at least one trained term. A text without one (a null or an
+empty text too) stays, so without labels, or with too few to learn from, all stay.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from zlib import crc32
 
@@ -40,7 +45,6 @@ THRESHOLD = 0.3
 BUCKETS = 1 << 32
 PREFIXES = (4, 5, 6)
 RANK = 8
-MAX_ACTIVE = 4096
 Z_MIN = 6.0
 #: Least difference of the log rates, and the rows of the sample a bucket must occur in
 #: (fewer, 3 at least, where under 20 times as many rows have label 1).
@@ -51,7 +55,7 @@ ENOUGH = 50
 EPOCHS = 10
 #: Outputs beyond this count as this, so that the clearest rows don't flatten the curve.
 CLIP = 8.0
-#: Rows of the sample that share so many of their least buckets count as copies.
+#: Rows of the sample that share their so many least hashes of four words count as copies.
 SKETCH = 6
 RATE = 0.1
 DECAY = 1e-5
@@ -71,6 +75,13 @@ def buckets(text: str | None) -> np.ndarray:
     return np.unique(np.array([b for w in words for b in buckets_of(w)], np.uint32))
 
 
+def sketch(text: str | None) -> bytes:
+    """The least hashes of four words running (of all words, if fewer)."""
+    w = _WORD.findall((text or "").lower())
+    runs = {crc32(" ".join(w[i:i + 4]).encode("utf-8", "replace")) for i in range(max(1, len(w) - 3))}
+    return np.array(heapq.nsmallest(SKETCH, runs), np.uint32).tobytes()
+
+
 def machine(x: np.ndarray, model: dict) -> float:
     """Output for a row of active positions."""
     if not len(x):
@@ -80,11 +91,11 @@ def machine(x: np.ndarray, model: dict) -> float:
     return model["bias"] + float(model["w"][x].sum() + 0.5 * (s @ s - (v * v).sum()))
 
 
-def _telling(rows: list[np.ndarray], y: np.ndarray, either: bool) -> dict[int, float]:
-    """Buckets more frequent in label 1 (``either``: or less), with the standard errors between the rates."""
+def _telling(rows: list[np.ndarray], y: np.ndarray, either: bool) -> set[int]:
+    """Buckets more frequent in label 1 (``either``: or less), by enough standard errors."""
     n_pos, n_neg = int((y > 0).sum()), int((y <= 0).sum())
     if min(n_pos, n_neg) < (ENOUGH if either else 1):
-        return {}
+        return set()
     codes, n = np.unique(np.concatenate(rows), return_counts=True)
     least = min(MIN_ROWS, max(3, n_pos // 20))
     codes, n = codes[n >= least], n[n >= least]
@@ -99,7 +110,7 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, either: bool) -> dict[int, f
     ratio = np.log((pos + 0.5) / (n_pos + 1) / ((neg + 0.5) / (n_neg + 1)))
     ratio = np.abs(ratio) if either else ratio
     good = (z >= Z_MIN) & (ratio >= RATIO_MIN)
-    return dict(zip(codes[good].tolist(), z[good].tolist(), strict=True))
+    return set(codes[good].tolist())
 
 
 def _active(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -107,9 +118,8 @@ def _active(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     alone = _telling(rows, y, False)
     marks = np.array(sorted(alone), np.uint32)
     near = np.array([bool(np.isin(r, marks).any()) for r in rows], bool)
-    together = _telling([r for r, t in zip(rows, near, strict=True) if t], y[near], True) if near.any() else {}
-    rank = {b: max(alone.get(b, 0.0), together.get(b, 0.0)) for b in {*alone, *together}}
-    return np.array(sorted(sorted(rank, key=lambda b: (-rank[b], b))[:MAX_ACTIVE]), np.uint32)
+    together = _telling([r for r, t in zip(rows, near, strict=True) if t], y[near], True) if near.any() else set()
+    return np.array(sorted({*alone, *together}), np.uint32)
 
 
 def fit(texts: list[str], y: np.ndarray) -> dict:
@@ -120,8 +130,8 @@ def fit(texts: list[str], y: np.ndarray) -> dict:
         return model | {"b": float(np.log(p / (1 - p)))}
     rows = [buckets(t) for t in texts]
     first: dict[bytes, int] = {}
-    for k, r in enumerate(rows):
-        first.setdefault(r[:SKETCH].tobytes(), k)
+    for k, t in enumerate(texts):
+        first.setdefault(sketch(t), k)
     alone = sorted(first.values())  # copies would make a copied text's every word tell
     rows, y = [rows[k] for k in alone], y[alone]
     test = np.arange(len(y)) % 10 == 9
@@ -156,7 +166,8 @@ def fit(texts: list[str], y: np.ndarray) -> dict:
     return model
 
 
-def score(text: str | None, model: dict) -> float:
+def active_terms(text: str | None, model: dict) -> np.ndarray:
+    """Positions of a text's trained terms."""
     memo = model.setdefault("memo", {})
     active = model["active"]
     found = set()
@@ -168,10 +179,18 @@ def score(text: str | None, model: dict) -> float:
             hit = memo[word] = tuple(active[b] for b in buckets_of(word) if b in active)
         if hit:
             found.update(hit)
-    out = np.clip(machine(np.array(sorted(found), np.int64), model), -CLIP, CLIP)
+    return np.array(sorted(found), np.int64)
+
+
+def _probability(x: np.ndarray, model: dict) -> float:
+    out = np.clip(machine(x, model), -CLIP, CLIP)
     return float(1 / (1 + np.exp(-np.clip(model["a"] * out + model["b"], -35, 35))))
 
 
+def score(text: str | None, model: dict) -> float:
+    return _probability(active_terms(text, model), model)
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", may_learn=None, most: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted; ``may_learn`` is a condition on the labels' doc_id."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if may_learn is None else may_learn, most)
@@ -180,7 +199,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", ma
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_TRAIN) -> DataFrame:
     """``docs`` without the documents held toxic, learned from all labels of ``docs``."""
-    return rejected(docs, fitted(labelled_sample(docs, labels, "toxic", F.lit(True), most), fit), score, threshold)
+    def rejects(text, model):
+        x = active_terms(text, model)
+        return len(x) > 0 and _probability(x, model) >= threshold
+
+    return rejected(docs, fitted(labelled_sample(docs, labels, "toxic", F.lit(True), most), fit), rejects)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
