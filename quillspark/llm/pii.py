@@ -2,7 +2,8 @@
 
 Spans come from SQL functions alone. For one kind, ``regexp_extract_all`` gives the
 matches and ``split`` by the same pattern the gaps between them; a running sum of
-both lengths gives code-point offsets. Validators (Luhn for cards, mod-97 for
+both lengths, taken block by block so that its work hardly grows faster than the
+matches, gives code-point offsets. Validators (Luhn for cards, mod-97 for
 IBANs, part ranges for addresses, digit counts for phones) then drop matches that
 fail; there are no retries inside a dropped match.
 
@@ -13,7 +14,7 @@ where the leftmost match of such a run must start anyway.
 
 Beyond the base kinds the method adds ``iban`` and ``ssn`` spans. Every span has a
 score: its kind's prior, raised where one of the kind's words stands within
-CONTEXT_CHARS before it. Base spans are kept whatever their score; the added kinds
+CONTEXT_CHARS before it, though not before the previous match but one of its kind. Base spans are kept whatever their score; the added kinds
 need ADDED_MIN.
 
 Defined results: a null text is an empty one and has no spans; repeated ids give a
@@ -115,34 +116,58 @@ def _found(kind: str, text: Column) -> Column:
     return F.when(needed & text.rlike(PATTERNS[kind]), both)
 
 
-def _spans(kind: str, at: int, found: Column, text: Column) -> Column:
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often a lambda reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... elements of an int array. Blocks of sqrt(n) elements are added up
+    first, so that no element reads more than two stretches of that length."""
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: acc + x)
+
+    def summed(xs: Column, width: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / width).cast("int")), lambda b: total(F.slice(xs, b * width + 1, width)))
+
+        def of(bs: Column) -> Column:
+            before = F.transform(bs, lambda _, b: total(F.slice(bs, F.lit(1), b)))
+            return let(before, lambda base: F.transform(xs, lambda _, i: (
+                F.element_at(base, F.floor(i / width).cast("int") + 1) + total(F.slice(xs, F.floor(i / width).cast("int") * width + 1, i % width + 1)))))
+
+        return let(blocks, of)
+
+    return F.when(F.size(numbers) > 0, let(numbers, lambda xs: let(F.ceil(F.sqrt(F.size(xs))).cast("int"), lambda width: summed(xs, width)))).otherwise(
+        F.array().cast("array<int>"))
+
+
+def _spans(kind: str, at: int, found: Column) -> Column:
     """Array of (start, kind_at, end, kind, score) of the confirmed matches."""
     gaps, hits = found["gaps"], found["hits"]
-    steps = F.arrays_zip(F.transform(gaps, F.length).alias("g"), F.transform(hits, F.length).alias("h"))
-    ends = F.aggregate(
-        F.slice(steps, 1, F.size(hits)),
-        F.array().cast("array<int>"),
-        lambda acc, s: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + s["g"] + s["h"])),
-    )
+    ends = running_sums(F.transform(hits, lambda h, i: F.length(F.element_at(gaps, i + 1)) + F.length(h)))
+
+    def context(i: Column) -> Column:
+        """The end of what precedes match i, from the match before the previous one on."""
+        before = F.when(i > 0, F.concat(F.element_at(gaps, i), F.element_at(hits, i))).otherwise(F.lit(""))
+        return F.right(F.concat(before, F.element_at(gaps, i + 1)), F.lit(CONTEXT_CHARS))
 
     def span(hit: Column, end: Column) -> Column:
-        start = end - F.length(hit)
-        near = F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-        score = F.lit(PRIOR[kind]) + F.when(near.rlike(f"(?i)(?:{WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
-        good = OK[kind](hit)
+        score = F.lit(PRIOR[kind]) + F.when(hit["near"].rlike(f"(?i)(?:{WORDS[kind]})"), CONTEXT_BONUS).otherwise(0.0)
+        good = OK[kind](hit["text"])
         if kind not in BASE:
             good = good & (score >= ADDED_MIN)
-        return F.when(good, F.struct(start.alias("start"), F.lit(at).alias("at"), end.alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score")))
+        return F.when(good, F.struct((end - F.length(hit["text"])).alias("start"), F.lit(at).alias("at"), end.alias("end"), F.lit(kind).alias("kind"), F.least(score, F.lit(1.0)).alias("score")))
 
     none = F.array().cast("array<struct<start:int,at:int,end:int,kind:string,score:double>>")
-    return F.coalesce(F.filter(F.zip_with(hits, ends, span), lambda s: s.isNotNull()), none)
+    placed = F.transform(hits, lambda h, i: F.struct(h.alias("text"), context(i).alias("near")))
+    return F.coalesce(F.filter(F.zip_with(placed, ends, span), lambda s: s.isNotNull()), none)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
     """``keep`` columns and ``spans``: (start, at, end, kind, score), by start, then kind."""
     raw = keep_only(docs, *keep, text_col).withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     found = raw.select(*keep, "_text", *[_found(k, F.col("_text")).alias(f"_f_{k}") for k in PATTERNS])
-    each = found.select(*keep, *[_spans(k, i, F.col(f"_f_{k}"), F.col("_text")).alias(f"_s_{k}") for i, k in enumerate(PATTERNS)])
+    each = found.select(*keep, *[_spans(k, i, F.col(f"_f_{k}")).alias(f"_s_{k}") for i, k in enumerate(PATTERNS)])
     return each.select(*keep, F.array_sort(F.concat(*[f"_s_{k}" for k in PATTERNS])).alias("spans"))
 
 
