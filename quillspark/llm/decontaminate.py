@@ -8,7 +8,8 @@
    with the item (local alignment over words: match 2, mismatch and gap -1), unless it
    holds too few of the item's words for the least score. The score is the best
    alignment's, as a share of the item's own; copies that are edited, cut or rewritten
-   in part lose only the words concerned.
+   in part lose only the words concerned. An alignment of more than MATRIX_CELLS cells
+   goes row by row, so its memory grows with the stretch, not with its square.
 
 The benchmark is read in blocks of about BLOCK_BYTES of text, one pass a block, so
 what goes to the executors is bounded whatever its size; documents are never
@@ -16,7 +17,7 @@ shuffled, and nothing of them reaches the driver.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 words than an n-gram is its own only seed, and must occur whole; repeated documents
-and items give a row each; empty tables give no rows; extra columns are ignored.
+give a row each, repeated rows of an item count once; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,6 +136,43 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
     return top, matched, int(j), end
 
 
+#: Cells of an alignment whose score matrix is kept; larger ones go row by row.
+MATRIX_CELLS = 1 << 22
+
+
+def align_rows(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
+    """The same as ``align`` in memory of a few rows: each cell carries where its alignment starts
+    and how many words it matches, so that no way back is needed."""
+    w = len(doc)
+    at = np.arange(w + 1, dtype=np.int64)
+    h, start, matched = np.zeros(w + 1, np.int64), at.copy(), np.zeros(w + 1, np.int64)
+    top, best = 0, (0, 0, 0, 0)
+    for word in item:
+        same = doc == word
+        diag = h[:-1] + np.where(same, MATCH, MISMATCH)
+        up = h[1:] + GAP
+        own = np.zeros(w + 1, np.int64)
+        own[1:] = np.maximum(0, np.maximum(diag, up))
+        new = np.maximum.accumulate(own - at * GAP) + at * GAP
+        by_diag, by_up = new[1:] == diag, new[1:] == up
+        s, m = at.copy(), np.zeros(w + 1, np.int64)
+        s[1:] = np.where(by_diag, start[:-1], np.where(by_up, start[1:], at[1:]))
+        m[1:] = np.where(by_diag, matched[:-1] + same, np.where(by_up, matched[1:], 0))
+        # gaps along the document: from the last cell before that has its score by itself
+        source = np.maximum.accumulate(np.where(np.append(True, by_diag | by_up) | (new == 0), at, 0))
+        h, start, matched = new, s[source], m[source]
+        none = h == 0
+        start[none], matched[none] = at[none], 0
+        end = int(np.argmax(h))
+        if h[end] > top:
+            top, best = int(h[end]), (int(h[end]), int(matched[end]), int(start[end]), end)
+    return best
+
+
+def aligned(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
+    return align(item, doc) if len(item) * len(doc) <= MATRIX_CELLS else align_rows(item, doc)
+
+
 def within_reach(item: np.ndarray, doc: np.ndarray, min_score: float) -> bool:
     """Whether ``doc`` has enough of the item's words, each as often as it may match, for the least score."""
     known, times = np.unique(item, return_counts=True)
@@ -170,7 +208,7 @@ def hits(x: np.ndarray, pos: np.ndarray, at: np.ndarray, index: Index, min_score
                 part = x[start:min(run[-1][0] + 2 * m, start + 10 * m)]
                 if not within_reach(ids, part, min_score):
                     continue
-                top, matched, a, b = align(ids, part)
+                top, matched, a, b = aligned(ids, part)
                 got = (top / (MATCH * m), matched, start + a, start + b)
                 if best is None or got > best:
                     best = got
@@ -180,11 +218,12 @@ def hits(x: np.ndarray, pos: np.ndarray, at: np.ndarray, index: Index, min_score
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    """Distinct (item_id, text) rows, dealt by a hash of both into blocks of about ``block_bytes``."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         if got := [(r.item_id, r.text) for r in part.collect()]:
             yield got
 
