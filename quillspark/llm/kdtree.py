@@ -9,7 +9,8 @@ Groups of equal text that alone reach a shard's fair share get a shard of their
 own (at most shards - 1 of them). The others are split recursively: along the
 dimension that is widest in the node, relative to its range in the whole table,
 at the weighted quantile that gives either side bytes in proportion to its
-leaves. The quantile comes from histograms of at most BINS bins a node, each
+leaves, until every leaf holds the target bytes: a number of shards asked for sets
+the target to their share of the whole, or a target sets their number. The quantile comes from histograms of at most BINS bins a node, each
 round refining the bin that holds it, so the driver sees a bounded number of
 rows whatever the table's size.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import MAX_CELLS, materialize
+from quillspark.llm.common import BROADCAST_IDS, MAX_CELLS, materialize
 
 BINS = 1024
 #: A coordinate is scaled to SCALE steps, then SCALE steps of hash break ties.
@@ -187,19 +188,24 @@ def number(rows: DataFrame, group: str, order: list[str], out: str = "slot") ->
         group,
         "_cell",
         (F.sum("count").over(Window.partitionBy(group).orderBy("_cell")) - F.col("count")).alias("_start"),
-    )  # at most MAX_CELLS rows a group
+    )
+    small = starts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     within = F.row_number().over(Window.partitionBy(group, "_cell").orderBy(*order))
     return (
         celled.withColumn("_row", within)
-        .join(F.broadcast(starts), [group, "_cell"])
+        .join(F.broadcast(starts) if small else starts, [group, "_cell"])
         .withColumn(out, (F.col("_start") + F.col("_row") - 1).cast("long"))
         .drop("_cell", "_row", "_start")
     )
 
 
-def kd_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless in a shard)."""
+def kd_shards(docs: DataFrame, shards: int | None = 8, id_col: str = "doc_id", text_col: str = "text", target_bytes: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless in a shard).
+
+    With ``target_bytes`` there are as many shards as the whole has targets, rounded up."""
     rows = materialize(points(docs, id_col, text_col), "kd-points")
+    if target_bytes is not None:
+        shards = max(1, -(-int(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
     placed, _ = assign(rows, shards)
     return number(placed, "shard", ["doc_id", "h1", "h2"]).select("doc_id", "size", "text_crc32", "shard", "slot")
 
