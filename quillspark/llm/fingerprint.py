@@ -5,10 +5,11 @@ it), with runs of white space folded to one blank and trimmed. Normalisation and
 folding are the JVM's own ICU functions, called from SQL. The fingerprint is 128
 bits: two XXH64 digests of the canonical bytes with unlike seeds, as 32 hex digits.
 
-``exact_classes`` groups by the digest and then compares bytes: only documents
-whose digest occurs more than once are looked at again, each against its bucket's
-first document; those whose bytes differ from it are told apart by SHA-256 within
-the bucket, so that even a collision of the digest joins no unequal texts.
+Grouping is by the digest, then by bytes: documents whose digest occurs more than
+once are aggregated by (digest, canonical bytes), so copies meet in partial sums
+before any shuffle and a large group never does in one task. A digest with two
+canonical texts, a collision, therefore gives two classes. Likeness is 1 where both
+digests and bytes agree, else 0; bytes are only compared where digests agree.
 
 Defined results: a null text is an empty one (and all empty texts are equal);
 repeated ids give a row each, in the order of their texts' hashes; null ids come
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cell_bounds, cell_of, keep_only
+from quillspark.llm.common import cell_bounds, cell_of, join_facts, keep_only, materialize, semi_by_id
 
 _ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 _ICU_CHARACTER = "com.ibm.icu.lang.UCharacter"
@@ -50,33 +51,44 @@ def fingerprints(docs: DataFrame, text_col: str = "text", *keep: str) -> DataFra
     return keep_only(docs, *keep, text_col).select(*keep, digest(canonical(text)).alias("fingerprint"))
 
 
-def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, class_id: the least id among documents of the same canonical bytes."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    raw = docs.select(F.col(f"`{id_col}`").alias("doc_id"), canonical(text).alias("canon"))
-    marked = raw.select("doc_id", digest(F.col("canon")).alias("fingerprint"), F.sha2(F.col("canon").cast("binary"), 256).alias("sha"), F.octet_length("canon").alias("n_bytes"), "canon")
-    buckets = marked.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min("sha").alias("first_sha"))
-    shared = buckets.where("n > 1")
-    first = (
-        marked.join(shared.select("fingerprint", F.col("first_id").alias("doc_id")), ["fingerprint", "doc_id"])
-        .groupBy("fingerprint").agg(F.min(F.struct("sha", "canon")).alias("rep"))
-    )
-    compared = (
-        marked.join(first, "fingerprint")
-        .withColumn("same", F.col("canon") == F.col("rep.canon"))
-        .select("doc_id", "fingerprint", "sha", "n_bytes", "same")
-    )
-    kind = F.when(F.col("same"), F.lit("")).otherwise(F.col("sha"))
-    tagged = compared.withColumn("kind", kind)
-    classes = tagged.groupBy("fingerprint", "kind").agg(F.min("doc_id").alias("class_id"))
-    many = tagged.join(classes, ["fingerprint", "kind"]).select("doc_id", "fingerprint", "class_id")
-    lone = buckets.where("n = 1").select(F.col("first_id").alias("doc_id"), "fingerprint", F.col("first_id").alias("class_id"))
-    return lone.unionByName(many)
-
-
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _text(docs: DataFrame, text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+
+
+def marks(text: Column, digester=digest) -> dict[str, Column]:
+    """fingerprint, and check: a second digest, that tells texts of a collision apart in a join."""
+    canon = canonical(text)
+    return {"fingerprint": digester(canon), "check": F.sha2(canon.cast("binary"), 256)}
+
+
+def classed(marked: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digester=digest) -> DataFrame:
+    """``marked`` (doc_id, fingerprint, check and more, a row a document) with ``class_id``: the least
+    id among documents of the same canonical bytes, null if they have none."""
+    shared = marked.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").withColumn("many", F.lit(1))
+    shared = materialize(shared, "classes-shared")
+    ids = join_facts(marked.select("doc_id", "fingerprint"), shared, ["fingerprint"], "n").where("many = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), _text(docs, text_col).alias("text"))
+    again = semi_by_id(rows, materialize(ids, "classes-ids"), "doc_id").unionByName(rows.where("doc_id IS NULL"))
+    canon = again.select("doc_id", canonical(F.col("text")).alias("canon"))
+    by_bytes = canon.groupBy(digester(F.col("canon")).alias("fingerprint"), "canon").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id"))
+    classes = by_bytes.select("fingerprint", F.sha2(F.col("canon").cast("binary"), 256).alias("check"), "class_id", "n")
+    out = join_facts(marked, materialize(classes, "classes"), ["fingerprint", "check"], "n")
+    return out.withColumn("class_id", F.coalesce("class_id", "doc_id"))
+
+
+def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digester=digest) -> DataFrame:
+    """doc_id, fingerprint, class_id of every document (see classed)."""
+    own = marks(_text(docs, text_col), digester)
+    marked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *[c.alias(n) for n, c in own.items()])
+    return classed(materialize(marked, "digests"), docs, id_col, text_col, digester).select("doc_id", "fingerprint", "class_id")
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own=lambda text: {}) -> DataFrame:
     """doc_id, text, next_text: the text of the next id, after the last the first.
 
+    ``own(text)`` names columns of a row's own; they are computed before texts are shuffled, and
+    come with their ``next_`` counterparts.
+
     Rows are dealt by range cells of the id. The first row of every cell is sent once
     more, as a ghost, to the end of the cell before it (the very first to the last),
     so each text is shuffled once and no window sees more than a cell."""
@@ -89,10 +101,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     everywhere = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("cell").over(Window.orderBy("cell")), F.max("cell").over(everywhere))
     to_cell = first.select("doc_id", before.alias("to_cell"))
-    ghosts = rows.join(F.broadcast(to_cell), "doc_id").select("doc_id", "text", F.col("to_cell").alias("cell"), F.lit(1).alias("ghost"))
-    both = celled.select("doc_id", "text", "cell", F.lit(0).alias("ghost")).unionByName(ghosts)
-    after = F.lead("text").over(Window.partitionBy("cell").orderBy("ghost", order))
-    return both.withColumn("next_text", after).where("ghost = 0").select("doc_id", "text", F.coalesce("next_text", "text").alias("next_text"))
+    more = own(F.col("text"))
+    carried = ["text", *more]
+    extra = [c.alias(n) for n, c in more.items()]
+    ghosts = rows.join(F.broadcast(to_cell), "doc_id").select("doc_id", "text", F.col("to_cell").alias("cell"), F.lit(1).alias("ghost"), *extra)
+    both = celled.select("doc_id", "text", "cell", F.lit(0).alias("ghost"), *extra).unionByName(ghosts)
+    after = F.lead(F.struct(*carried)).over(Window.partitionBy("cell").orderBy("ghost", order))
+    found = both.withColumn("_next", after).where("ghost = 0")
+    return found.select("doc_id", *carried, *[F.coalesce(F.col("_next")[c], F.col(c)).alias(f"next_{c}") for c in carried])
 
 
 def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
@@ -100,16 +116,17 @@ def op6_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut))
-    staged = with_next(docs).select("doc_id", "text", "next_text", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    marked = staged.select(
-        "doc_id", "n_chars",
-        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        digest(canonical(F.col("text"))).alias("fingerprint"),
-        digest(canonical(F.col("edited"))).alias("edited_fingerprint"),
-        digest(canonical(F.col("next_text"))).alias("next_fingerprint"),
-    )
-    alike = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    return marked.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        alike("edited_fingerprint").alias("near_edited"), alike("next_fingerprint").alias("near_next"),
-    )
+    staged = with_next(docs, own=marks).select(
+        "doc_id", "text", "next_text", "fingerprint", "next_fingerprint", "check", n.cast("long").alias("n_chars"),
+        F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), canonical(edited).alias("edited"))
+
+    def alike(fingerprint: str, canon: Column) -> Column:
+        """Equal digests and, behind them, equal bytes."""
+        same = F.when(F.col("fingerprint") == F.col(fingerprint), canonical(F.col("text")) == canon).otherwise(F.lit(False))
+        return same.cast("double")
+
+    marked = staged.withColumn("edited_fingerprint", digest(F.col("edited"))).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "check",
+        alike("edited_fingerprint", F.col("edited")).alias("near_edited"), alike("next_fingerprint", canonical(F.col("next_text"))).alias("near_next"))
+    return classed(materialize(marked, "fingerprints"), docs).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")

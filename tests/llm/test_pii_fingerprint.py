@@ -2,6 +2,8 @@ import hashlib
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import fingerprint, pii
 
 BASE = [
@@ -88,6 +90,59 @@ def test_edited_texts_match_brute_force(spark):
         assert rows[i].n_chars == len(t)
         same = " ".join(unicodedata.normalize("NFKC", t).casefold().split()) == " ".join(unicodedata.normalize("NFKC", nxt).casefold().split())
         assert rows[i].near_next == float(same)
+    own = {i: form(t) for i, t in src}
+    least = {}
+    for i, _ in src:
+        least.setdefault(own[i], i)
+    assert all(rows[i].class_id == least[own[i]] for i in own)
+    by_print = {}
+    for i, t in own.items():
+        assert by_print.setdefault(rows[i].fingerprint, t) == t
+    for (i, t), (_, nxt) in zip(src, src[1:] + src[:1]):
+        k = len(t) // 4
+        edited = form(t[: len(t) - k] + nxt[:k])
+        assert rows[i].near_edited == float(own[i] == edited)
+        assert by_print.setdefault(rows[i].edited_fingerprint, edited) == edited
+
+
+def form(text):
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold()).split())
+
+
+def test_equal_digests_of_unlike_bytes_are_two_classes(spark):
+    docs = spark.createDataFrame([(1, "one"), (2, "ONE "), (3, "two"), (4, "three"), (4, "two"), (None, "One")], "doc_id long, text string")
+    got = fingerprint.exact_classes(docs, digester=lambda canon: F.lit("same")).collect()
+    assert sorted((r.doc_id or 0, r.class_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 3), (4, 4)]
+
+
+def test_hot_groups_go_by_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("quillspark.llm.common.HOT_ROWS", 20)
+    docs = spark.createDataFrame([(i, "copy" if i % 2 else f"own {i}") for i in range(100)], "doc_id long, text string")
+    c = {r.doc_id: r.class_id for r in fingerprint.exact_classes(docs).collect()}
+    assert c == {i: 1 if i % 2 else i for i in range(100)}
+
+
+def test_fingerprint_query_takes_odd_rows(spark, tmp_path):
+    rows = [(1, None), (2, ""), (None, "a b"), (3, "x"), (3, "x"), (3, "y"), (5, "long " * 60_000), (None, None)]
+    odd = spark.createDataFrame([(i, t, "clash", "c", 1.0) for i, t in rows], "doc_id long, text string, fingerprint string, check string, near_next double")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = fingerprint.op6_document_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and {r.class_id for r in got if r.n_chars == 0} == {1}
+    assert {r.class_id for r in got if r.doc_id == 3} == {3}
+
+
+def test_many_spans_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, " ".join(f"a{i}@b.example" for i in range(n)))], "doc_id long, text string")
+    spans = pii.find_pii(docs, "text", "doc_id").first().spans
+    want = [(m.start(), m.end()) for m in re.finditer(r"a[0-9]+@b\.example", docs.first().text)]
+    assert [(s.start, s.end) for s in spans] == want and len(want) == n
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(i, list(range(1, i + 1))) for i in range(40)], "i int, xs array<int>")
+    for r in df.select("i", pii.running_sums(F.col("xs")).alias("sums")).collect():
+        assert r.sums == [k * (k + 1) // 2 for k in range(1, r.i + 1)]
 
 
 def test_one_row_and_empty_tables(spark):
