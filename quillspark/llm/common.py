@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Tables that ``materialize`` wrote and ``discard`` has not removed.
+_WRITTEN: list[DataFrame] = []
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -49,6 +55,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    _WRITTEN.append(out)
     return out
 
 
@@ -58,6 +65,20 @@ def discard(*tables: DataFrame | None) -> None:
         if path := getattr(t, "_written", None):
             fs, at = _file_system(t.sparkSession, path)
             fs.delete(at, True)
+            _WRITTEN[:] = [x for x in _WRITTEN if x is not t]
+
+
+@contextmanager
+def temporary_tables() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """On a normal end, removes the tables written inside, but for those given to the yielded function."""
+    before, kept = len(_WRITTEN), []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    yield keep
+    discard(*[t for t in _WRITTEN[before:] if not any(t is k for k in kept)])
 
 
 def keep_only(df: DataFrame, *names: str) -> DataFrame:

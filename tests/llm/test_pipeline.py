@@ -1,9 +1,11 @@
 """Each stage against brute force on the smallest tables."""
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quillspark.llm import decontaminate, simhash, toxicity
+from quillspark.llm import common, decontaminate, simhash, toxicity
 from quillspark.llm.common import materialize, table
 
 MID = "/root/testdata/sf0.01"
@@ -46,7 +48,48 @@ def test_toxicity_stage_goes_by_the_operators_decision(spark):
     assert any(0.3 <= r.score < 0.5 for r in told) and {r.doc_id for r in told if not r.predicted} == kept
 
 
+@pytest.mark.parametrize("labels", ["", "doc_id < 0", "toxic = 1", "toxic = 0", "foreign", "few"])
+def test_stages_keep_what_nothing_is_known_of(spark, tmp_path, labels):
+    docs, all_ = table(spark, MID, "documents"), table(spark, MID, "labels")
+    if labels == "foreign":
+        some = all_.withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    elif labels == "few":
+        some = all_.where("toxic = 1").limit(2).unionByName(all_.where("toxic = 0").limit(2))
+    else:
+        some = all_.where(labels) if labels else all_.limit(0)
+    some.write.parquet(f"{tmp_path}/labels.parquet")
+    assert P.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    if "toxic" not in labels and labels != "few":
+        assert P.mix_sources(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_odd_rows(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, None), (2, ""), (None, "lost"), (3, "x y"), (3, "x y"), (3, "z"), (5, "long " * 60_000), (6, words), (7, words), (8, "other " + words)]
+    odd = [(d, t, None, None, None, "clash", "c", 0.5) for d, t in rows]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string, score double")
+    spark.createDataFrame([(1, 0, 1), (3, 1, 0), (None, 1, 1), (6, 0, None), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(30))), (None, words), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = materialize(stage(spark, docs, str(tmp_path)), "odd")
+        kept = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == docs.columns and set(kept) <= set(rows)
+        if name == "simhash_near_dedup":  # equal texts: one stays, of a repeated id all rows or none
+            assert (6, words) in kept and (7, words) not in kept and (None, "lost") in kept and kept.count((3, "x y")) == 2
+        else:
+            assert len(kept) == docs.count()
+        docs = out
+    shards = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(shards) == docs.count()
+
+
 def test_empty_documents(spark):
     docs = table(spark, MID, "documents").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, MID).count() == 0
+
+
+def test_a_run_removes_its_own_tables(spark):
+    before = len(common._WRITTEN)
+    assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(common._WRITTEN) - before <= 3  # the documents and points that the result is read from
