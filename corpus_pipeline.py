@@ -2,7 +2,15 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``. ``run`` applies them in order and needs nothing but the
-tables of ``sf_dir`` and the folder named by spark.checkpoint.dir.
+tables of ``sf_dir`` and the folder named by spark.checkpoint.dir, from which it removes
+what a stage wrote for itself once its documents are written.
+
+Defined results, for every stage: null and empty texts, repeated rows and null ids stay
+rows like any other (the near-copy stage counts null texts as empty ones and keeps one of
+them; of a repeated id all rows go or stay; rows of a null id are never dropped but by the
+toxicity of their own text); an empty table gives an empty one; extra columns are passed on
+whatever their names, but for the last stage, which leaves them out. Labels that are
+missing, of one class or of other documents drop nothing, nor does an empty benchmark.
 """
 
 from __future__ import annotations
@@ -11,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, kdtree, mixing, simhash, toxicity
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import discard, materialize, table, temporary_tables
 
 #: Share of the mix's expected tokens left to documents of low quality.
 LOW_SHARE = 0.05
@@ -60,5 +68,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shards of ``sf_dir``'s documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before = docs
+        with temporary_tables() as keep:
+            docs = keep(materialize(stage(spark, before, sf_dir), f"stage-{name}"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
