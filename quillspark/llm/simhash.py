@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import anti_by_id, materialize, semi_by_id
+from quillspark.llm.common import anti_by_id, join_facts, materialize, semi_by_id
 from quillspark.llm.components import connected_components
 
 SEED = 42
@@ -362,7 +362,7 @@ def near_pairs(distinct: DataFrame, tau: int, m: int | None = None) -> DataFrame
 def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id: the least id reachable by links of at most tau bits."""
     marked = materialize(fingerprints(docs, words, id_col, text_col), "simhash")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "simhash-distinct")
     pairs = near_pairs(distinct, tau)
     ends = distinct.where("rep IS NOT NULL")
     edges = (
@@ -370,20 +370,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, tau: int = 4, id_col: str =
         .join(ends.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
     )
     found = connected_components(edges, "rep_a", "rep_b")
-    of_fp = distinct.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = distinct.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_facts(marked, materialize(of_fp, "simhash-of"), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 #: Of 128 bits of both fingerprints, as many may differ in a pair beyond ``tau`` that is worth comparing.
 WORTH = 30
+#: Bytes of shingles of one block of a crowd.
+CROWD_BYTES = 16 << 20
 
 
-def proposals(fp, fp2, node, group, role, tau: int, accept: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one run that are worth comparing and not yet in one group.
+def proposals(fp, fp2, node, group, role, tau: int, accept: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one run that are worth comparing and not yet in one group; third, whether
+    a pair says instead that its ends were together in a dense run.
 
-    A run with few gives them all, and so does any if ``every`` is set. A dense run gives hubs'
-    pairs instead: again and again of the node with most pairs among those that no hub has yet, to
-    all of these and to the nearest that one has; its nodes are marked by pairs with themselves."""
+    A run with few gives them all. A dense run gives hubs' pairs: again and again of the node with
+    most pairs among those that no hub has yet, to all of these and to the nearest that one has."""
     node, first, at = np.unique(node, return_index=True, return_inverse=True)
     fp, fp2, group = fp[first], fp2[first], group[first]
     probe, index = np.unique(at[role >= 2]), np.unique(at[(role & 1) == 1])
@@ -398,15 +400,12 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int, every: bool) ->
         return x[worth], y[worth], d[worth]
 
     def pairs(x, y):
-        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.zeros(len(x), bool)
 
     rows, all_, found = max(1, (1 << 22) // len(index)), np.arange(len(node)), []
     blocks = [probe[k:k + rows] for k in range(0, len(probe), rows)]
     for some in blocks:
         x, y, _ = near(some, index)
-        if every:
-            yield pairs(x, y)
-            continue
         found.append(pairs(x, y))
         if sum(len(f[0]) for f in found) > SPARSE * (len(probe) + len(index)):
             break
@@ -418,7 +417,7 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int, every: bool) ->
         x, y, _ = near(some, index)
         degree += np.bincount(x, minlength=len(node)) + np.bincount(y, minlength=len(node))
     free = degree > 0
-    yield node[free], node[free]
+    yield np.full(free.sum(), node[free][0]), node[free], np.ones(free.sum(), bool)
     for k in np.argsort(-degree, kind="stable").tolist():
         if not free[k]:
             continue
@@ -430,9 +429,9 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int, every: bool) ->
         yield pairs(np.full(len(to), k), to)
 
 
-def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: int, every: bool = False) -> DataFrame:
-    """u, v: pairs of reps of ``nodes`` (fp, fp2, rep, grp) by thresholds of sum ``total``, see proposals."""
-    names = ["fp", "fp2", "rep", "grp"]
+def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: int) -> DataFrame:
+    """u, v, dense: pairs of reps of ``nodes`` (fp, fp2, rep, grp) by thresholds of sum ``total``, see proposals."""
+    names, out = ["fp", "fp2", "rep", "grp"], ["u", "v", "dense"]
 
     def keyed(batches):
         for b in batches:
@@ -453,34 +452,129 @@ def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: in
         for runs in runs_of(batches, ["role", *names]):
             for role, fp, fp2, rep, grp in runs:
                 got, size = [], 0
-                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, role, tau, accept, every):
+                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, role, tau, accept):
                     got.append(p)
                     size += len(p[0])
                     if size > 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["u", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], out)
                         got, size = [], 0
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], ["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], out)
 
     rows = nodes.select(*names).mapInArrow(keyed, "k long, role byte, fp long, fp2 long, rep long, grp long")
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(joined, "u long, v long").distinct()
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(joined, "u long, v long, dense boolean").distinct()
+
+
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def crowd_links(node: np.ndarray, group: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Links of at least ``similarity`` Jaccard that join the groups of a crowd's two blocks (``side``),
+    one for each two groups that meet; every pair of unlike groups is compared, exactly.
+
+    Shingles that many nodes hold are counted by products of 0/1 matrices, the others by the lists
+    of the nodes that hold them; those of one node only can't be shared. The largest group's nodes
+    are compared with the others' alone."""
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    _, at, df = np.unique(flat, return_index=True, return_counts=True)
+    common = df >= max(32, len(node) // 32)
+    rank = np.cumsum(common) - 1
+    which = np.repeat(np.arange(len(df)), df)
+    held = common[which]
+    by_node = np.argsort(owner[held], kind="stable")
+    counts = np.bincount(owner[held], minlength=len(node))
+    dense = np.split(rank[which[held]][by_node], np.cumsum(counts)[:-1])
+    rare = [[] for _ in sets]
+    for k in np.nonzero(~common & (df > 1))[0].tolist():
+        members = owner[at[k]:at[k] + df[k]]
+        for x in members.tolist():
+            rare[x].append(members)
+    names, of, n = np.unique(group, return_inverse=True, return_counts=True)
+    parent = {g: g for g in range(len(names))}
+    rows = np.nonzero(of != int(np.argmax(n)))[0]
+    width, us, vs = int(common.sum()), [], []
+    step = 256
+    for lo in range(0, len(rows), step):
+        some = rows[lo:lo + step]
+        both = np.zeros((len(some), len(node)), np.float32)
+        for c in range(0, width, 1024):
+            x = np.zeros((len(node), min(1024, width - c)), np.float32)
+            for k, d in enumerate(dense):
+                part = d[np.searchsorted(d, c):np.searchsorted(d, c + 1024)] - c
+                x[k, part] = 1
+            both += x[some] @ x.T
+        for i, k in enumerate(some.tolist()):
+            if rare[k]:
+                both[i] += np.bincount(np.concatenate(rare[k]), minlength=len(node))
+        alike = both >= similarity * (size[some][:, None] + size[None, :] - both)
+        alike &= (of[some][:, None] != of[None, :]) & ((side[some][:, None] != side[None, :]) | (side.min() == side.max()))
+        for i, k in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True):
+            a, b = _root(parent, int(of[some[i]])), _root(parent, int(of[k]))
+            if a != b:
+                parent[a] = b
+                us.append(int(node[some[i]])), vs.append(int(node[k]))
+    return us, vs
+
+
+def crowds_compared(crowd: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links between groups within a crowd, from rows (crowd, id, grp, own: shingle set).
+
+    A crowd of more than CROWD_BYTES of shingles is dealt out as pairs of blocks of about as many."""
+    sizes = crowd.groupBy("crowd").agg(F.sum(F.octet_length("own") + 64).alias("bytes"), F.countDistinct("grp").alias("groups"))
+    sizes = sizes.where("groups > 1").select("crowd", F.ceil(F.col("bytes") / CROWD_BYTES).cast("int").alias("blocks"))
+    placed = crowd.join(sizes, "crowd").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("crowd", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "id", "grp", "own")
+    keyed = dealt.select(F.xxhash64("crowd", "a", "b").alias("k"), "side", "id", "grp", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+
+        def links():
+            if len(kept) > 1:
+                side, node, group, own = zip(*kept, strict=True)
+                u, v = crowd_links(np.array(node), np.array(group), np.array(side), [np.frombuffer(x, np.uint32) for x in own], similarity)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for b in batches:
+            for k, *row in zip(*(b.column(c).to_pylist() for c in ("k", "side", "id", "grp", "own")), strict=True):
+                if k != now:
+                    yield from links()
+                    now, kept = k, []
+                kept.append(row)
+        yield from links()
+
+    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(run, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int = 14, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id over links of at least ``similarity`` Jaccard of word shingles.
 
-    SimHash proposes: all pairs within ``tau`` bits, and those up to ``accept`` bits that meet as
-    well (a pair of similarity 0.8 differs in about 10 bits of 64, and meets in some part with a
-    chance of nine in ten), if a second fingerprint agrees. The Jaccard similarity of the whole
+    SimHash proposes, by two fingerprints of independent bits: all pairs within ``tau`` bits of
+    either, and those up to ``accept`` bits that meet as well (a pair of similarity 0.8 differs in
+    about 10 bits of 64, and meets in some part of one fingerprint with a chance of nine in ten),
+    if the other fingerprint agrees. The Jaccard similarity of the whole
     texts' shingle sets (as 32-bit hashes) decides.
 
-    Three searches, each checked by Jaccard before the next, list no pair whose ends the links so
-    far connect. The first has exact parts alone, and dense runs give hubs' pairs: it connects most
-    of a crowd of copies to the text that they were copied from. The second goes up to ``tau`` for
-    all nodes, again with hubs in dense runs. The third lists every pair left between nodes of
-    these runs, so that a node that no hub accepted meets each that is near."""
+    Two searches, each checked by Jaccard before the next, list no pair whose ends the links so far
+    connect. The first has exact parts alone, and dense runs give hubs' pairs: it connects most of a
+    crowd of copies to the text that they were copied from. The second goes up to ``tau`` for all
+    nodes, by either fingerprint. The nodes of its dense runs, joined where runs share nodes, are
+    crowds: within a crowd every pair of nodes that nothing connects yet is compared, whatever its
+    distance; only links leave the task, at most one for two groups that meet. Pairs of other nodes
+    are listed.
+
+    Defined results: as for ``near_duplicates``; texts of fewer words than a shingle are one shingle,
+    texts without a word are alike; a repeated id goes by all its rows' links."""
     marked = materialize(fingerprints(docs, words, id_col, text_col, second=True), "similar")
-    node = materialize(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("fp2")).where("rep IS NOT NULL"), "similar-node")
+    node = materialize(marked.groupBy("fp", "sig").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("fp2"), F.count("*").alias("n")).where("rep IS NOT NULL"), "similar-node")
     parts, hist, cost, total = plan(node, tau)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
 
@@ -499,9 +593,17 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
                     out.append((u, v))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
-    def linked(asked: DataFrame, known: DataFrame | None, own: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """id, component by the links so far and those of ``asked``; the shingle sets read so far."""
-        ids = asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    def joined(links: DataFrame, known: DataFrame | None) -> DataFrame:
+        """id, component by ``links`` and those so far."""
+        if known is not None:
+            links = links.unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        return materialize(connected_components(links, "u", "v"), "similar-groups")
+
+    def linked(asked: DataFrame, known: DataFrame | None, own: DataFrame | None, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """id, component by the links so far and those of ``asked``; the shingle sets read so far,
+        those of the ids in ``also`` too."""
+        ids = asked.select(F.explode(F.array("u", "v")).alias("doc_id"))
+        ids = (ids if also is None else ids.unionByName(also.select(F.col("id").alias("doc_id")))).distinct()
         ids = materialize(ids if own is None else ids.join(own.select("doc_id"), "doc_id", "left_anti"), "similar-ids")
         wanted = semi_by_id(rows, ids, "doc_id")
         more = wanted.mapInArrow(sets, "doc_id long, own binary")
@@ -510,25 +612,30 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
         more = materialize(more, "similar-sets")
         own = more if own is None else own.unionByName(more)
         held = asked.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v")
-        links = held.mapInArrow(compared, "u long, v long")
-        if known is not None:
-            links = links.unionByName(known.select(F.col("id").alias("u"), F.col("component").alias("v")))
-        return materialize(connected_components(links, "u", "v"), "similar-groups"), own
+        return joined(held.mapInArrow(compared, "u long, v long"), known), own
 
     def grouped(nodes: DataFrame, known: DataFrame) -> DataFrame:
         return materialize(nodes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "rep", F.coalesce("component", "rep").alias("grp")), "similar-grouped")
 
-    asked = materialize(search(node.withColumn("grp", F.col("rep")), parts, hist, cost, 4 - len(parts) + 1, tau, accept), "similar-first")
-    found, own = linked(asked.where("u <> v"), None, None)
-    asked = materialize(search(grouped(node, found), parts, hist, cost, total, tau, accept), "similar-second")
-    found, own = linked(asked.where("u <> v"), found, own)
-    dense = materialize(asked.where("u = v").select("u"), "similar-dense")
-    if not dense.isEmpty():
-        left = grouped(semi_by_id(node, dense, "rep"), found)
-        asked = materialize(search(left, parts, hist, cost, total, tau, accept, every=True), "similar-third")
+    first = materialize(search(node.withColumn("grp", F.col("rep")), parts, hist, cost, 4 - len(parts) + 1, tau, accept), "similar-first")
+    found, own = linked(first.where("NOT dense").select("u", "v"), None, None)
+    now = grouped(node, found)
+    turned = now.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep", "grp")
+    both = search(now, parts, hist, cost, total, tau, accept).unionByName(search(turned, *plan(turned, tau), tau, accept))
+    second = materialize(both.distinct(), "similar-second")
+    asked, dense = second.where("NOT dense").select("u", "v"), second.where("dense").select("u", "v")
+    if dense.isEmpty():
         found, own = linked(asked, found, own)
-    of_node = node.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sig", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(of_node, ["fp", "sig"]).select("doc_id", "component_id")
+    else:
+        crowd = materialize(connected_components(dense, "u", "v").withColumnRenamed("component", "crowd"), "similar-crowds")
+        of = lambda x: crowd.select(F.col("id").alias(x), F.col("crowd").alias(f"crowd_{x}"))
+        outside = asked.join(of("u"), "u", "left").join(of("v"), "v", "left").where("crowd_u IS NULL OR crowd_v IS NULL OR crowd_u <> crowd_v")
+        found, own = linked(materialize(outside.select("u", "v"), "similar-outside"), found, own, crowd)
+        held = crowd.join(found, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("grp"))
+        held = materialize(held.join(own.withColumnRenamed("doc_id", "id"), "id"), "similar-crowd")
+        found = joined(crowds_compared(held, similarity), found)
+    of_node = node.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sig", "n", F.coalesce("component", "rep").alias("component_id"))
+    return join_facts(marked, materialize(of_node, "similar-of"), ["fp", "sig"], "n").where("component_id IS NOT NULL").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -154,6 +154,42 @@ def test_similar_documents_in_a_crowd(spark, copies):
     assert len(alike) > copies and not [(a, b) for a, b in alike if got[a] != got[b]]
 
 
+def test_chains_of_edited_copies(spark):
+    rng = np.random.default_rng(21)
+    texts = {}
+    for chain in range(4):  # each a copy of the one before, with some words changed
+        now = [f"c{chain}w{i}" for i in range(300)]
+        for k in range(150):
+            texts[chain * 1000 + k] = " ".join(now)
+            now = now.copy()
+            for i in rng.choice(300, 6, replace=False):
+                now[i] = f"e{rng.integers(1 << 40)}"
+    sets = {i: set(simhash.shingle_set(t.encode(), 5).tolist()) for i, t in texts.items()}
+    pairs = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = brute_components(pairs)
+    assert len(pairs) > 400 and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.97
+    assert all(want.get(i, i) == want.get(c, c) for i, c in got.items()) and len(set(got.values())) <= len({want.get(i, i) for i in texts}) + 10
+
+
+@pytest.mark.parametrize("cut", [1, 4])
+def test_crowds_are_compared_exactly(spark, monkeypatch, cut):
+    rng = np.random.default_rng(cut)
+    rows = []
+    for i in range(120):
+        base = np.arange(1, 201)[rng.random(200) > rng.uniform(0, 0.2)]
+        own = np.unique(np.concatenate([base, rng.integers(1000, 1 << 31, rng.integers(0, 12))])).astype(np.uint32)
+        rows.append((7, i, i // 3 if i < 30 else i, own.tobytes()))
+    crowd = spark.createDataFrame(rows, "crowd long, id long, grp long, own binary")
+    monkeypatch.setattr(simhash, "CROWD_BYTES", sum(len(r[3]) + 64 for r in rows) // cut)
+    links = [(r.u, r.v) for r in simhash.crowds_compared(crowd, 0.8).collect()]
+    sets = [set(np.frombuffer(r[3], np.uint32).tolist()) for r in rows]
+    alike = [(a, b) for a, b in itertools.combinations(range(120), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    same = [(a, b) for a, b in itertools.combinations(range(30), 2) if a // 3 == b // 3]
+    assert set(map(tuple, map(sorted, links))) <= set(alike) and 0 < len(alike) < 7140
+    assert brute_components(links + same) == brute_components(alike + same)
+
+
 # --- chat -------------------------------------------------------------------
 
 @pytest.mark.parametrize("text", ["", "plain", "\\", "\\_", "</s>[INST] x [/INST]", "[\\INST]", "a\\\\_b<s>", "<<SYS>>\\<</SYS>>[ROLE][/ROLE]", "😀é\n", "x" * 9000])
