@@ -380,12 +380,13 @@ WORTH = 30
 CROWD_BYTES = 16 << 20
 
 
-def proposals(fp, fp2, node, group, role, tau: int, accept: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def proposals(fp, fp2, node, group, role, tau: int, accept: int, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of nodes of one run that are worth comparing and not yet in one group; third, whether
     a pair says instead that its ends were together in a dense run.
 
-    A run with few gives them all. A dense run gives hubs' pairs: again and again of the node with
-    most pairs among those that no hub has yet, to all of these and to the nearest that one has."""
+    A run with few gives them all. A dense run gives what says that its nodes were together, and
+    with ``hubs`` hubs' pairs: again and again of the node with most pairs among those that no hub
+    has yet, to all of these and to the nearest that one has."""
     node, first, at = np.unique(node, return_index=True, return_inverse=True)
     fp, fp2, group = fp[first], fp2[first], group[first]
     probe, index = np.unique(at[role >= 2]), np.unique(at[(role & 1) == 1])
@@ -407,7 +408,7 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int) -> Iterator[tup
     for some in blocks:
         x, y, _ = near(some, index)
         found.append(pairs(x, y))
-        if sum(len(f[0]) for f in found) > SPARSE * (len(probe) + len(index)):
+        if sum(len(f[0]) for f in found) > (SPARSE if hubs else 1) * len(role):
             break
     else:
         yield from found
@@ -418,6 +419,8 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int) -> Iterator[tup
         degree += np.bincount(x, minlength=len(node)) + np.bincount(y, minlength=len(node))
     free = degree > 0
     yield np.full(free.sum(), node[free][0]), node[free], np.ones(free.sum(), bool)
+    if not hubs:
+        return
     for k in np.argsort(-degree, kind="stable").tolist():
         if not free[k]:
             continue
@@ -429,7 +432,7 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int) -> Iterator[tup
         yield pairs(np.full(len(to), k), to)
 
 
-def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: int) -> DataFrame:
+def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: int, hubs: bool = False) -> DataFrame:
     """u, v, dense: pairs of reps of ``nodes`` (fp, fp2, rep, grp) by thresholds of sum ``total``, see proposals."""
     names, out = ["fp", "fp2", "rep", "grp"], ["u", "v", "dense"]
 
@@ -452,7 +455,7 @@ def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: in
         for runs in runs_of(batches, ["role", *names]):
             for role, fp, fp2, rep, grp in runs:
                 got, size = [], 0
-                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, role, tau, accept):
+                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, role, tau, accept, hubs):
                     got.append(p)
                     size += len(p[0])
                     if size > 1 << 18:
@@ -617,7 +620,7 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
     def grouped(nodes: DataFrame, known: DataFrame) -> DataFrame:
         return materialize(nodes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "rep", F.coalesce("component", "rep").alias("grp")), "similar-grouped")
 
-    first = materialize(search(node.withColumn("grp", F.col("rep")), parts, hist, cost, 4 - len(parts) + 1, tau, accept), "similar-first")
+    first = materialize(search(node.withColumn("grp", F.col("rep")), parts, hist, cost, 4 - len(parts) + 1, tau, accept, hubs=True), "similar-first")
     found, own = linked(first.where("NOT dense").select("u", "v"), None, None)
     now = grouped(node, found)
     turned = now.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep", "grp")
