@@ -61,7 +61,7 @@ def first_then_sort(df: DataFrame, n: int, path: str = "path", mtime: str = "mti
 
 def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n random rows, the same ones whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def keep_newest(df: DataFrame, cap: int, time: str, *ties: str) -> DataFrame:
@@ -103,6 +103,12 @@ def fused(df: DataFrame, n: int, fuzzy: str = "fuzzy", prefix: str = "is_prefix"
     return df.withColumn("score", score).orderBy(F.desc("score"), id_).limit(n)
 
 
+def backward_pages(df: DataFrame, group: str, size: int = 50, time: str = "time_created", id_: str = "id") -> DataFrame:
+    """Every row with ``n``, its place from the newest of its group, and ``page``, in pages of ``size``."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(time), F.desc(id_))).cast("long")
+    return df.withColumn("n", n).withColumn("page", F.floor((F.col("n") - 1) / size))
+
+
 def top_per_group(df: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
     """First n rows of every group; Spark limits groups before the shuffle."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"_n <= {n}").drop("_n")

@@ -8,7 +8,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,51 +33,34 @@ def weight(s: str) -> int:
     return len(s) + (CHARS_PER_TOKEN - 1) * len(_WIDE.findall(s))
 
 
-def _segments(line: str, most: int, tokens: int) -> list[str]:
-    """A line in pieces that fit; offsets count UTF-16 units, and pairs are not split."""
-    if not line:
-        return [""]
-    units = [c for ch in line for c in ((ch,) if ord(ch) < 0x10000 else (ch, ""))]
+def pieces(line: str, most: int, tokens: int) -> list[str]:
+    """A line cut at every ``most`` UTF-16 units, and at every ``tokens`` where that still weighs too
+    much. A character belongs where its first unit is, so a surrogate pair stays whole."""
+    unit = [0, *accumulate(1 + (c > "\uffff") for c in line)]
+    coarse = [bisect_left(unit, u) for u in range(0, max(unit[-1], 1), most)]
     out = []
-    for at in range(0, len(units), most):
-        coarse = units[at:at + most]
-        if weight("".join(coarse)) <= most:
-            out.append("".join(coarse))
-            continue
-        k = 0
-        while k < len(coarse):
-            end = min(k + max(1, tokens), len(coarse))
-            if end < len(coarse) and coarse[end] == "":
-                end += 1
-            out.append("".join(coarse[k:end]))
-            k = end
+    for lo, hi in pairwise([*coarse, len(line)]):
+        cuts = [lo]
+        while weight(line[lo:hi]) > most and (cut := bisect_left(unit, unit[cuts[-1]] + max(1, tokens))) < hi:
+            cuts.append(cut)
+        out += [line[a:b] for a, b in pairwise([*cuts, hi]) if a < b or not line]
     return out
 
 
 def chunk_text(text: str, tokens: int = 400, overlap: int = 80) -> list[tuple[int, int, str, str]]:
-    """(first line, last line, text, hash) of overlapping chunks within a weighted budget."""
+    """(first line, last line, text, hash) of overlapping chunks within a weighted budget.
+
+    With running sums of the pieces' weights, a chunk's end is the last piece that its budget reaches
+    (one new piece at least), and the next begins at the last piece from which the overlap is met."""
     most, lap = max(32, tokens * CHARS_PER_TOKEN), max(0, overlap * CHARS_PER_TOKEN)
-    out, held, size = [], [], 0
-
-    def flush():
-        if held:
-            body = "\n".join(s for s, _, _ in held)
-            out.append((held[0][1], held[-1][1], body, hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()[:16]))
-
-    for no, line in enumerate(text.split("\n"), 1):
-        for piece in _segments(line, most, tokens):
-            w = weight(piece) + 1
-            if held and size + w > most:
-                flush()
-                kept, back = 0, len(held)
-                while lap and back and kept < lap:
-                    back -= 1
-                    kept += held[back][2]
-                held = held[back:] if lap else []
-                size = sum(x for _, _, x in held)
-            held.append((piece, no, w))
-            size += w
-    flush()
+    cut = [(no, p) for no, line in enumerate(text.split("\n"), 1) for p in pieces(line, most, tokens)]
+    sums = [0, *accumulate(weight(p) + 1 for _, p in cut)]
+    out, start, end = [], 0, 0
+    while end < len(cut):
+        end = max(end + 1, bisect_right(sums, sums[start] + most) - 1)
+        body = "\n".join(p for _, p in cut[start:end])
+        out.append((cut[start][0], cut[end - 1][0], body, hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()[:16]))
+        start = max(start, bisect_right(sums, sums[end] - lap) - 1)
     return out
 
 
@@ -184,13 +169,30 @@ def rank_scale(df: DataFrame, rank: str = "rank") -> DataFrame:
 
 # --- vector leg -------------------------------------------------------------
 
+#: Bytes of query vectors that are sent to all vectors at once.
+QUERY_BYTES = 32 << 20
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, id_: str = "id", vector: str = "embedding") -> DataFrame:
+    """query, id, score: the cosine of every vector with every query (J15, R07). Vectors that are null,
+    empty or of another length are skipped. Queries go to the vectors in blocks of bounded size."""
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("query_embedding")).alias("width")).first()
+    blocks = -(-size.n * (8 * (size.width or 0) + 32) // QUERY_BYTES)
+    out = None
+    for k in range(max(1, blocks)):
+        some = queries.select("query", "query_embedding")
+        some = some.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k) if blocks > 1 else some
+        pairs = vectors.where(F.size(vector) > 0).join(F.broadcast(some), F.size(vector) == F.size("query_embedding"))
+        scored = pairs.select("query", F.col(id_).alias("id"), cosine(F.col(vector), F.col("query_embedding")).alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vector: str = "embedding") -> DataFrame:
-    """query, id, score: the k most alike of each query (R06, R07). Vectors that are null, empty or of
-    another length are skipped. Queries are few: they go to the vectors."""
-    q = F.broadcast(queries.select(F.col("query"), F.col("query_embedding")))
-    pairs = vectors.where(F.size(vector) > 0).join(q, F.size(vector) == F.size("query_embedding"))
-    scored = pairs.select("query", F.col(id_).alias("id"), cosine(F.col(vector), F.col("query_embedding")).alias("score"))
+    """query, id, score: the k most alike of each query (R06, R07); every partition keeps k a query
+    before anything is shuffled."""
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    scored = similarities(vectors, queries, id_, vector)
     return scored.withColumn("_n", F.row_number().over(w)).where(f"_n <= {k}").drop("_n")
 
 

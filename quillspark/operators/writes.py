@@ -58,7 +58,7 @@ def balances(ledger: DataFrame, key: str, amount: str, kind: str, reversible: Co
     return ledger.groupBy(key).agg(F.sum(signed).alias("balance"))
 
 
-def reverted(messages: DataFrame, parts: DataFrame, message: str, part: str | None = None) -> tuple[DataFrame, DataFrame]:
+def reverted(messages: DataFrame, parts: DataFrame, message: str | Column, part: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Drops what comes after a message, or after a part within it (D11): later messages go, the
     message itself unless a part is named, and in it the parts from the named one on."""
     kept = messages.where(F.col("id") < message if part is None else F.col("id") <= message)

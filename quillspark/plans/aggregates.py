@@ -64,13 +64,13 @@ def by_day(spark, d):
     return usage(spark, d).groupBy(F.date_format("t", "yyyy-MM-dd").alias("day"), "model", "key_id", plan.alias("plan")).agg(F.sum("cost").alias("cost"))
 
 
-@query("a09_dense_spine", f"WITH {USAGE}, g AS (SELECT CAST(t AS DATE) AS day, model, sum(cost) AS cost FROM usage WHERE ws = 3 GROUP BY ALL), s AS (SELECT CAST(range AS DATE) AS day, model FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY), (SELECT DISTINCT model FROM usage)) SELECT CAST(day AS VARCHAR) AS day, model, coalesce(cost, 0) AS cost FROM s LEFT JOIN g USING (day, model)")
+@query("a09_dense_spine", f"WITH {USAGE}, g AS (SELECT ws, CAST(t AS DATE) AS day, model, sum(cost) AS cost FROM usage GROUP BY ALL), s AS (SELECT CAST(range AS DATE) AS day, ws, model FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY), (SELECT DISTINCT ws, model FROM usage)) SELECT ws, CAST(day AS VARCHAR) AS day, model, coalesce(cost, 0) AS cost FROM s LEFT JOIN g USING (ws, day, model)")
 def dense_spine(spark, d):
     u = usage(spark, d)
     days = spark.sql("SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-31')) AS day")
-    spine = u.select("model").distinct().join(F.broadcast(days))  # a month of days for each model
-    sums = u.where("ws = 3").groupBy(F.to_date("t").alias("day"), "model").agg(F.sum("cost").alias("cost"))
-    return A.dense(sums, spine, ["day", "model"], "cost").withColumn("day", F.col("day").cast("string"))
+    spine = u.select("ws", "model").distinct().join(F.broadcast(days))  # a month of days for each model
+    sums = u.groupBy("ws", F.to_date("t").alias("day"), "model").agg(F.sum("cost").alias("cost"))
+    return A.dense(sums, spine, ["ws", "day", "model"], "cost").withColumn("day", F.col("day").cast("string"))
 
 
 @query("a10_iso_week", f"WITH {USAGE} SELECT ws, CAST(isoyear(t) * 100 + week(t) AS BIGINT) AS week, coalesce(sum(cost), 0) AS amount FROM usage GROUP BY ALL")

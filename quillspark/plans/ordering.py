@@ -35,11 +35,9 @@ def time_cursor(spark, d):
     return P.updated_before(rows, last, 30).select("id")
 
 
-@query("t05_full_backward", f"WITH {MESSAGE} SELECT id, row_number() OVER (ORDER BY time_created DESC, id DESC) AS n FROM message WHERE session_id = 5")
+@query("t05_full_backward", f"WITH {MESSAGE} SELECT id, n, (n - 1) // 4 AS page FROM (SELECT id, row_number() OVER (PARTITION BY session_id ORDER BY time_created DESC, id DESC) AS n FROM message)")
 def full_backward(spark, d):
-    from pyspark.sql import Window
-
-    return message(spark, d).where("session_id = 5").select("id", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("time_created"), F.desc("id"))).cast("long").alias("n"))
+    return P.backward_pages(message(spark, d), "session_id", 4).select("id", "page", "n")
 
 
 @query("t06_offset_page", "SELECT c_custkey AS id FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50 OFFSET 50")
@@ -62,7 +60,7 @@ def first_then_sort(spark, d):
     return P.first_then_sort(file(spark, d).select("path", "mtime"), 100)
 
 
-@query("t10_random_sample")
+@query("t10_random_sample", "SELECT c_custkey AS id FROM customer ORDER BY md5('7:' || c_custkey), c_custkey LIMIT 100")
 def random_sample(spark, d):
     return P.sample(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), 100, 7, "id")
 
@@ -82,11 +80,11 @@ def top_share(spark, d):
     return P.top_share(table(spark, d, "events").select(F.col("event_type").alias("kind")), "kind", 3)
 
 
-@query("t14_listing_order", f"WITH {FILE}, x AS (SELECT path AS name, 'file' AS kind FROM file WHERE id < 40 UNION ALL SELECT DISTINCT 'dir' || (id % 5), 'directory' FROM file) SELECT name, kind FROM x ORDER BY kind <> 'directory', name LIMIT 20")
+@query("t14_listing_order", f"WITH {FILE}, x AS (SELECT path AS name, 'file' AS kind FROM file UNION ALL SELECT DISTINCT 'dir' || (id % 5), 'directory' FROM file) SELECT name, kind FROM x ORDER BY kind <> 'directory', name")
 def listing_order(spark, d):
     f = file(spark, d)
-    x = f.where("id < 40").select(F.col("path").alias("name"), F.lit("file").alias("kind")).union(f.select(F.concat(F.lit("dir"), F.col("id") % 5), F.lit("directory")).distinct())
-    return P.listing_order(x).limit(20)
+    x = f.select(F.col("path").alias("name"), F.lit("file").alias("kind")).union(f.select(F.concat(F.lit("dir"), F.col("id") % 5), F.lit("directory")).distinct())
+    return P.listing_order(x)
 
 
 @query("t15_hidden_last", f"WITH {FILE} SELECT path FROM file ORDER BY contains(path, '/.hidden/'), path LIMIT 60")

@@ -36,9 +36,9 @@ def fake_provider(texts: list[str]) -> list[list[float]]:
     return [[float(len(t)), float(t.count(" ")), float(t.count("e"))] for t in texts]
 
 
-@query("r03_embed", f"WITH {FILE} SELECT id, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS b FROM file WHERE id < 150")
+@query("r03_embed", f"WITH {FILE} SELECT id, CAST(length(text) AS DOUBLE) AS a, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS b FROM file")
 def embed(spark, d):
-    f = file(spark, d).where("id < 150").withColumn("hash", F.sha2("text", 256))
+    f = file(spark, d).withColumn("hash", F.sha2("text", 256))
     cache = f.where("id % 3 = 0").dropDuplicates(["hash"]).select("hash", F.lit("m").alias("model"), F.array(F.length("text").cast("float"), (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
     out, _ = R.embed(f.select("id", "hash", "text"), cache, fake_provider, "m")
     return out.select("id", F.get("embedding", 0).cast("double").alias("a"), F.get("embedding", 1).cast("double").alias("b"))
@@ -65,13 +65,21 @@ def rank_scale(spark, d):
     return R.rank_scale(hits).select("id", F.round("score", 6).alias("score"))
 
 
-_NEAR = "SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v JOIN embeddings q ON q.vec_id IN (1, 9)"
+_NEAR = "SELECT q.vec_id AS query, v.vec_id AS id, list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0"
 
 
-def _near(spark, d, k):
+#: Rows a search returns; each leg of a hybrid search brings three times as many.
+LIMIT = 10
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM ({_NEAR})"
+
+
+def _asked(spark, d, which="vec_id % 50 = 0"):
     v = table(spark, d, "embeddings")
-    q = v.where("vec_id IN (1, 9)").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_embedding"))
-    return R.nearest(v, q, k, "vec_id")
+    return v, v.where(which).select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_embedding"))
+
+
+def _near(spark, d, k, which="vec_id % 50 = 0"):
+    return R.nearest(*_asked(spark, d, which), k, "vec_id")
 
 
 @query("r06_vector_search", f"SELECT query, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM ({_NEAR})) WHERE n <= 10")
@@ -81,20 +89,21 @@ def vector_search(spark, d):
 
 @query("r07_brute_force", f"SELECT query, id, round(score, 6) AS score FROM ({_NEAR}) WHERE id <> query AND score > 0.3")
 def brute_force(spark, d):
-    return _near(spark, d, 1 << 30).where("id <> query AND score > 0.3").select("query", "id", F.round("score", 6).alias("score"))
+    return R.similarities(*_asked(spark, d), "vec_id").where("id <> query AND score > 0.3").select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query("r08_overfetch", f"SELECT query, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM ({_NEAR})) WHERE n <= 15 GROUP BY 1")
+@query("r08_overfetch", f"SELECT query, id FROM ({_RANKED}) WHERE n <= 30")
 def overfetch(spark, d):
-    limit = 5
-    return _near(spark, d, 3 * limit).groupBy("query").agg(F.count("*").alias("n"))
+    return _near(spark, d, 3 * LIMIT).select("query", "id")
 
 
-@query("r09_hybrid_merge", f"WITH {FILE}, {_WORDS}, v AS (SELECT id, score FROM ({_NEAR}) WHERE query = 1) SELECT id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(bm.score, 0), 6) AS score, CASE WHEN coalesce(v.score, 0) >= coalesce(bm.score, 0) THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN bm USING (id)")
+@query("r09_hybrid_merge", f"WITH {FILE}, {_WORDS}, v AS (SELECT query, id, score FROM ({_RANKED}) WHERE n <= 30), bm3 AS (SELECT q.vec_id AS query, k.id, k.score FROM embeddings q, (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 30) k WHERE q.vec_id % 50 = 0) SELECT query, id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(bm.score, 0), 6) AS score, CASE WHEN coalesce(v.score, 0) >= coalesce(bm.score, 0) THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN bm3 bm USING (query, id)")
 def hybrid_merge(spark, d):
-    v = _near(spark, d, 1 << 30).where("query = 1").select("id", "score")
-    k = R.bm25_scan(file(spark, d), "id", "text", TERMS)
-    return J.merge_scores(v, k).select("id", F.round("score", 6).alias("score"), "source")
+    both = F.struct("query", "id").alias("both")
+    words = R.bm25_scan(file(spark, d), "id", "text", TERMS).orderBy(F.desc("score"), "id").limit(3 * LIMIT)
+    k = _asked(spark, d)[1].select("query").join(F.broadcast(words))
+    merged = J.merge_scores(_near(spark, d, 3 * LIMIT).select(both, "score"), k.select(both, "score"), "both")
+    return merged.select("both.query", "both.id", F.round("score", 6).alias("score"), "source")
 
 
 @query(
@@ -114,7 +123,7 @@ def mmr(spark, d):
 
 def _pipeline(spark, d, **how):
     chunks_ = file(spark, d).select("id", "path", "text")
-    v = _near(spark, d, 1 << 30).where("query = 1").select("id", "score")
+    v = _near(spark, d, 3 * LIMIT, "vec_id = 50").select("id", "score")
     k = R.rank_scale(R.bm25_scan(chunks_, "id", "text", TERMS).withColumn("rank", -F.col("score")).orderBy("rank", "id").limit(30)).select("id", "score")
     return R.hybrid(v, k, chunks_, F.lit("2025-12-01").cast("timestamp"), **how).select("id", "rank", F.round("score", 6).alias("score"))
 
@@ -147,10 +156,12 @@ def reindex(spark, d):
     return writes.current(spark, root, "names")
 
 
-@query("r16_version_check", "SELECT true AS rebuild")
+@query("r16_version_check", "SELECT r_regionkey AS version, r_regionkey <> 2 AS rebuild FROM region")
 def version_check(spark, d):
-    manifest = spark.sql("SELECT 'version' AS key, '2' AS value")
-    return spark.range(1).select(F.lit(needs_rebuild(manifest, 3)).alias("rebuild"))
+    root = scratch(spark, "manifest")
+    spark.sql("SELECT 'version' AS key, '2' AS value UNION ALL SELECT 'model', 'm'").write.parquet(root)
+    manifest = spark.read.parquet(root)
+    return spark.createDataFrame([(v, needs_rebuild(manifest, v)) for v in range(5)], "version long, rebuild boolean")
 
 
 @query("r17_fuzzy_files")
@@ -180,7 +191,7 @@ def indented_tree(spark, d):
     return S.indented(file(spark, d), 30, ignore=(r"\.hidden",)).select("path", "kind", "line")
 
 
-@query("s07_sync_counts", f"WITH {FILE} SELECT 'index' AS action, count(*) AS n FROM file")
+@query("s07_sync_counts", f"WITH {FILE} SELECT CASE WHEN id % 3 = 0 THEN 'delete' WHEN id % 3 = 1 THEN 'skip' ELSE 'index' END AS action, count(*) AS n FROM file GROUP BY 1")
 def sync_counts(spark, d):
-    f = file(spark, d).select("path", "mtime", F.sha2("text", 256).alias("hash"))
-    return sync_plan(f.limit(0), f).groupBy("action").agg(F.count("*").alias("n"))
+    f = file(spark, d).select("id", "path", "mtime", F.sha2("text", 256).alias("hash"))
+    return sync_plan(f.where("id % 3 <> 2"), f.where("id % 3 <> 0")).groupBy("action").agg(F.count("*").alias("n"))

@@ -138,11 +138,11 @@ def json_extract(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), g("props", "$.k").cast("long").alias("k"), g("props", "$.missing").alias("missing"))
 
 
-@query("f23_json_set", "SELECT event_id AS id, '1' AS added, NULL AS k FROM events WHERE event_id < 1000")
+@query("f23_json_set", "SELECT event_id AS id, '1' AS added, NULL AS k FROM events")
 def json_set(spark, d):
     from quillspark.operators.writes import json_set as set_
 
-    e = table(spark, d, "events").where("event_id < 1000").select(F.col("event_id").alias("id"), set_("props", "added", F.lit("1")).alias("props"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), set_("props", "added", F.lit("1")).alias("props"))
     gone = e.select("id", set_("props", "k", None).alias("p"))
     return gone.select("id", F.get_json_object("p", "$.added").alias("added"), F.get_json_object("p", "$.k").alias("k"))
 

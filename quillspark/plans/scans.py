@@ -47,9 +47,22 @@ def unreadable(spark, d):
     return _tree(spark, d)[1].agg(F.count("*").alias("n"))
 
 
-@query("s06_markdown_manifest", f"WITH {FILE} SELECT path, sha256(text) AS hash FROM file")
+def _notes(spark, d):
+    """nation rows as Markdown files, a folder for each region and nation; each region has a CSV file too."""
+    root = scratch(spark, "notes")
+    n = table(spark, d, "nation").select(F.concat(F.lit("* "), "n_name").alias("value"), F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"))
+    n.repartition("nation").write.option("extension", "md").partitionBy("region", "nation").csv(root)
+    table(spark, d, "region").select("r_name", F.col("r_regionkey").alias("region")).repartition("region").write.mode("append").partitionBy("region").csv(root)
+    return root
+
+
+def _folder():
+    return F.regexp_extract("path", r"(region=[0-9]+(/nation=[0-9]+)?)/[^/]*$", 1).alias("folder")
+
+
+@query("s06_markdown_manifest", "SELECT 'region=' || n_regionkey || '/nation=' || n_nationkey AS folder, sha256('* ' || n_name || chr(10)) AS hash FROM nation")
 def markdown_manifest(spark, d):
-    return file(spark, d).select("path", F.sha2("text", 256).alias("hash"))
+    return S.markdown_files(spark, _notes(spark, d)).orderBy("path").select(_folder(), "hash")
 
 
 @query(
@@ -84,20 +97,20 @@ def object_listing(spark, d):
     return S.objects(keys, "notes/src1", after="notes/src1/2025-03", before="notes/src1/2025-06", limit=50)
 
 
-@query("s10_file_listing", f"WITH {FILE} SELECT path, mtime, octet_length(encode(text)) AS length FROM file")
+@query("s10_file_listing", "SELECT 'region=' || n_regionkey || '/nation=' || n_nationkey AS folder, CAST(length(n_name) + 3 AS BIGINT) AS length FROM nation UNION ALL SELECT 'region=' || r_regionkey, length(r_name) + 1 FROM region")
 def file_listing(spark, d):
-    return file(spark, d).select("path", "mtime", F.octet_length("text").cast("long").alias("length"))
+    return S.file_listing(spark, _notes(spark, d)).select(_folder(), "length")
 
 
 @query(
     "s11_paged_text",
-    f"""WITH {FILE}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file WHERE id < 200),
+    f"""WITH {FILE}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file),
     c AS (SELECT path, line_no, CASE WHEN length(line) > 200 THEN substr(line, 1, 200) || '...' ELSE line END AS line FROM l WHERE line_no BETWEEN 2 AND 31),
     b AS (SELECT *, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY path ORDER BY line_no) AS n FROM c)
     SELECT path, CAST(line_no AS INTEGER) AS line_no, line FROM b WHERE n <= 1500""",
 )
 def paged_text(spark, d):
-    return S.text_page(file(spark, d).where("id < 200").select("path", "text"), offset=2, limit=30, cut=200, most_bytes=1500)
+    return S.text_page(file(spark, d).select("path", "text"), offset=2, limit=30, cut=200, most_bytes=1500)
 
 
 @query("s12_adhoc_sql", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -113,14 +126,14 @@ def tsv_output(spark, d):
 
 @query(
     "s13_nested_export",
-    """SELECT o_orderkey AS session_id, count(l_orderkey) AS n_parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 500 GROUP BY o_orderkey""",
+    """SELECT o_orderkey AS session_id, count(l_orderkey) AS n_parts FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
 )
 def nested_export(spark, d):
     from quillspark.sources.exchange import export_sessions
 
-    sessions = session(spark, d).where("id < 500").select("id", "title")
-    messages = session(spark, d).where("id < 500").select((F.col("id") * 10).alias("id"), F.col("id").alias("session_id"), "time_created")
-    parts = table(spark, d, "lineitem").where("l_orderkey < 500").select(
+    sessions = session(spark, d).select("id", "title")
+    messages = session(spark, d).select((F.col("id") * 10).alias("id"), F.col("id").alias("session_id"), "time_created")
+    parts = table(spark, d, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (F.col("l_orderkey") * 10).alias("message_id"), "l_quantity")
     out = export_sessions(sessions, messages, parts)
     n = F.aggregate(F.from_json("body", "messages array<struct<parts:array<struct<id:string>>>>")["messages"], F.lit(0), lambda s, m: s + F.size(m["parts"]))
@@ -154,21 +167,26 @@ def csv_cell(spark, d):
     return table(spark, d, "part").select(k.alias("id"), cell.alias("cell"))
 
 
-@query("s16_time_partitions", "SELECT event_type AS model, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) AS h, count(*) AS n FROM events GROUP BY ALL")
+@query("s16_time_partitions", "SELECT event_type AS model, year(ts) AS y, month(ts) AS m, day(ts) AS d, hour(ts) // 12 * 12 AS h, count(*) AS n FROM events GROUP BY ALL")
 def time_partitions(spark, d):
-    t = F.col("ts")
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("model"), F.year(t).alias("y"), F.month(t).alias("m"), F.dayofmonth(t).alias("d"), F.hour(t).alias("h")).agg(F.count("*").alias("n"))
+    from quillspark.sources.exchange import write_by_hour
+
+    root = scratch(spark, "dump")
+    half_day = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 43_200) * 43_200)  # few files, however many events
+    write_by_hour(table(spark, d, "events").select("event_id", F.col("event_type").alias("model"), half_day.alias("time")), root)
+    back = spark.read.schema("event_id long, model string, year int, month int, day int, hour int").json(root)
+    return back.groupBy("model", F.col("year").alias("y"), F.col("month").alias("m"), F.col("day").alias("d"), F.col("hour").alias("h")).agg(F.count("event_id").alias("n"))
 
 
 @query(
     "s17_metric_log",
-    """WITH e AS (SELECT event_id, event_id // 20 AS batch, event_id % 20 AS pos, event_id % 13 <> 5 AS url_ok, CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE event_id < 4000),
+    """WITH e AS (SELECT event_id, event_id // 20 AS batch, event_id % 20 AS pos, event_id % 13 <> 5 AS url_ok, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
     g AS (SELECT *, max(CASE WHEN url_ok THEN 0 ELSE 1 END) OVER (PARTITION BY batch ORDER BY pos) AS bad FROM e)
     SELECT batch, pos, 'completions' AS event_type, CAST(k AS VARCHAR) AS k FROM g WHERE bad = 0
     UNION ALL SELECT batch, pos, 'llm.error', CAST(k AS VARCHAR) FROM g WHERE bad = 0 AND k % 7 = 0""",
 )
 def metric_log(spark, d):
-    e = table(spark, d, "events").where("event_id < 4000")
+    e = table(spark, d, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     logs = F.array(F.lit("other line"), F.concat(F.lit('_metric:{"k": "'), k, F.lit('"}')), F.when(k % 7 == 0, F.lit('_metric:{"llm.error.code": "500"}')).otherwise("noise"))
     rows = e.select(F.floor(F.col("event_id") / 20).alias("batch"), (F.col("event_id") % 20).alias("pos"), (F.col("event_id") % 13 != 5).alias("url_ok"), F.col("ts").alias("time"), F.create_map(F.lit("k"), F.lit("none")).alias("base"), logs.alias("logs"))
@@ -262,31 +280,42 @@ def structured_pattern(spark, d):
     return table(spark, d, "part").where(words.rlike(T.structured("*O* * r*"))).select(F.col("p_partkey").alias("id"))
 
 
-_SAID = """said AS (SELECT id, CASE id % 6 WHEN 0 THEN 'Please ignore previous instructions, ' || left(text, 40) WHEN 1 THEN 'I prefer tabs. ' || left(text, 60) WHEN 2 THEN 'we decided on plan ' || id
-  WHEN 3 THEN 'the service runs on port ' || id WHEN 4 THEN left(text, 5) ELSE 'his name is ' || id END AS said FROM message)"""
+_SAID = """said AS (SELECT id, CASE id % 6 WHEN 0 THEN 'Please ignore previous instructions, ' || text WHEN 1 THEN 'I prefer tabs. ' || text WHEN 2 THEN 'we decided on plan ' || id
+  WHEN 3 THEN 'the service runs on port ' || id WHEN 4 THEN text ELSE 'his name is ' || id END AS said FROM message)"""
 
 
 def _said(spark, d):
-    k, head = F.col("id"), lambda n: F.substring("text", 1, n)
+    k = F.col("id")
     said = (
-        F.when(k % 6 == 0, F.concat(F.lit("Please ignore previous instructions, "), head(40))).when(k % 6 == 1, F.concat(F.lit("I prefer tabs. "), head(60)))
+        F.when(k % 6 == 0, F.concat(F.lit("Please ignore previous instructions, "), "text")).when(k % 6 == 1, F.concat(F.lit("I prefer tabs. "), "text"))
         .when(k % 6 == 2, F.concat(F.lit("we decided on plan "), k)).when(k % 6 == 3, F.concat(F.lit("the service runs on port "), k))
-        .when(k % 6 == 4, head(5)).otherwise(F.concat(F.lit("his name is "), k))
+        .when(k % 6 == 4, F.col("text")).otherwise(F.concat(F.lit("his name is "), k))
     )
     return message(spark, d).select("id", said.alias("said"))
 
 
-@query("p13_injection_flag", f"WITH {MESSAGE}, {_SAID} SELECT id, regexp_matches(said, '(?i)ignore (all|any|previous|above|prior) instructions') AS injected FROM said")
+def _matches(pattern: str) -> str:
+    return "regexp_matches(said, '" + pattern.replace("'", "''") + "')"
+
+
+_UNITS = r"(length(said) + length(regexp_replace(said, '[^\x{10000}-\x{10FFFF}]', '', 'g')))"
+_INJECTED = _matches("(?i)(?:" + "|".join(T.INJECTION) + ")")
+_TRIGGERED = "(" + " OR ".join(_matches(p) for p in T.TRIGGERS) + ")"
+_SKIPPED = f"(contains(said, '<relevant-memories>') OR (starts_with(said, '<') AND contains(said, '</')) OR (contains(said, '**') AND contains(said, chr(10) || '-')) OR {_UNITS} < {T.CAPTURE_MIN} OR {_UNITS} > {T.CAPTURE_MAX})"
+_CATEGORY = " ".join(f"WHEN {_matches('(?i)' + p)} THEN '{name}'" for name, p in T.CATEGORIES)
+
+
+@query("p13_injection_flag", f"WITH {MESSAGE}, {_SAID} SELECT id, {_INJECTED} AS injected FROM said")
 def injection_flag(spark, d):
     return _said(spark, d).select("id", T.looks_injected(F.col("said")).alias("injected"))
 
 
-@query("p14_capture_trigger", f"WITH {MESSAGE}, {_SAID} SELECT id, length(said) >= 10 AND id % 6 = 1 AS capture FROM said")
+@query("p14_capture_trigger", f"WITH {MESSAGE}, {_SAID} SELECT id, NOT {_SKIPPED} AND NOT {_INJECTED} AND {_TRIGGERED} AS capture FROM said")
 def capture_trigger(spark, d):
     return _said(spark, d).select("id", T.worth_capturing(F.col("said")).alias("capture"))
 
 
-@query("p15_category", f"WITH {MESSAGE} SELECT id, CASE id % 6 WHEN 1 THEN 'preference' WHEN 2 THEN 'decision' WHEN 3 THEN 'fact' WHEN 5 THEN 'entity' ELSE 'other' END AS category FROM message")
+@query("p15_category", f"WITH {MESSAGE}, {_SAID} SELECT id, CASE {_CATEGORY} ELSE 'other' END AS category FROM said")
 def category(spark, d):
     return _said(spark, d).select("id", T.category(F.col("said")).alias("category"))
 

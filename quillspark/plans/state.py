@@ -56,12 +56,14 @@ _PUT = "p AS (SELECT o_custkey AS id, o_orderkey AS seq, o_orderpriority AS titl
 def _projected(spark, d):
     o = table(spark, d, "orders")
     ev = o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "P", "remove").otherwise("put").alias("kind"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("time_created"), F.col("o_custkey").alias("project_id"))
-    base = spark.createDataFrame([], "id long, title string, time_created long")
+    base = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("old").alias("title"), F.lit(-1).cast("long").alias("time_created"))
     parents = table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("project_id"))
     return eventlog.project(base, ev, "id", ["title", "time_created"], parents, "project_id")
 
 
-@query("e04_project", f"WITH {_PUT} SELECT id, arg_max(title, seq) AS title, arg_min(time_created, seq) AS time_created FROM p GROUP BY id HAVING arg_max(kind, seq) = 'put'")
+@query("e04_project", f"""WITH {_PUT}, g AS (SELECT id, max(seq) AS gone FROM p WHERE kind = 'remove' GROUP BY 1), b AS (SELECT c_custkey AS id, 'old' AS title, -1 AS time_created FROM customer WHERE c_custkey % 3 = 0 AND c_custkey NOT IN (SELECT id FROM g)),
+    n AS (SELECT id, arg_max(title, seq) AS title, arg_min(time_created, seq) AS time_created FROM p LEFT JOIN g USING (id) WHERE kind = 'put' AND (gone IS NULL OR seq > gone) GROUP BY id)
+    SELECT id, coalesce(n.title, b.title) AS title, coalesce(b.time_created, n.time_created) AS time_created FROM b FULL JOIN n USING (id)""")
 def project(spark, d):
     return _projected(spark, d)[0]
 
@@ -71,10 +73,10 @@ def dropped(spark, d):
     return _projected(spark, d)[1].select("seq")
 
 
-@query("e06_keep_created", "SELECT user_id AS id, arg_min(event_id, event_id) AS time_created, arg_max(event_type, event_id) AS data FROM events GROUP BY 1")
+@query("e06_keep_created", "SELECT user_id AS id, CASE WHEN user_id % 2 = 0 THEN -5 ELSE min(event_id) END AS time_created, arg_max(event_type, event_id) AS data FROM events GROUP BY 1")
 def keep_created(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("time_created"), F.col("event_type").alias("data"), F.col("event_id").alias("seq"))
-    base = e.where("seq < 0").select("id", "time_created", "data")
+    base = e.where("id % 2 = 0").select("id", F.lit(-5).cast("long").alias("time_created"), F.lit("old").alias("data")).distinct()
     return W.upsert(base, e, ["id"], "seq", keep=("time_created",))
 
 
@@ -100,13 +102,16 @@ def compaction(spark, d):
     return last_wins(snapshot, e.where("seq >= 500"), "key", "seq").select("key", "value")
 
 
-@query("e10_assembly", f"WITH {MESSAGE} SELECT id AS message_id, left(text, 40) AS text, turn % 2 = 1 AS complete FROM message")
+@query("e10_assembly", f"WITH {MESSAGE} SELECT id AS message_id, text, turn % 2 = 1 AS complete FROM message")
 def stream_assembly(spark, d):
     m = message(spark, d)
     ev = lambda seq, kind, delta: m.select(F.col("id").alias("message_id"), F.lit(0).alias("part_id"), F.lit(seq).alias("seq"), F.lit(kind).alias("type"), delta.alias("delta"))
     none = F.lit(None).cast("string")
-    log = ev(0, "start", none).unionByName(ev(2, "delta", F.substring("text", 21, 20))).unionByName(ev(1, "delta", F.substring("text", 1, 20)))
-    log = log.unionByName(m.where("turn % 2 = 1").select(F.col("id").alias("message_id"), F.lit(0).alias("part_id"), F.lit(3).alias("seq"), F.lit("end").alias("type"), none.alias("delta")))
+    n = F.greatest(F.ceil(F.length("text") / 20), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr("text", k * 20 + 1, F.lit(20)))
+    deltas = m.select("id", F.posexplode(pieces).alias("at", "delta")).select(F.col("id").alias("message_id"), F.lit(0).alias("part_id"), (F.col("at") + 1).alias("seq"), F.lit("delta").alias("type"), "delta")
+    log = ev(0, "start", none).unionByName(deltas)
+    log = log.unionByName(m.where("turn % 2 = 1").select(F.col("id").alias("message_id"), F.lit(0).alias("part_id"), (n + 1).alias("seq"), F.lit("end").alias("type"), none.alias("delta")))
     return assembly.text_parts(log).select("message_id", "text", "complete")
 
 
@@ -156,15 +161,17 @@ def trial(spark, d):
     return counters.trial(_use(spark, d), "key_id", "t", "input", 500, "id").select("id", "in_trial")
 
 
-@query("e17_sse_chunks", "SELECT c_custkey AS id, 2 AS n FROM customer")
+@query("e17_sse_chunks", "SELECT c_custkey AS id, c_custkey % 4 + 1 AS n, CAST(c_custkey AS VARCHAR) AS total FROM customer")
 def sse_chunks(spark, d):
-    body = F.concat(F.lit("data: a\n\ndata: "), "c_name", F.lit("\n\ndata: unfinished"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.size(assembly.sse_chunks(body)).alias("n"))
+    k = F.col("c_custkey")
+    body = F.concat(F.repeat(F.lit("data: a\n\n"), (k % 4).cast("int")), F.lit('data: {"usage": {"total": '), k, F.lit("}}\n\ndata: unfinished"))
+    chunks = assembly.sse_chunks(body)
+    return table(spark, d, "customer").select(k.alias("id"), F.size(chunks).cast("long").alias("n"), F.get_json_object(assembly.stream_usage(chunks), "$.total").alias("total"))
 
 
-@query("e18_latency", f"WITH {USAGE} SELECT key_id, CAST((epoch_us(max(t)) - epoch_us(min(t))) // 1000 AS BIGINT) AS last_ms FROM usage GROUP BY 1")
+@query("e18_latency", f"WITH {USAGE} SELECT key_id, CAST((epoch_us(min(t)) - epoch_us(min(t - to_seconds(id % 7)))) // 1000 AS BIGINT) AS first_ms, CAST((epoch_us(max(t)) - epoch_us(min(t - to_seconds(id % 7)))) // 1000 AS BIGINT) AS last_ms FROM usage GROUP BY 1")
 def latency(spark, d):
-    return counters.latency(_use(spark, d).withColumn("start", F.col("t")), "key_id", "start", "t").select("key_id", "last_ms")
+    return counters.latency(_use(spark, d).withColumn("start", F.timestamp_add("SECOND", -(F.col("id") % 7).cast("int"), "t")), "key_id", "start", "t").select("key_id", "first_ms", "last_ms")
 
 
 @query("e19_ordered", "SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_name")
@@ -172,14 +179,20 @@ def ordered(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).orderBy("name")
 
 
-@query("e02_replay_stream")
+@query(
+    "e02_replay_stream",
+    f"""WITH s AS (SELECT *, event_type FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)), k AS (SELECT *, least(17, min(CASE WHEN event_type = 'error' AND n < 17 THEN n ELSE 17 END) OVER (PARTITION BY user_id)) AS b FROM s WHERE n % 17 <> 16),
+    o AS (SELECT user_id, n, event_type, CASE WHEN n < b THEN 'apply' WHEN n > b THEN 'halted' WHEN event_type = 'error' THEN 'unknown' ELSE 'gap' END AS outcome FROM k
+    UNION ALL SELECT user_id, n, event_type, CASE WHEN n < b THEN 'ignore' ELSE 'halted' END FROM k WHERE n % 11 = 0)
+    SELECT CAST(user_id AS VARCHAR) AS aggregate_id, outcome, count(*) AS n FROM o GROUP BY ALL""",
+)
 def replay_stream(spark, d):
     root = scratch(spark, "replay")
-    log = table(spark, d, "events").where("event_id < 500").select(F.lit("all").alias("aggregate_id"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("type"), F.col("props").alias("data"))
-    log.coalesce(1).write.parquet(f"{root}/in")
-    out = eventlog.replay_stream(spark.readStream.schema(log.schema).parquet(f"{root}/in"))
+    log = _log(spark, d)
+    log.write.parquet(f"{root}/in")
+    out = eventlog.replay_stream(spark.readStream.schema(log.schema).parquet(f"{root}/in"), ["click", "view", "purchase", "signup"], "arrived")
     out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    return spark.read.schema(out.schema).parquet(f"{root}/out").groupBy("aggregate_id", "outcome").agg(F.count("*").alias("n"))
 
 
 @query("e20_subscribe", "SELECT event_id AS id FROM events WHERE event_type = 'error'")
@@ -265,11 +278,11 @@ def migration(spark, d):
     return both.unionByName(n(s, "session", "kept").withColumn("orphans", F.lit(0).cast("long")))
 
 
-@query("d11_revert", f"WITH {MESSAGE} SELECT id FROM message WHERE session_id = 9 AND id < 902")
+@query("d11_revert", f"WITH {MESSAGE} SELECT id FROM message WHERE id < session_id * 100 + 2")
 def revert(spark, d):
-    m = message(spark, d).where("session_id = 9").select("id")
+    m = message(spark, d).select("id", "session_id")
     parts = m.select(F.col("id").alias("message_id"), (F.col("id") * 10).alias("id"))
-    return W.reverted(m, parts, 902)[1].select(F.col("message_id").alias("id"))
+    return W.reverted(m, parts, F.col("session_id") * 100 + 2)[1].select(F.col("message_id").alias("id"))
 
 
 @query("d12_undelete", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 1 END AS time_deleted FROM customer")

@@ -27,9 +27,9 @@ def json_tree(spark: SparkSession, root: str, schema: str, ids: list[str], patte
 
 
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime, text, hash of all *.md below a root."""
-    got = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
-    return got.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("text"), F.sha2("value", 256).alias("hash"))
+    """path, mtime, text, hash of all *.md below a root (S06, R01); the hash is that of the file's bytes."""
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    return got.select("path", F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("text"), F.sha2("content", 256).alias("hash"))
 
 
 def sync_plan(old: DataFrame, new: DataFrame) -> DataFrame:

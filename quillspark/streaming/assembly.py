@@ -29,6 +29,12 @@ def tool_states(events: DataFrame) -> DataFrame:
     return rows.groupBy("call_id").agg(F.max_by("status", F.when(F.col("_good"), F.col("seq"))).alias("status"), F.sum((~F.col("_good")).cast("int")).alias("invalid"))
 
 
+def stream_usage(chunks: Column) -> Column:
+    """The last usage object among the data lines of a stream, as JSON, or null."""
+    found = F.filter(F.transform(chunks, lambda x: F.get_json_object(F.regexp_replace(x, r"^data:\s*", ""), "$.usage")), lambda x: x.isNotNull())
+    return F.try_element_at(found, F.lit(-1))
+
+
 def sse_chunks(body: Column, separator: str = "\n\n") -> Column:
     """Complete chunks of a streamed body; an unfinished rest is carried, so it is not one."""
     parts = F.split(body, separator)

@@ -36,19 +36,26 @@ def replay(events: DataFrame, heads: DataFrame, known: list[str] | None = None,
     return rows.withColumn("outcome", out).drop("head", "_head", "_one", "_broken")
 
 
-def replay_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream, with the head of each aggregate as state."""
+def replay_stream(events: DataFrame, known: list[str] | None = None, arrived: str = "seq") -> DataFrame:
+    """The same over a stream, with the head of each aggregate as state. An aggregate's events of one
+    micro-batch are put in the order of their arrival."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         head, broken = state.get if state.exists else (-1, False)
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values("seq", kind="stable").itertuples(index=False):
-                outcome = "ignore" if r.seq <= head else "halted" if broken else "gap" if r.seq > head + 1 else "apply"
-                out.append((key[0], r.seq, r.id, r.type, r.data, outcome, head + 1))
-                broken = broken or outcome == "gap"
-                head = r.seq if outcome == "apply" else head
-            yield pd.DataFrame(out, columns=["aggregate_id", "seq", "id", "type", "data", "outcome", "expected"])
+        out = []
+        for r in pd.concat(batches).sort_values(arrived, kind="stable").itertuples(index=False):
+            if broken:
+                outcome = "halted"
+            elif r.seq <= head:
+                outcome = "ignore"
+            elif known is not None and r.type not in known:
+                outcome = "unknown"
+            else:
+                outcome = "gap" if r.seq > head + 1 else "apply"
+            out.append((key[0], r.seq, r.id, r.type, r.data, outcome, head + 1))
+            broken = broken or outcome in ("gap", "unknown")
+            head = max(head, r.seq)
         state.update((head, broken))
+        yield pd.DataFrame(out, columns=["aggregate_id", "seq", "id", "type", "data", "outcome", "expected"])
 
     return events.groupBy("aggregate_id").applyInPandasWithState(step, REPLAY, "head long, broken boolean", "append", GroupStateTimeout.NoTimeout)
 
@@ -61,18 +68,18 @@ def latest_versions(registry: dict[str, int]) -> list[str]:
 def project(base: DataFrame, events: DataFrame, key: str, values: list[str], parents: DataFrame | None = None, parent: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(next state, dropped events) of created, updated and removed events.
 
-    The last event of a key decides; a kept ``time_created`` is the first one's; an event whose
-    parent is gone is dropped. ``events`` has the key, seq, kind ('put' or 'remove') and the values."""
+    The last event of a key decides; ``time_created`` stays as it first was, in ``base`` or in the first
+    event, but a row that is put again after its removal is new. An event whose parent is gone is dropped. ``events`` has the key, seq, kind ('put' or 'remove') and the values."""
     dropped = events.limit(0)
     if parents is not None:
         ids = parents.select(F.col(parents.columns[0]).alias(parent))
         dropped = events.join(ids, parent, "left_anti")
         events = events.join(ids, parent, "left_semi")
-    last = events.groupBy(key).agg(F.max_by(F.struct("kind", *values), "seq").alias("_l"), F.min_by(F.struct(*values), "seq").alias("_f")).select(key, "_l.*", F.col("_f.time_created").alias("_first"))
-    removed = last.where("kind = 'remove'").select(key)
-    put = last.where("kind = 'put'").withColumn("time_created", F.col("_first")).select(key, *values)
-    state = upsert(base.select(key, *values), put, [key], keep=("time_created",))
-    return state.join(removed, key, "left_anti"), dropped
+    gone = events.where("kind = 'remove'").groupBy(key).agg(F.max("seq").alias("_gone"))
+    live = events.where("kind = 'put'").join(gone, key, "left").where("_gone IS NULL OR seq > _gone")
+    last = live.groupBy(key).agg(F.max_by(F.struct(*values), "seq").alias("_l"), F.min_by("time_created", "seq").alias("_first"))
+    put = last.select(key, "_l.*", "_first").withColumn("time_created", F.col("_first")).select(key, *values)
+    return upsert(base.select(key, *values).join(gone, key, "left_anti"), put, [key], keep=("time_created",)), dropped
 
 
 def with_deltas(parts: DataFrame, deltas: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
