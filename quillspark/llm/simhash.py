@@ -380,22 +380,22 @@ WORTH = 30
 CROWD_BYTES = 16 << 20
 
 
-def proposals(fp, fp2, node, group, role, tau: int, accept: int, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of nodes of one run that are worth comparing and not yet in one group; third, whether
-    a pair says instead that its ends were together in a dense run.
+def proposals(fp, fp2, node, group, crowd, role, tau: int, accept: int, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of nodes of one run that are worth comparing and not yet in one group or crowd; third,
+    whether a pair says instead that its ends were together in a dense run.
 
-    A run with few gives them all. A dense run gives what says that its nodes were together, and
-    with ``hubs`` hubs' pairs: again and again of the node with most pairs among those that no hub
+    A run with few gives them all. A dense run gives what says that its nodes were together, by one
+    node for each crowd (a node outside of crowds has one of its own), and with ``hubs`` hubs' pairs: again and again of the node with most pairs among those that no hub
     has yet, to all of these and to the nearest that one has."""
     node, first, at = np.unique(node, return_index=True, return_inverse=True)
-    fp, fp2, group = fp[first], fp2[first], group[first]
+    fp, fp2, group, crowd = fp[first], fp2[first], group[first], crowd[first]
     probe, index = np.unique(at[role >= 2]), np.unique(at[(role & 1) == 1])
     if not len(probe) or not len(index) or len(node) == 1:
         return
 
     def near(a, b):
         d = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :])
-        i, j = np.nonzero((d <= accept) & (group[a][:, None] != group[b][None, :]))
+        i, j = np.nonzero((d <= accept) & (group[a][:, None] != group[b][None, :]) & (crowd[a][:, None] != crowd[b][None, :]))
         d, x, y = d[i, j], a[i], b[j]
         worth = (d <= tau) | (d + np.bitwise_count(fp2[x] ^ fp2[y]) <= WORTH)
         return x[worth], y[worth], d[worth]
@@ -418,7 +418,8 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int, hubs: bool) ->
         x, y, _ = near(some, index)
         degree += np.bincount(x, minlength=len(node)) + np.bincount(y, minlength=len(node))
     free = degree > 0
-    yield np.full(free.sum(), node[free][0]), node[free], np.ones(free.sum(), bool)
+    met = node[free][np.unique(crowd[free], return_index=True)[1]]
+    yield np.full(len(met), met[0]), met, np.ones(len(met), bool)
     if not hubs:
         return
     for k in np.argsort(-degree, kind="stable").tolist():
@@ -433,8 +434,8 @@ def proposals(fp, fp2, node, group, role, tau: int, accept: int, hubs: bool) ->
 
 
 def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: int, hubs: bool = False) -> DataFrame:
-    """u, v, dense: pairs of reps of ``nodes`` (fp, fp2, rep, grp) by thresholds of sum ``total``, see proposals."""
-    names, out = ["fp", "fp2", "rep", "grp"], ["u", "v", "dense"]
+    """u, v, dense: pairs of reps of ``nodes`` (fp, fp2, rep, grp, crowd) by thresholds of sum ``total``, see proposals."""
+    names, out = ["fp", "fp2", "rep", "grp", "crowd"], ["u", "v", "dense"]
 
     def keyed(batches):
         for b in batches:
@@ -453,9 +454,9 @@ def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: in
 
     def joined(batches):
         for runs in runs_of(batches, ["role", *names]):
-            for role, fp, fp2, rep, grp in runs:
+            for role, fp, fp2, rep, grp, crowd in runs:
                 got, size = [], 0
-                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, role, tau, accept, hubs):
+                for p in proposals(fp.view(np.uint64), fp2.view(np.uint64), rep, grp, crowd, role, tau, accept, hubs):
                     got.append(p)
                     size += len(p[0])
                     if size > 1 << 18:
@@ -464,7 +465,7 @@ def search(nodes: DataFrame, parts, hist, cost, total: int, tau: int, accept: in
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*got, strict=True)], out)
 
-    rows = nodes.select(*names).mapInArrow(keyed, "k long, role byte, fp long, fp2 long, rep long, grp long")
+    rows = nodes.select(*names).mapInArrow(keyed, "k long, role byte, fp long, fp2 long, rep long, grp long, crowd long")
     return rows.repartition("k").sortWithinPartitions("k").mapInArrow(joined, "u long, v long, dense boolean").distinct()
 
 
@@ -569,10 +570,10 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
     Two searches, each checked by Jaccard before the next, list no pair whose ends the links so far
     connect. The first has exact parts alone, and dense runs give hubs' pairs: it connects most of a
     crowd of copies to the text that they were copied from. The second goes up to ``tau`` for all
-    nodes, by either fingerprint. The nodes of its dense runs, joined where runs share nodes, are
-    crowds: within a crowd every pair of nodes that nothing connects yet is compared, whatever its
-    distance; only links leave the task, at most one for two groups that meet. Pairs of other nodes
-    are listed.
+    nodes, by either fingerprint. The nodes of dense runs of either search, joined where runs share
+    nodes, are crowds: within a crowd every pair of nodes that nothing connects yet is compared,
+    whatever its distance; only links leave the task, at most one for two groups that meet. So the
+    second search takes a crowd of the first as one. Pairs of other nodes are listed.
 
     Defined results: as for ``near_duplicates``; texts of fewer words than a shingle are one shingle,
     texts without a word are alike; a repeated id goes by all its rows' links."""
@@ -617,16 +618,26 @@ def similar_documents(docs: DataFrame, words: int = 5, tau: int = 9, accept: int
         held = asked.join(own.select(F.col("doc_id").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("doc_id").alias("v"), F.col("own").alias("y")), "v")
         return joined(held.mapInArrow(compared, "u long, v long"), known), own
 
-    def grouped(nodes: DataFrame, known: DataFrame) -> DataFrame:
-        return materialize(nodes.join(known.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "fp2", "rep", F.coalesce("component", "rep").alias("grp")), "similar-grouped")
+    def unsettled(together: DataFrame, known: DataFrame) -> DataFrame:
+        """id, crowd of the crowds in which the links so far leave more than one group."""
+        crowd = materialize(connected_components(together, "u", "v").withColumnRenamed("component", "crowd"), "similar-met")
+        held = crowd.join(known, "id", "left").select("crowd", "id", F.coalesce("component", "id").alias("grp"))
+        facts = held.groupBy("crowd").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.count("*").alias("n"))
+        return materialize(join_facts(held, facts, ["crowd"], "n").where("low <> high").select("id", "crowd"), "similar-unsettled")
 
-    first = materialize(search(node.withColumn("grp", F.col("rep")), parts, hist, cost, 4 - len(parts) + 1, tau, accept, hubs=True), "similar-first")
+    def grouped(nodes: DataFrame, known: DataFrame, crowds: DataFrame) -> DataFrame:
+        marked_ = nodes.join(known.withColumnRenamed("id", "rep"), "rep", "left").join(crowds.withColumnRenamed("id", "rep"), "rep", "left")
+        return materialize(marked_.select("fp", "fp2", "rep", F.coalesce("component", "rep").alias("grp"), F.coalesce("crowd", "rep").alias("crowd")), "similar-grouped")
+
+    first = materialize(search(node.withColumns({"grp": F.col("rep"), "crowd": F.col("rep")}), parts, hist, cost, 4 - len(parts) + 1, tau, accept, hubs=True), "similar-first")
     found, own = linked(first.where("NOT dense").select("u", "v"), None, None)
-    now = grouped(node, found)
-    turned = now.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep", "grp")
+    met = unsettled(first.where("dense").select("u", "v"), found)
+    now = grouped(node, found, met)
+    turned = now.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "rep", "grp", "crowd")
     both = search(now, parts, hist, cost, total, tau, accept).unionByName(search(turned, *plan(turned, tau), tau, accept))
     second = materialize(both.distinct(), "similar-second")
     asked, dense = second.where("NOT dense").select("u", "v"), second.where("dense").select("u", "v")
+    dense = dense.unionByName(met.select(F.col("id").alias("u"), F.col("crowd").alias("v")))
     if dense.isEmpty():
         found, own = linked(asked, found, own)
     else:
