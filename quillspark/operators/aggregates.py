@@ -108,19 +108,18 @@ def by_section(df: DataFrame, item: str, areas: str, priority: list[str]) -> Dat
 
 
 def without_reverts(commits: DataFrame, group: str, order: str, title: str) -> DataFrame:
-    """Cancels pairs 'x' ... 'Revert "x"' in order; an unmatched revert stays."""
+    """Cancels pairs 'x' ... 'Revert "x"' in order, the latest x first; an unmatched revert
+    stays (A26). A group is one task; its rows are passed once."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        titles = pdf.sort_values(order, kind="stable")
-        for i, t in zip(titles.index, titles[title], strict=True):
-            if t.startswith('Revert "') and t.endswith('"'):
-                inner = t[8:-1]
-                at = next((k for k in reversed(kept) if pdf.at[k, title] == inner), None)
-                if at is not None:
-                    kept.remove(at)
-                    continue
-            kept.append(i)
-        return pdf.loc[kept]
+        rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        standing: dict[str | None, list[int]] = {}
+        for i, t in enumerate(rows[title]):
+            undone = standing.get(t[8:-1]) if t and t.startswith('Revert "') and t.endswith('"') else None
+            if undone:
+                undone.pop()
+            else:
+                standing.setdefault(t, []).append(i)
+        return rows.loc[sorted(i for kept in standing.values() for i in kept)]
 
     return commits.groupBy(group).applyInPandas(fold, commits.schema)
 

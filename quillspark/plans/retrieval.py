@@ -128,7 +128,15 @@ def _pipeline(spark, d, **how):
     return R.hybrid(v, k, chunks_, F.lit("2025-12-01").cast("timestamp"), **how).select("id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("r12_pipeline")
+@query(
+    "r12_pipeline",
+    f"""WITH {FILE}, {_WORDS}, v AS (SELECT id, score FROM ({_RANKED}) WHERE query = 50 AND n <= 30), r AS (SELECT id, -score AS rank FROM bm ORDER BY rank, id LIMIT 30),
+    k AS (SELECT id, CASE WHEN max(rank) OVER () = min(rank) OVER () THEN 1 ELSE 1 - (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()) END AS score FROM r),
+    m AS (SELECT id, 0.7 * coalesce(v.score, 0) + 0.3 * coalesce(k.score, 0) AS score FROM v FULL JOIN k USING (id)),
+    x AS (SELECT id, TRY_CAST(nullif(regexp_extract(path, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS DATE) AS day FROM file),
+    z AS (SELECT id, score * coalesce(exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '2025-12-01'))), 1) AS score FROM m JOIN x USING (id))
+    SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM z WHERE score >= 0.05 ORDER BY rank LIMIT 10""",
+)
 def pipeline(spark, d):
     return _pipeline(spark, d, mmr=False, min_score=0.05)
 

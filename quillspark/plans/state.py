@@ -87,10 +87,16 @@ def deltas(spark, d):
     return eventlog.with_deltas(parts, more)
 
 
-@query("e08_debounce")
+@query(
+    "e08_debounce",
+    f"""WITH RECURSIVE {USAGE}, e AS (SELECT key_id, model, epoch_us(t) // 1000 AS ms, id FROM usage),
+    o AS (SELECT key_id, min(ms) AS batch_start FROM e GROUP BY 1 UNION ALL
+      SELECT o.key_id, min(e.ms) FROM o JOIN e ON e.key_id = o.key_id AND e.ms >= o.batch_start + 3600000 GROUP BY o.key_id, o.batch_start)
+    SELECT e.key_id, e.model, max(e.ms) AS "at", arg_max(e.id, (e.ms, e.id)) AS id, o.batch_start FROM e ASOF JOIN o ON e.key_id = o.key_id AND e.ms >= o.batch_start GROUP BY 1, 2, 5""",
+)
 def debounce(spark, d):
     e = usage(spark, d).select("key_id", "model", F.unix_millis("t").alias("at"), "id")
-    return eventlog.debounced(e, "key_id", "model", "at", 3_600_000)
+    return eventlog.debounced(e, "key_id", "model", "at", 3_600_000, "id")
 
 
 @query("e09_compaction", "SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1")
@@ -135,7 +141,13 @@ def week_counter(spark, d):
     return counters.weekly(_use(spark, d), "key_id", "t", "cost", "id").select("id", "used")
 
 
-@query("e12_anchored_window")
+@query(
+    "e12_anchored_window",
+    f"""WITH RECURSIVE {USAGE}, e AS (SELECT id, key_id, epoch_us(t) // 1000000 AS s, cost FROM usage),
+    o AS (SELECT key_id, min(s) AS anchor FROM e GROUP BY 1 UNION ALL
+      SELECT o.key_id, min(e.s) FROM o JOIN e ON e.key_id = o.key_id AND e.s > o.anchor + 18000 GROUP BY o.key_id, o.anchor)
+    SELECT e.id, o.anchor, CAST(sum(e.cost) OVER (PARTITION BY e.key_id, o.anchor ORDER BY e.s, e.id) AS BIGINT) AS used FROM e ASOF JOIN o ON e.key_id = o.key_id AND e.s >= o.anchor""",
+)
 def anchored_window(spark, d):
     return counters.anchored(_use(spark, d).select("id", "key_id", "s", "cost"), "key_id", "s", "cost", 18_000, "id").select("id", "anchor", "used")
 

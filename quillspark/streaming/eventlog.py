@@ -6,9 +6,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.operators.writes import upsert
 
@@ -88,23 +90,25 @@ def with_deltas(parts: DataFrame, deltas: DataFrame, key: str = "id", text: str
     return parts.join(joined, key, "left").withColumn(text, F.concat(F.coalesce(text, F.lit("")), F.coalesce("_more", F.lit("")))).drop("_more")
 
 
-def debounced(items: DataFrame, group: str, key: str, time_ms: str, wait_ms: int = 1000) -> DataFrame:
+def debounced(items: DataFrame, group: str, key: str, time_ms: str, wait_ms: int = 1000, *ties: str) -> DataFrame:
     """Batches that open at their first item and close ``wait_ms`` later (E08): in a batch the last
-    item of a key counts. Batches are found by hopping from opening to opening within a group."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([time_ms], kind="stable")
-        opened, batch = None, []
-        for t in pdf[time_ms]:
-            if opened is None or t >= opened + wait_ms:
-                opened = t
-            batch.append(opened)
-        out = pdf.assign(batch_start=batch)
-        return out.drop_duplicates(["batch_start", key], keep="last")
-
-    from pyspark.sql.types import LongType, StructField, StructType
+    item of a key counts, of equal times the one with the greatest ``ties``. When a batch opens depends
+    on the one before, so rows stream past in order of group and time, and only the last opening is
+    carried; the last item is a partial aggregate. Items without a time are in no batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, opened = None, None
+        for b in batches:
+            starts = []
+            for g, t in zip(b.column(group).to_pylist(), b.column(time_ms).to_pylist(), strict=True):
+                if opened is None or g != last or t >= opened + wait_ms:
+                    last, opened = g, t
+                starts.append(opened)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], [*b.schema.names, "batch_start"])
 
     schema = StructType([*items.schema.fields, StructField("batch_start", LongType())])
-    return items.groupBy(group).applyInPandas(fold, schema)
+    timed = items.where(F.col(time_ms).isNotNull()).repartition(group).sortWithinPartitions(group, time_ms)
+    newest = F.max_by(F.struct(*items.columns), F.struct(time_ms, *ties)).alias("_last")
+    return timed.mapInArrow(run, schema).groupBy(group, "batch_start", key).agg(newest).select("_last.*", "batch_start")
 
 
 def retained(df: DataFrame, time: str, now: Column, days: int = 7) -> DataFrame:

@@ -112,6 +112,10 @@ def test_debounce_opens_at_first_item(spark):
     df = spark.createDataFrame([("s", "a", 0, 1), ("s", "a", 900, 2), ("s", "b", 950, 3), ("s", "a", 1000, 4)], "g string, k string, at long, v long")
     got = {(r.batch_start, r.k, r.v) for r in eventlog.debounced(df, "g", "k", "at").collect()}
     assert got == {(0, "a", 2), (0, "b", 3), (1000, "a", 4)}
+    df = spark.createDataFrame([("s", "a", 5, 1), ("s", "a", 5, 2), ("t", "a", 5, 3), (None, "a", 7, 4), ("t", "a", None, 5)], "g string, k string, at long, v long")
+    got = {(r.g, r.batch_start, r.v) for r in eventlog.debounced(df, "g", "k", "at", 1000, "v").collect()}
+    assert got == {("s", 5, 2), ("t", 5, 3), (None, 7, 4)}
+    assert eventlog.debounced(df.limit(0), "g", "k", "at").count() == 0
 
 
 # --- calendar and money -----------------------------------------------------
@@ -164,6 +168,9 @@ def test_reverts_cancel(spark):
     rows = [(i, t) for i, t in enumerate(['add a', 'add b', 'Revert "add a"', 'Revert "never"'])]
     df = spark.createDataFrame([("r", *x) for x in rows], "g string, i long, title string")
     assert sorted(r.title for r in A.without_reverts(df, "g", "i", "title").collect()) == ['Revert "never"', "add b"]
+    titles = ["x", "y", "x", 'Revert "x"', None, 'Revert "Revert "x""', 'Revert "x"', 'Revert "x"']
+    df = spark.createDataFrame([("r", i, t) for i, t in enumerate(titles)], "g string, i long, title string")
+    assert sorted(r.i for r in A.without_reverts(df, "g", "i", "title").collect()) == [1, 4, 5, 7]
 
 
 def test_prune_skips_newest_turns_and_stops(spark):
@@ -219,6 +226,11 @@ def test_keywords():
     assert "discussed" in got and "api" in got and not set(got) & {"that", "the", "we", "thing"}
     assert K.extract("讨论方案") == ["讨", "论", "方", "案", "讨论", "论方", "方案"]
     assert K.expand("fix the bug") == "fix the bug OR fix OR bug"
+    assert K.extract("之前讨论的那个方案") == ["之", "讨", "论", "个", "方", "案", "前讨", "讨论", "论的", "的那", "个方", "方案"]
+    assert K.extract("qué hicimos ayer con el despliegue") == ["hicimos", "despliegue"]
+    assert K.extract("como foi ontem a implantação") == ["implantação"] and K.extract("ماذا عن الخادم") == ["الخادم"]
+    assert K.extract("그리고 서버를 배포") == ["서버를", "서버", "배포"] and K.extract("this는") == ["this는"]
+    assert K.extract("昨日のエラー") == ["エラー"]
 
 
 def test_keyword_columns_agree_with_python(spark):
