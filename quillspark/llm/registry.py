@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, mixing, nbsvm, pii, simhash, toxicity
+from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, mixing, nbsvm, packing, pii, simhash, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_kd_tree_sharding": kdtree.op8_kd_tree_sharding,
         "op9_language_id": langid.op9_language_id,
         "op10_mixing": mixing.op10_mixing,
+        "op13_hilbert_packing": packing.op13_hilbert_packing,
     }
 
 
