@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quillspark.llm import chat, decontaminate, fingerprint, kdtree, langid, mixing, nbsvm, packing, pii, simhash, toxicity
+from quillspark.llm import chat, collocations, decontaminate, fingerprint, kdtree, langid, mixing, nbsvm, packing, periodic, pii, simhash, toxicity
 
 
 def queries() -> dict:
@@ -19,6 +19,8 @@ def queries() -> dict:
         "op8_kd_tree_sharding": kdtree.op8_kd_tree_sharding,
         "op9_language_id": langid.op9_language_id,
         "op10_mixing": mixing.op10_mixing,
+        "op11_collocations": collocations.op11_collocations,
+        "op12_periodic_runs": periodic.op12_periodic_runs,
         "op13_hilbert_packing": packing.op13_hilbert_packing,
     }
 
@@ -26,5 +28,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """The others' methods (alignments, hashes, trained models, trees) cannot be said in SQL; they are
     tested against brute force, exact round trips or held-out rows."""
-    out = {"op1_chat_formatting": chat.OP1_SQL}
+    out = {"op1_chat_formatting": chat.OP1_SQL, "op11_collocations": collocations.OP11_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
