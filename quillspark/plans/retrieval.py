@@ -8,6 +8,7 @@ from quillspark.functions.keywords import extract
 from quillspark.operators import joins as J
 from quillspark.operators import retrieval as R
 from quillspark.operators import search as S
+from quillspark.operators.vector_search import VectorIndex
 from quillspark.plans.registry import query
 from quillspark.plans.views import FILE, file
 from quillspark.session import scratch, table
@@ -87,9 +88,28 @@ def vector_search(spark, d):
     return _near(spark, d, 10).select("query", "id", F.round("score", 6).alias("score"))
 
 
+@query("r06_index_exact", f"SELECT query, id, round(score, 6) AS score FROM ({_RANKED}) WHERE n <= 10")
+def index_exact(spark, d):
+    v, q = _asked(spark, d)
+    index = VectorIndex.build(v, scratch(spark, "vectors"), id_="vec_id")
+    return index.search_exact(q, 10).select("query", "id", F.round("score", 6).alias("score"))
+
+
+#: Queries on which the number of cells to probe is measured, and the share of true neighbours asked for.
+TUNED_ON, RECALL = 200, 0.95
+
+
+@query("r06_index_search")
+def index_search(spark, d):
+    v, q = _asked(spark, d)
+    index = VectorIndex.build(v, scratch(spark, "vectors"), id_="vec_id")
+    sample = q.orderBy(F.xxhash64("query", F.lit(1)), "query").limit(TUNED_ON)
+    return index.search(q, 10, index.probes_for(sample, 10, RECALL))
+
+
 @query("r07_brute_force", f"SELECT query, id, round(score, 6) AS score FROM ({_NEAR}) WHERE id <> query AND score > 0.3")
 def brute_force(spark, d):
-    return R.similarities(*_asked(spark, d), "vec_id").where("id <> query AND score > 0.3").select("query", "id", F.round("score", 6).alias("score"))
+    return R.similarities(*_asked(spark, d), "vec_id", above=0.3).where("id <> query").select("query", "id", F.round("score", 6).alias("score"))
 
 
 @query("r08_overfetch", f"SELECT query, id FROM ({_RANKED}) WHERE n <= 30")
