@@ -9,10 +9,14 @@ Second pass: phrases whose bits are all set, and whose shorter parts' bits are t
 exactly, by their words: each task adds up its slices of text, one shuffle adds up tasks. Parts
 of a frequent phrase are frequent, so both sides of every cut are among the counts.
 
-A wrong survivor costs a row and changes nothing, so the sketch's width decides only how many
-rare phrases the second pass counts: cells for half the least count of phrases each, at most
-2^26 a row (8 MB of bits a row for every task). Where a corpus outgrows that at a fixed least
-count, more phrases are counted exactly and the result stays the same.
+A wrong survivor costs some bytes and changes nothing, so the sketch's width decides only how
+many rare phrases the second pass counts. It is the same at every size (2^24 cells a row: 4 MB of
+bits for every task), so a task's sketch takes the same room however large the corpus. It screens
+well up to about half the least count of phrases a cell; a corpus beyond that wants more cells or
+a higher least count, or else has more phrases counted exactly, with the same result.
+
+Tasks send their counts as compressed columns by a hash of the phrase; what meets in one bucket is
+added up as it streams by.
 
 A hot language or phrase is one number a task before the shuffle. Scores use 38-digit integers.
 
@@ -37,11 +41,16 @@ from quillspark.llm.common import materialize, table
 
 LEAST, LONGEST, TOP, SUBSUME = 100, 5, 2000, 100
 ROWS = 2
-MIN_BITS, MAX_BITS, SLICE_BITS = 12, 26, 18
+#: Cells of a row and of a slice of it, as powers of two.
+BITS, SLICE_BITS = 24, 18
 #: Sketches added up by one task and slice.
 FAN = 64
 SLICE_BYTES = 4 << 20
 EXACT_BYTES = 8 << 20
+#: Buckets of phrases, and rows of counts held before they are added up.
+BUCKETS, HELD_ROWS = 128, 1_500_000
+#: Languages whose totals are sent to all phrases; more meet them by a shuffle.
+MANY_LANGS = 10_000
 UNKNOWN = "und"
 _KIND = np.zeros(256, np.uint8)  # 0 in a word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
@@ -135,12 +144,6 @@ def _slices(b: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, list[str]]
 
 # --- first pass ------------------------------------------------------------------
 
-def sketch_bits(text_bytes: int, least: int) -> int:
-    """Width, as a power of two: about half the least count of phrases a cell."""
-    phrases = max(1, LONGEST * text_bytes // 6)
-    return min(MAX_BITS, max(MIN_BITS, (2 * phrases // least).bit_length()))
-
-
 def _held(least: int) -> np.dtype:
     """The type of counts that stop at ``least``."""
     return np.dtype(np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.uint32)
@@ -227,7 +230,7 @@ def _set(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
 
 
 def slice_counts(texts: pa.Array, langs: list[str], bits: np.ndarray, width: int) -> pa.Table:
-    """lang, words, phrase, f: exact counts, in these texts, of the phrases that the sketch lets through;
+    """lang, words, phrase, h (its hash), f: exact counts, in these texts, of the phrases that the sketch lets through;
     with 0 words, all words of a language."""
     w = Words(texts)
     names = sorted(set(langs))
@@ -235,44 +238,93 @@ def slice_counts(texts: pa.Array, langs: list[str], bits: np.ndarray, width: int
     lang = np.array([number[x] for x in langs], np.int64)[w.text] if w.n else np.zeros(0, np.int64)
     encoded = w.encoded()
     code, vocabulary = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
-    out = [(np.bincount(lang, minlength=len(names)), np.arange(len(names)), np.full(len(names), -1), 0)]
+    of_lang = np.array([lang_hash(x) for x in names], np.uint64)
+    out = [(np.bincount(lang, minlength=len(names)), np.arange(len(names)), np.full(len(names), -1), of_lang, 0)]
     alive = np.zeros(w.n + 1, bool)
     same = np.zeros(w.n + 1, np.int64)  # number of the phrase that begins here
     for k, (at, h) in enumerate(phrase_hashes(w, langs), 1):
         ok = _set(bits, h, width)
         if k > 1:
             ok &= alive[at] & alive[at + 1]
-        at = at[ok]
+        at, h = at[ok], h[ok]
         key = (lang[at] if k == 1 else same[at]) * max(1, len(vocabulary)) + code[at + k - 1]
         ids, distinct = pd.factorize(key)
         alive[:] = False
         alive[at] = True
         same[at] = ids
-        first = np.zeros(len(distinct), np.int64)
-        first[ids[::-1]] = at[::-1]
-        out.append((np.bincount(ids, minlength=len(distinct)), lang[first], first, k))
+        place = np.zeros(len(distinct), np.int64)
+        place[ids[::-1]] = np.arange(len(at))[::-1]
+        first = at[place]
+        out.append((np.bincount(ids, minlength=len(distinct)), lang[first], first, h[place], k))
     tables = []
-    for f, of, first, k in out:
+    for f, of, first, h, k in out:
         words = [vocabulary.take(pa.array(code[first + j])) for j in range(k)]
         phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0] if k else pa.array([""] * len(f), pa.string())
-        tables.append(pa.table({"lang": pa.array(names, pa.string()).take(pa.array(of)), "words": pa.array(np.full(len(f), k, np.int32)), "phrase": phrase, "f": pa.array(f.astype(np.int64))}))
+        tables.append(pa.table({"lang": pa.array(names, pa.string()).take(pa.array(of)), "words": pa.array(np.full(len(f), k, np.int32)), "phrase": phrase, "h": pa.array(h), "f": pa.array(f.astype(np.int64))}))
     return pa.concat_tables(tables)
 
 
-def phrase_counts(documents: DataFrame, least: int = LEAST) -> DataFrame:
+def _packed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """bucket, counts: a task's counts added up, as compressed columns."""
+    t = added(tables)
+    bucket = t.column("h").to_numpy() % np.uint64(BUCKETS)
+    for k in np.unique(bucket).tolist():
+        sink = pa.BufferOutputStream()
+        part = t.filter(pa.array(bucket == k)).combine_chunks()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(part)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "counts"])
+
+
+def added(tables: list[pa.Table]) -> pa.Table:
+    keys = ["lang", "words", "phrase", "h"]
+    return pa.concat_tables(tables).group_by(keys).aggregate([("f", "sum")]).rename_columns([*keys, "f"])
+
+
+def phrase_counts(documents: DataFrame, least: int = LEAST, width: int = BITS) -> DataFrame:
     """lang, words, phrase, f: every phrase of 1 to LONGEST words with at least ``least`` occurrences, exactly;
     with 0 words and an empty phrase, all words of a language."""
     rows = documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    width = sketch_bits(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, least)
     bits = rows.sparkSession.sparkContext.broadcast(frequent_bits(rows, width, least))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             for texts, langs in _slices(b, EXACT_BYTES):
-                yield from slice_counts(texts, langs, bits.value, width).to_batches()
+                held.append(slice_counts(texts, langs, bits.value, width))
+                size += held[-1].num_rows
+                if size > HELD_ROWS:
+                    held = [added(held)]
+                    size = held[0].num_rows
+                    if 2 * size > HELD_ROWS:
+                        yield from _packed(held)
+                        held, size = [], 0
+        if held:
+            yield from _packed(held)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held, size = None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            t = added(held)
+            yield from t.filter(pc.or_(pc.equal(t.column("words"), 0), pc.greater_equal(t.column("f"), least))).select(["lang", "words", "phrase", "f"]).to_batches()
 
-    counted = rows.mapInArrow(run, "lang string, words int, phrase string, f long")
-    return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
+        for b in batches:
+            for k, raw in zip(b.column("bucket").to_pylist(), b.column("counts"), strict=True):
+                if k != bucket:
+                    if held:
+                        yield from done()
+                    bucket, held, size = k, [], 0
+                held.append(pa.ipc.open_stream(raw.as_buffer()).read_all())
+                size += held[-1].num_rows
+                if size > HELD_ROWS:
+                    held = [added(held)]
+                    size = held[0].num_rows // 2  # room for as many again before the next sum
+        if held:
+            yield from done()
+
+    packed = rows.mapInArrow(count, "bucket int, counts binary").repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(total, "lang string, words int, phrase string, f long")
 
 
 # --- scores ----------------------------------------------------------------------
@@ -296,7 +348,8 @@ def collocations(documents: DataFrame, least: int = LEAST, subsume: int = SUBSUM
     sides = sides.join(part.select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
     totals = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     whole = F.expr("(1000BD * cast(a as decimal(19,0)) * cast(n as decimal(15,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-    scored = sides.join(totals, "lang").withColumn("score", whole)
+    few = totals.limit(MANY_LANGS + 1).count() <= MANY_LANGS
+    scored = sides.join(F.broadcast(totals) if few else totals, "lang").withColumn("score", whole)
     weakest = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r", "n")).alias("s")).select("lang", "phrase", "s.*")
 
     inner = candidates.where("words > 2").select("lang", "a", "w", "words", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size"))
