@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.calendar import path_date
 from quillspark.functions.text import CHARS_PER_TOKEN
 from quillspark.operators.joins import merge_scores
+from quillspark.operators.keyword_index import impact, term_counts
 from quillspark.operators.vector_search import block_scores
+from quillspark.session import scratch
 
-K1, B = 1.2, 0.75
 HALF_LIFE_DAYS = 30
 LAMBDA = 0.7
 _WIDE = re.compile("[一-鿿㐀-䶿豈-﫿　-〿＀-￯가-힯぀-ヿ\U00010000-\U0010ffff]")
@@ -115,54 +116,26 @@ def embed(chunks_: DataFrame, cache: DataFrame, provider: Callable[[list[str]],
 
 # --- keyword leg ------------------------------------------------------------
 
-def postings(docs: DataFrame, id_: str, text: str) -> DataFrame:
-    """term, id, tf, length: one row for each term of each text."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 0)
-    rows = docs.select(F.col(id_).alias("id"), words.alias("words")).withColumn("length", F.size("words"))
-    return rows.select("id", "length", F.explode("words").alias("term")).groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-
-
-def bm25(index: DataFrame, terms: list[str], stats: tuple[int, float] | None = None) -> DataFrame:
-    """id, score of texts that have any of the terms (R04): the terms' postings alone are read."""
-    if stats is None:
-        got = index.select("id", "length").distinct().agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-        stats = (got.n, got.mean or 1.0)
-    n, mean = stats
-    hit = index.where(F.col("term").isin(list(dict.fromkeys(terms))))
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hit.join(F.broadcast(df), "term")  # a row for each query term
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    return rows.groupBy("id").agg(F.sum(part).alias("score"))
-
-
-_LETTER = r"[\p{L}\p{N}_]"
-
-
 def bm25_scan(docs: DataFrame, id_: str, text: str, terms: list[str]) -> DataFrame:
-    """The same without an index: words are counted where texts are read, and a term's own count is
-    only taken in texts that contain it."""
+    """id, score of texts that have any of the terms, without an index (R04): texts are read once; their
+    counts, a row a text, are written down for the statistics and the scores."""
     asked = list(dict.fromkeys(terms))
-    low = F.lower(F.col(text))
-
-    def count(t: str) -> Column:
-        whole = rf"(?<!{_LETTER}){re.escape(t)}(?!{_LETTER})"
-        return F.when(low.contains(t), F.regexp_count(low, F.lit(whole))).otherwise(0)
-
-    rows = docs.select(F.col(id_).alias("id"), F.regexp_count(low, F.lit(f"{_LETTER}+")).alias("length"), *[count(t).alias(f"tf_{k}") for k, t in enumerate(asked)])
-    got = rows.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(asked))]).first()
-    score, any_hit = F.lit(0.0), F.lit(False)
+    at = scratch(docs.sparkSession, "terms")
+    term_counts(docs, id_, text, asked).where("length > 0").write.parquet(at)
+    rows = docs.sparkSession.read.parquet(at)
+    got = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df_{k}") for k in range(len(asked))]).first()
+    score, hit = F.lit(0.0), F.lit(False)
     for k in range(len(asked)):
-        tf, df = F.col(f"tf_{k}"), got[f"df_{k}"]
-        idf = math.log((got.n - df + 0.5) / (df + 0.5) + 1)
-        score = score + F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (got.mean or 1.0)))
-        any_hit = any_hit | (tf > 0)
-    return rows.where(any_hit).select("id", score.alias("score"))
+        weight_ = math.log((got.n - got[f"df_{k}"] + 0.5) / (got[f"df_{k}"] + 0.5) + 1)
+        score = score + F.lit(weight_) * impact(F.col("tf")[k], F.col("length"), F.lit(got.mean or 1.0))
+        hit = hit | (F.col("tf")[k] > 0)
+    return rows.where(hit).select("id", score.alias("score"))
 
 
-def rank_scale(df: DataFrame, rank: str = "rank") -> DataFrame:
-    """Lower ranks are better: best 1, worst 0; a sole or all-equal result is 1."""
-    w = Window.partitionBy()
+def rank_scale(df: DataFrame, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
+    """Lower ranks are better: best 1, worst 0; a sole or all-equal result is 1 (R05). ``by`` names the
+    columns of a query, whose results are a bounded list."""
+    w = Window.partitionBy(*by)
     best, worst = F.min(rank).over(w), F.max(rank).over(w)
     return df.withColumn("score", F.when(worst == best, F.lit(1.0)).otherwise(1 - (F.col(rank) - best) / (worst - best)))
 
@@ -207,23 +180,34 @@ def diversify(results: pd.DataFrame, limit: int) -> pd.DataFrame:
     return rows.loc[picked].assign(rank=range(1, len(picked) + 1))
 
 
+def merged_legs(vector: DataFrame, keyword: DataFrame) -> DataFrame:
+    """query, id, score, source: both legs' results for every query."""
+    both = F.struct("query", "id").alias("both")
+    merged = merge_scores(vector.select(both, "score"), keyword.select(both, "score"), "both")
+    return merged.select("both.query", "both.id", "score", "source")
+
+
 def hybrid(vector: DataFrame, keyword: DataFrame, chunks_: DataFrame, now: Column, limit: int = 10, min_score: float = 0.0, decay: bool = True, mmr: bool = True) -> DataFrame:
-    """The whole pipeline for one query: merge, decay, minimum, diversity (R12). Either leg brings at
-    most 3 * limit rows (R08), so the last step sees at most 6 * limit."""
-    legs = [x.orderBy(F.desc("score"), "id").limit(3 * limit) for x in (vector, keyword)]
-    out = merge_scores(*legs).join(chunks_.select("id", "path", "text"), "id")
+    """The whole pipeline for all queries at once: merge, decay, minimum, diversity.
+
+    Legs are (query, id, score). Either brings at most 3 * limit rows a query (R08), so a query's last
+    step, a greedy selection, holds at most 6 * limit texts; queries are dealt over tasks."""
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    legs = [x.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= 3 * limit).drop("_n") for x in (vector, keyword)]
+    out = merged_legs(*legs).join(chunks_.select("id", "path", "text"), "id")
     if decay:
         out = decayed(out, now)
     if min_score > 0:
         out = out.where(F.col("score") >= min_score)
     if not mmr:
-        return out.orderBy(F.desc("score"), "id").limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-    schema = "id string, score double, source string, path string, text string, rank int"
+        return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    kinds = {c: out.schema[c].dataType.simpleString() for c in ("query", "id")}
+    schema = f"query {kinds['query']}, id {kinds['id']}, score double, source string, path string, text string, rank int"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        return diversify(pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable"), limit).drop(columns="_one")
+        return diversify(pdf.sort_values(["score", "id"], ascending=[False, True], kind="stable"), limit)
 
-    return out.withColumn("id", F.col("id").cast("string")).withColumn("_one", F.lit(1)).select("_one", "id", "score", "source", "path", "text").groupBy("_one").applyInPandas(pick, schema)
+    return out.select("query", "id", "score", "source", "path", "text").groupBy("query").applyInPandas(pick, schema)
 
 
 def save_gate(best: DataFrame, inside: Column, skip: float = 0.95, overwrite: float = 0.85) -> DataFrame:

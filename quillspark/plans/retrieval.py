@@ -8,6 +8,7 @@ from quillspark.functions.keywords import extract
 from quillspark.operators import joins as J
 from quillspark.operators import retrieval as R
 from quillspark.operators import search as S
+from quillspark.operators.keyword_index import KeywordIndex
 from quillspark.operators.vector_search import VectorIndex
 from quillspark.plans.registry import query
 from quillspark.plans.views import FILE, file
@@ -57,7 +58,53 @@ def bm25(spark, d):
 
 @query("r04_bm25_index", f"WITH {FILE}, {_WORDS} SELECT id, round(score, 6) AS score FROM bm")
 def bm25_index(spark, d):
-    return R.bm25(R.postings(file(spark, d), "id", "text"), TERMS).select("id", F.round("score", 6).alias("score"))
+    index = KeywordIndex.build(file(spark, d), scratch(spark, "keywords"))
+    return index.scores(TERMS).select("id", F.round("score", 6).alias("score"))
+
+
+#: Every query's words: the first six of its own text. Queries are the vectors whose id is divisible by 50.
+_ASKED = """aq AS (SELECT id AS query, unnest(list_distinct(words[1:6])) AS term FROM w WHERE id % 50 = 0 AND id IN (SELECT vec_id FROM embeddings)),
+    ap AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(words) AS term FROM w) GROUP BY ALL), ad AS (SELECT term, count(*) AS df FROM ap GROUP BY 1),
+    ab AS (SELECT query, ap.id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM aq JOIN ap USING (term) JOIN ad USING (term) JOIN l ON l.id = ap.id, s GROUP BY ALL),
+    ak AS (SELECT query, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS n FROM ab) WHERE n <= 30)"""
+
+
+def _questions(spark, d):
+    """query, terms of every query."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) > 0)
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"))
+    return file(spark, d).where("id % 50 = 0").join(asked, "id", "left_semi").select(F.col("id").alias("query"), F.slice(words, 1, 6).alias("terms"))
+
+
+def _by_keyword(spark, d, k):
+    return KeywordIndex.build(file(spark, d), scratch(spark, "keywords")).search(_questions(spark, d), k)
+
+
+@query("r04_search_all", f"WITH {FILE}, {_WORDS}, {_ASKED} SELECT query, id, round(score, 6) AS score FROM ak")
+def search_all(spark, d):
+    return _by_keyword(spark, d, 30).select("query", "id", F.round("score", 6).alias("score"))
+
+
+@query("r05_rank_scale_all", f"WITH {FILE}, {_WORDS}, {_ASKED} SELECT query, id, round(CASE WHEN max(-score) OVER p = min(-score) OVER p THEN 1 ELSE 1 - (-score - min(-score) OVER p) / (max(-score) OVER p - min(-score) OVER p) END, 6) AS score FROM ak WINDOW p AS (PARTITION BY query)")
+def rank_scale_all(spark, d):
+    hits = _by_keyword(spark, d, 30).withColumn("rank", -F.col("score"))
+    return R.rank_scale(hits, by=("query",)).select("query", "id", F.round("score", 6).alias("score"))
+
+
+#: A later state of the files: a third is gone, a third of the rest has another end, a third is new.
+_LATER = "file AS (SELECT id, path, mtime, CASE WHEN id % 3 = 1 AND id % 2 = 0 THEN text || ' erwh' ELSE text END AS text FROM file0 WHERE id % 3 <> 0)"
+
+
+@query("s07_keyword_sync", f"WITH {FILE.replace('file AS', 'file0 AS')}, {_LATER}, {_WORDS} SELECT id, round(score, 6) AS score FROM bm")
+def keyword_sync(spark, d):
+    f = file(spark, d)
+    old = f.where("id % 3 <> 2")
+    new = f.where("id % 3 <> 0").withColumn("text", F.when(F.expr("id % 3 = 1 AND id % 2 = 0"), F.concat("text", F.lit(" erwh"))).otherwise(F.col("text")))
+    new = new.withColumn("mtime", F.col("mtime") + 1)
+    index = KeywordIndex.build(old, scratch(spark, "keywords"), owner="path")
+    state = [x.select("path", "mtime", F.sha2("text", 256).alias("hash")) for x in (old, new)]
+    index.sync(sync_plan(*state), new.select(F.col("path").alias("owner"), "id", "text"))
+    return index.scores(TERMS).select("id", F.round("score", 6).alias("score"))
 
 
 @query("r05_rank_scale", f"WITH {FILE}, {_WORDS}, r AS (SELECT id, -score AS rank FROM bm ORDER BY rank, id LIMIT 30) SELECT id, round(1 - (rank - (SELECT min(rank) FROM r)) / ((SELECT max(rank) FROM r) - (SELECT min(rank) FROM r)), 6) AS score FROM r")
@@ -117,13 +164,9 @@ def overfetch(spark, d):
     return _near(spark, d, 3 * LIMIT).select("query", "id")
 
 
-@query("r09_hybrid_merge", f"WITH {FILE}, {_WORDS}, v AS (SELECT query, id, score FROM ({_RANKED}) WHERE n <= 30), bm3 AS (SELECT q.vec_id AS query, k.id, k.score FROM embeddings q, (SELECT id, score FROM bm ORDER BY score DESC, id LIMIT 30) k WHERE q.vec_id % 50 = 0) SELECT query, id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(bm.score, 0), 6) AS score, CASE WHEN coalesce(v.score, 0) >= coalesce(bm.score, 0) THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN bm3 bm USING (query, id)")
+@query("r09_hybrid_merge", f"WITH {FILE}, {_WORDS}, {_ASKED}, v AS (SELECT query, id, score FROM ({_RANKED}) WHERE n <= 30) SELECT query, id, round(0.7 * coalesce(v.score, 0) + 0.3 * coalesce(ak.score, 0), 6) AS score, CASE WHEN coalesce(v.score, 0) >= coalesce(ak.score, 0) THEN 'vector' ELSE 'keyword' END AS source FROM v FULL JOIN ak USING (query, id)")
 def hybrid_merge(spark, d):
-    both = F.struct("query", "id").alias("both")
-    words = R.bm25_scan(file(spark, d), "id", "text", TERMS).orderBy(F.desc("score"), "id").limit(3 * LIMIT)
-    k = _asked(spark, d)[1].select("query").join(F.broadcast(words))
-    merged = J.merge_scores(_near(spark, d, 3 * LIMIT).select(both, "score"), k.select(both, "score"), "both")
-    return merged.select("both.query", "both.id", F.round("score", 6).alias("score"), "source")
+    return R.merged_legs(_near(spark, d, 3 * LIMIT), _by_keyword(spark, d, 3 * LIMIT)).select("query", "id", F.round("score", 6).alias("score"), "source")
 
 
 @query(
@@ -142,20 +185,20 @@ def mmr(spark, d):
 
 
 def _pipeline(spark, d, **how):
-    chunks_ = file(spark, d).select("id", "path", "text")
-    v = _near(spark, d, 3 * LIMIT, "vec_id = 50").select("id", "score")
-    k = R.rank_scale(R.bm25_scan(chunks_, "id", "text", TERMS).withColumn("rank", -F.col("score")).orderBy("rank", "id").limit(30)).select("id", "score")
-    return R.hybrid(v, k, chunks_, F.lit("2025-12-01").cast("timestamp"), **how).select("id", "rank", F.round("score", 6).alias("score"))
+    k = R.rank_scale(_by_keyword(spark, d, 3 * LIMIT).withColumn("rank", -F.col("score")), by=("query",)).select("query", "id", "score")
+    texts = file(spark, d).select("id", "path", "text")
+    return R.hybrid(_near(spark, d, 3 * LIMIT), k, texts, F.lit("2025-12-01").cast("timestamp"), LIMIT, **how).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(
     "r12_pipeline",
-    f"""WITH {FILE}, {_WORDS}, v AS (SELECT id, score FROM ({_RANKED}) WHERE query = 50 AND n <= 30), r AS (SELECT id, -score AS rank FROM bm ORDER BY rank, id LIMIT 30),
-    k AS (SELECT id, CASE WHEN max(rank) OVER () = min(rank) OVER () THEN 1 ELSE 1 - (rank - min(rank) OVER ()) / (max(rank) OVER () - min(rank) OVER ()) END AS score FROM r),
-    m AS (SELECT id, 0.7 * coalesce(v.score, 0) + 0.3 * coalesce(k.score, 0) AS score FROM v FULL JOIN k USING (id)),
+    f"""WITH {FILE}, {_WORDS}, {_ASKED}, v AS (SELECT query, id, score FROM ({_RANKED}) WHERE n <= 30),
+    k AS (SELECT query, id, CASE WHEN max(score) OVER p = min(score) OVER p THEN 1 ELSE 1 - (max(score) OVER p - score) / (max(score) OVER p - min(score) OVER p) END AS score FROM ak WINDOW p AS (PARTITION BY query)),
+    m AS (SELECT query, id, 0.7 * coalesce(v.score, 0) + 0.3 * coalesce(k.score, 0) AS score FROM v FULL JOIN k USING (query, id)),
     x AS (SELECT id, TRY_CAST(nullif(regexp_extract(path, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '') AS DATE) AS day FROM file),
-    z AS (SELECT id, score * coalesce(exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '2025-12-01'))), 1) AS score FROM m JOIN x USING (id))
-    SELECT id, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM z WHERE score >= 0.05 ORDER BY rank LIMIT 10""",
+    z AS (SELECT query, id, score * coalesce(exp(-ln(2) / 30 * greatest(0, date_diff('day', day, DATE '2025-12-01'))), 1) AS score FROM m JOIN x USING (id)),
+    y AS (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM z WHERE score >= 0.05)
+    SELECT * FROM y WHERE rank <= 10""",
 )
 def pipeline(spark, d):
     return _pipeline(spark, d, mmr=False, min_score=0.05)
