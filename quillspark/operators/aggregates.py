@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.scan import Scan
+from quillspark.session import scratch
+
 DAY_MS = 86_400_000
 KINDS = ("input", "output", "reasoning", "cache_read", "cache_write")
 
@@ -109,19 +111,37 @@ def by_section(df: DataFrame, item: str, areas: str, priority: list[str]) -> Dat
 
 def without_reverts(commits: DataFrame, group: str, order: str, title: str) -> DataFrame:
     """Cancels pairs 'x' ... 'Revert "x"' in order, the latest x first; an unmatched revert
-    stays (A26). A group is one task; its rows are passed once."""
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        standing: dict[str | None, list[int]] = {}
-        for i, t in enumerate(rows[title]):
-            undone = standing.get(t[8:-1]) if t and t.startswith('Revert "') and t.endswith('"') else None
-            if undone:
-                undone.pop()
-            else:
-                standing.setdefault(t, []).append(i)
-        return rows.loc[sorted(i for kept in standing.values() for i in kept)]
-
-    return commits.groupBy(group).applyInPandas(fold, commits.schema)
+    stays, and can be reverted itself (A26). A null title stays.
+
+    Titles of one root meet level by level: commits against their reverts, what reverts stay against
+    theirs, and so on. At a level, with S the running sum of +1 for a title and -1 for its revert and
+    M its running minimum, S - min(0, M) is how many stand; a revert is unmatched where S falls below all
+    before, and a title stands to the end if the number never falls below what it was with it. All of these
+    are running values, so a title that is committed and reverted endlessly is many tasks."""
+    def nested(t: Column) -> Column:
+        opening = F.length(F.regexp_extract(t, r'^((?:Revert ")*)', 1)) / 8
+        return F.least(opening, F.length(F.regexp_extract(t, r'("*)$', 1))).cast("int")
+
+    depth = F.coalesce(nested(F.col(title)), F.lit(0))
+    root = F.substr(title, 8 * F.col("_depth") + 1, F.length(title) - 9 * F.col("_depth"))
+    rows = commits.withColumn("_depth", depth).withColumn("_root", root)
+    most = rows.agg(F.max("_depth")).first()[0] or 0
+    for level in range(most):
+        here = F.col("_depth").isin(level, level + 1) & F.col("_root").isNotNull()
+        scan = Scan(rows.where(here), [group, "_root"], [order, "_depth"])
+        at = scan.rows.withColumn("_step", F.when(F.col("_depth") == level, 1).otherwise(-1))
+        at = scan.running(at, {"_sum": ("sum", F.col("_step"))})
+        at = scan.running(at, {"_least": ("min", F.col("_sum"))}, exclusive=True)
+        low = F.least(F.lit(0), F.col("_least"))
+        at = at.withColumn("_lone", F.col("_sum") < low).withColumn("_stand", F.col("_sum") - F.least(low, F.col("_sum")))
+        at = scan.running(at, {"_later": ("min", F.col("_stand"))}, exclusive=True, reverse=True)
+        stays = F.when(F.col("_depth") == level, F.coalesce(F.col("_later") >= F.col("_stand"), F.lit(True))).otherwise(F.col("_lone"))
+        rows = rows.where(~here).unionByName(at.where(stays).select(*rows.columns))
+        if level + 1 < most:
+            path = scratch(rows.sparkSession, "reverts")
+            rows.write.parquet(path)
+            rows = rows.sparkSession.read.parquet(path)
+    return rows.select(*commits.columns)
 
 
 def nested_sum(array: str, field: str) -> Column:

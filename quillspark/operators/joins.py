@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.scan import Scan
+from quillspark.session import scratch
+
 
 def nest(parents: DataFrame, children: DataFrame, key: str, order: list[str], into: str) -> DataFrame:
     """Children under their parent as an ordered array; none gives an empty array."""
@@ -36,13 +39,12 @@ def merge_scores(vector: DataFrame, keyword: DataFrame, id_: str = "id", vector_
 def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str, into: str) -> DataFrame:
     """As-of lookup, strictly backward: the newest right value before each left row.
 
-    One union and one window by key, so it is linear in the rows however many match."""
-    from pyspark.sql import Window
-
+    One union and one running value by key, so it is linear in the rows however many match, and a large
+    key is many tasks."""
     tagged = left.select(F.col(key), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     known = right.where(F.col(value).isNotNull()).select(F.col(key), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(tagged.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = tagged.unionByName(known).withColumn("_last", F.last("_value", ignorenulls=True).over(w))
+    scan = Scan(tagged.unionByName(known), [key], ["_t", "_side"])
+    seen = scan.running(scan.rows, {"_last": ("last", F.col("_value"))})
     return seen.where("_side = 0").select("_row.*", F.col("_last").alias(into))
 
 
@@ -55,15 +57,31 @@ def remapped(rows: DataFrame, mapping: DataFrame, *cols: str) -> DataFrame:
     return out.select(*rows.columns)
 
 
-def descendants(tree: DataFrame, roots: DataFrame, id_: str = "id", parent: str = "parent_id", most_levels: int = 100) -> DataFrame:
-    """Roots and everything below them, by a recursive query."""
+def descendants(tree: DataFrame, roots: DataFrame, id_: str = "id", parent: str = "parent_id") -> DataFrame:
+    """Roots and everything below them at any depth, by pointer jumping (J19): id, once each.
+
+    Every node points to its parent, and knows whether a root is among the nodes between itself and
+    where it points. A round replaces each pointer by its target's, so distances double and a chain of n
+    takes log2(n) rounds of one join. A node that meets a root, or whose pointer leaves the tree, is done;
+    on a cycle pointers never leave, so rounds end once they exceed twice the logarithm of the nodes,
+    when every node of a cycle has been passed. A root that is no node itself may be a parent all the same."""
     spark = tree.sparkSession
-    tree.select(F.col(id_).alias("id"), F.col(parent).alias("parent_id")).createOrReplaceTempView("_tree")
-    roots.select(F.col(id_).alias("id")).createOrReplaceTempView("_roots")
-    return spark.sql(
-        f"WITH RECURSIVE r(id, level) MAX RECURSION LEVEL {most_levels} AS (SELECT id, 0 FROM _roots UNION ALL "
-        "SELECT t.id, r.level + 1 FROM _tree t JOIN r ON t.parent_id = r.id) SELECT DISTINCT id FROM r"
-    )
+    asked = roots.select(F.col(id_).alias("id")).where("id IS NOT NULL").distinct()
+    marked = asked.select("id", F.lit(True).alias("_root"))
+    nodes = tree.select(F.col(id_).alias("id"), F.col(parent).alias("up")).where("id IS NOT NULL").groupBy("id").agg(F.min("up").alias("up"))
+    now = nodes.join(marked, "id", "full").select("id", "up", F.coalesce("_root", F.lit(False)).alias("hit"))
+    path = scratch(spark, "closure")
+    now.write.parquet(f"{path}/0")
+    now, rounds = spark.read.parquet(f"{path}/0"), 0
+    most = 2 + max(1, now.count()).bit_length()
+    while rounds < most and not now.where("NOT hit AND up IS NOT NULL").isEmpty():
+        rounds += 1
+        to = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("hit").alias("_hit"))
+        open_ = now.where("NOT hit AND up IS NOT NULL").join(to, F.col("up") == F.col("_id"), "left")
+        moved = open_.select("id", F.col("_up").alias("up"), F.coalesce("_hit", F.lit(False)).alias("hit"))
+        now.where("hit OR up IS NULL").unionByName(moved).write.parquet(f"{path}/{rounds}")
+        now = spark.read.parquet(f"{path}/{rounds}")
+    return now.where("hit").select("id").unionByName(asked).distinct().withColumnRenamed("id", id_)
 
 
 def share_of_limit(rows: DataFrame, limits: DataFrame, keys: list[str], used: str, limit: str) -> DataFrame:

@@ -296,7 +296,7 @@ def first_three(spark, d):
 @query("w09_budget", "WITH r AS (SELECT o_custkey AS c, o_orderkey AS id, o_orderkey % 700 AS size, sum(o_orderkey % 700) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS s FROM orders) SELECT id, CASE WHEN s <= 1500 THEN size ELSE 1500 - (s - size) END AS taken FROM r WHERE s <= 1500 OR 1500 - (s - size) > 100")
 def budget(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("id"), "o_orderdate", (F.col("o_orderkey") % 700).alias("size"))
-    return W.within_budget(o, ["c"], [F.desc("o_orderdate"), F.col("id")], "size", 1500).select("id", F.col("taken").cast("long").alias("taken"))
+    return W.within_budget(o, ["c"], [-F.unix_date(F.to_date("o_orderdate")), F.col("id")], "size", 1500).select("id", F.col("taken").cast("long").alias("taken"))
 
 
 @query("w11_truncate", "SELECT id FROM (SELECT o_custkey, o_orderkey AS id, row_number() OVER w AS n, sum(o_orderkey % 700) OVER w AS s FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE n <= 5 AND s <= 2000")

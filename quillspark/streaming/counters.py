@@ -5,20 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.calendar import monthly_bounds
-
-
-def _running(keys: list, order: list) -> Window:
-    return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+from quillspark.operators.scan import Scan
 
 
 def in_window(df: DataFrame, key: str, time: str, cost: str, start: Column, *ties: str) -> DataFrame:
     """Running cost within a calendar window; a new window starts from its first cost."""
     rows = df.withColumn("window_start", start)
-    return rows.withColumn("used", F.sum(cost).over(_running([key, "window_start"], [time, *ties])))
+    scan = Scan(rows, [key, "window_start"], [time, *ties])
+    return scan.running(scan.rows, {"used": ("sum", F.col(cost))}).drop("_cell")
 
 
 def weekly(df: DataFrame, key: str, time: str, cost: str, *ties: str) -> DataFrame:
@@ -60,17 +58,19 @@ def daily_limit(df: DataFrame, ip: str, time: str, limit: int, *ties: str) -> Da
     """Requests so far today, and whether one is refused (E15): a caller with fewer than 7 * limit
     tracked requests in all may make twice the daily limit. Requests that stay within the plain
     limit are always tracked, so the lifetime count is what came before, up to the limits."""
-    day = F.to_date(time)
-    rows = df.withColumn("day", day).withColumn("today", F.count("*").over(_running([ip, "day"], [time, *ties])) - 1)
-    earlier = Window.partitionBy(ip).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("lifetime", F.count("*").over(earlier)).withColumn("is_new", F.col("lifetime") < 7 * limit)
+    rows = df.withColumn("day", F.to_date(time))
+    scan = Scan(rows, [ip, "day"], [time, *ties])
+    rows = scan.running(scan.rows, {"today": ("count", F.lit(1))}).withColumn("today", F.col("today") - 1).drop("_cell")
+    scan = Scan(rows, [ip], [time, *ties])
+    rows = scan.running(scan.rows, {"lifetime": ("count", F.lit(1))}, exclusive=True).withColumn("lifetime", F.coalesce("lifetime", F.lit(0))).drop("_cell")
+    rows = rows.withColumn("is_new", F.col("lifetime") < 7 * limit)
     return rows.withColumn("refused", F.when(F.col("is_new"), F.col("today") >= 2 * limit).otherwise(F.col("today") >= limit))
 
 
 def trial(df: DataFrame, key: str, time: str, tokens: str, limit: int, *ties: str) -> DataFrame:
     """Whether a request is still within the lifetime trial: tokens before it are under the limit."""
-    before = Window.partitionBy(key).orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("spent", F.coalesce(F.sum(tokens).over(before), F.lit(0)))
+    scan = Scan(df, [key], [time, *ties])
+    rows = scan.running(scan.rows, {"spent": ("sum", F.col(tokens))}, exclusive=True).withColumn("spent", F.coalesce("spent", F.lit(0))).drop("_cell")
     return rows.withColumn("in_trial", F.col("spent") < limit)
 
 
