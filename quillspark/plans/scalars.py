@@ -138,13 +138,15 @@ def json_extract(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), g("props", "$.k").cast("long").alias("k"), g("props", "$.missing").alias("missing"))
 
 
-@query("f23_json_set", "SELECT event_id AS id, '1' AS added, NULL AS k FROM events")
+_PROPS = """'{"o": {"a": [1, 2.50, null]}, ' || substr(props, 2, length(props) - 2) || ', "b": true}'"""
+
+
+@query("f23_json_set", f"SELECT event_id AS id, regexp_replace({_PROPS}, '\\}}$', ',\"added\":\"' || event_type || '\"}}') AS added, regexp_replace({_PROPS}, '\"k\": [0-9]+', '\"k\": ' || event_id) AS changed, regexp_replace({_PROPS}, ', \"k\": [0-9]+', '') AS removed FROM events")
 def json_set(spark, d):
     from quillspark.operators.writes import json_set as set_
 
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), set_("props", "added", F.lit("1")).alias("props"))
-    gone = e.select("id", set_("props", "k", None).alias("p"))
-    return gone.select("id", F.get_json_object("p", "$.added").alias("added"), F.get_json_object("p", "$.k").alias("k"))
+    e = table(spark, d, "events").withColumn("p", F.expr(_PROPS))
+    return e.select(F.col("event_id").alias("id"), set_("p", "added", F.col("event_type")).alias("added"), set_("p", "k", F.col("event_id")).alias("changed"), set_("p", "k", None).alias("removed"))
 
 
 @query("f24_coalesce", f"WITH {USAGE} SELECT id, coalesce(reasoning, cache_read, -1) AS v FROM usage")
