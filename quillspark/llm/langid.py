@@ -18,7 +18,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +36,6 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 EPOCHS = 2
 TEMPERATURES = np.geomspace(0.05, 4, 40)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -118,7 +116,7 @@ def make_fit(idf: np.ndarray):
 
 
 def predict(text: str | None, model: dict) -> tuple[str, float]:
-    if not model["langs"] or text is None or not _LETTER.search(text):
+    if not model["langs"] or text is None or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     i, v = tfidf(text, model["idf"])
     w = model["w"]
