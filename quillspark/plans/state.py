@@ -8,7 +8,7 @@ from quillspark.operators import writes as W
 from quillspark.plans.registry import query
 from quillspark.plans.views import MESSAGE, SESSION, USAGE, message, session, usage
 from quillspark.session import scratch, table
-from quillspark.streaming import assembly, counters, eventlog
+from quillspark.streaming import assembly, counters, eventlog, timers
 
 
 @query("e01_append", "SELECT event_id AS id, user_id % 5 + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events")
@@ -87,13 +87,13 @@ def deltas(spark, d):
     return eventlog.with_deltas(parts, more)
 
 
-@query(
-    "e08_debounce",
-    f"""WITH RECURSIVE {USAGE}, e AS (SELECT key_id, model, epoch_us(t) // 1000 AS ms, id FROM usage),
+_DEBOUNCED = f"""WITH RECURSIVE {USAGE}, e AS (SELECT key_id, model, epoch_us(t) // 1000 AS ms, id FROM usage),
     o AS (SELECT key_id, min(ms) AS batch_start FROM e GROUP BY 1 UNION ALL
       SELECT o.key_id, min(e.ms) FROM o JOIN e ON e.key_id = o.key_id AND e.ms >= o.batch_start + 3600000 GROUP BY o.key_id, o.batch_start)
-    SELECT e.key_id, e.model, max(e.ms) AS "at", arg_max(e.id, (e.ms, e.id)) AS id, o.batch_start FROM e ASOF JOIN o ON e.key_id = o.key_id AND e.ms >= o.batch_start GROUP BY 1, 2, 5""",
-)
+    SELECT e.key_id, e.model, max(e.ms) AS "at", arg_max(e.id, (e.ms, e.id)) AS id, o.batch_start FROM e ASOF JOIN o ON e.key_id = o.key_id AND e.ms >= o.batch_start GROUP BY 1, 2, 5"""
+
+
+@query("e08_debounce", _DEBOUNCED)
 def debounce(spark, d):
     e = usage(spark, d).select("key_id", "model", F.unix_millis("t").alias("at"), "id")
     return eventlog.debounced(e, "key_id", "model", "at", 3_600_000, "id")
@@ -141,13 +141,13 @@ def week_counter(spark, d):
     return counters.weekly(_use(spark, d), "key_id", "t", "cost", "id").select("id", "used")
 
 
-@query(
-    "e12_anchored_window",
-    f"""WITH RECURSIVE {USAGE}, e AS (SELECT id, key_id, epoch_us(t) // 1000000 AS s, cost FROM usage),
+_ANCHORED = f"""WITH RECURSIVE {USAGE}, e AS (SELECT id, key_id, epoch_us(t) // 1000000 AS s, cost FROM usage),
     o AS (SELECT key_id, min(s) AS anchor FROM e GROUP BY 1 UNION ALL
       SELECT o.key_id, min(e.s) FROM o JOIN e ON e.key_id = o.key_id AND e.s > o.anchor + 18000 GROUP BY o.key_id, o.anchor)
-    SELECT e.id, o.anchor, CAST(sum(e.cost) OVER (PARTITION BY e.key_id, o.anchor ORDER BY e.s, e.id) AS BIGINT) AS used FROM e ASOF JOIN o ON e.key_id = o.key_id AND e.s >= o.anchor""",
-)
+    SELECT e.id, o.anchor, CAST(sum(e.cost) OVER (PARTITION BY e.key_id, o.anchor ORDER BY e.s, e.id) AS BIGINT) AS used FROM e ASOF JOIN o ON e.key_id = o.key_id AND e.s >= o.anchor"""
+
+
+@query("e12_anchored_window", _ANCHORED)
 def anchored_window(spark, d):
     return counters.anchored(_use(spark, d).select("id", "key_id", "s", "cost"), "key_id", "s", "cost", 18_000, "id").select("id", "anchor", "used")
 
@@ -207,6 +207,41 @@ def replay_stream(spark, d):
     return spark.read.schema(out.schema).parquet(f"{root}/out").groupBy("aggregate_id", "outcome").agg(F.count("*").alias("n"))
 
 
+def _streamed(spark, rows, time_ms, make):
+    """What a stream over the rows, in several micro-batches, has given out once its watermark is past them all."""
+    timers.prepare(spark)
+    root = scratch(spark, "stream")
+    rows.repartitionByRange(4, time_ms).write.parquet(f"{root}/in")
+    day = 86_400_000
+    rows.select(*[(F.max(time_ms) + 4000 * day if c == time_ms else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in rows.columns]).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    out = make(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in"))
+    out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("e08_debounce_stream", _DEBOUNCED)
+def debounce_stream(spark, d):
+    e = usage(spark, d).select("key_id", "model", F.unix_millis("t").alias("at"), "id")
+    return _streamed(spark, e, "at", lambda s: timers.debounced_stream(s, "key_id", "model", "at", 3_600_000, ("id",), "2000 days"))
+
+
+@query("e12_anchored_stream", _ANCHORED)
+def anchored_stream(spark, d):
+    e = _use(spark, d).select("id", "key_id", (F.col("s") * 1000).alias("ms"), "cost")
+    out = _streamed(spark, e, "ms", lambda s: timers.anchored_stream(s, "key_id", "ms", "cost", 18_000_000, ("id",), "2000 days"))
+    return out.select("id", F.floor(F.col("anchor") / 1000).alias("anchor"), "used")
+
+
+@query("e04_state_log", "SELECT user_id AS key, max(event_id) AS seq, arg_max(event_type, event_id) AS value FROM events GROUP BY 1")
+def state_log(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    root = scratch(spark, "log")
+    e.repartitionByRange(5, "seq").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    eventlog.write_latest(stream, f"{root}/state", "key", "seq", f"{root}/cp").awaitTermination()
+    return eventlog.StateLog(spark, f"{root}/state", e.schema, "key", "seq").read()
+
+
 @query("e20_subscribe", "SELECT event_id AS id FROM events WHERE event_type = 'error'")
 def subscribe(spark, d):
     return eventlog.of_type(table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("type")), "error").select("id")

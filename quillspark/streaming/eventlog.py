@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
@@ -121,17 +121,77 @@ def of_type(stream: DataFrame, kind: str | None) -> DataFrame:
     return stream if kind is None else stream.where(F.col("type") == kind)
 
 
-def write_latest(stream: DataFrame, root: str, key: str, order: str, checkpoint: str):
-    """A stream folded into its latest row by key: every micro-batch is merged with the version that
-    the one before left, and written as a new version (E04, E09). Versions are named by batch, so a
-    batch that is run again after a failure writes the same one."""
+class StateLog:
+    """The latest row of each key, kept as a base and the deltas after it.
+
+    A batch writes its own latest rows, by bucket of the key, in a folder named by its number: the bytes
+    written grow with the batch, and a batch that is run again writes the same folder. Once the deltas hold
+    more rows than ``ratio`` bases, base and deltas are merged into a new base, so a row is rewritten a
+    bounded number of times for each doubling of the state. A base counts from when its pointer is written,
+    after its rows; readers use the newest pointer and the deltas after it. Equal orders go to the later
+    batch. Files that no reader needs any more are left to ``obsolete``."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: StructType, key: str, order: str, ratio: float = 1.0, buckets: int = 16):
+        self.spark, self.root, self.schema, self.key, self.order, self.ratio, self.buckets = spark, root.rstrip("/"), schema, key, order, ratio, buckets
+        self.rest = [c for c in schema.names if c != key]
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct(*self.rest, "_epoch"), F.struct(self.order, "_epoch", F.xxhash64(*self.rest)))
+        return rows.groupBy(self.key).agg(last.alias("_r")).select(self.key, "_r.*").select(*self.schema.names, "_epoch")
+
+    def _pointers(self) -> DataFrame:
+        return self.spark.read.schema("epoch long, rows long").json(f"{self.root}/bases")
+
+    def _start(self) -> None:
+        self.spark.createDataFrame([], "epoch long, rows long").coalesce(1).write.mode("append").json(f"{self.root}/bases")
+        empty = self.spark.createDataFrame([], StructType([*self.schema.fields, StructField("_epoch", LongType())]))
+        empty.coalesce(1).write.mode("ignore").parquet(f"{self.root}/deltas/epoch=-1/bucket=-1")
+
+    def _newest(self) -> tuple[int, int]:
+        at = self._pointers().orderBy(F.desc("epoch")).first()
+        return (at.epoch, at.rows) if at else (-1, 0)
+
+    def deltas(self, after: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/deltas").where((F.col("epoch") > after) & (F.col("bucket") >= 0)).select(*self.schema.names, "_epoch")
+
+    def append(self, batch: DataFrame, epoch: int) -> None:
+        if epoch == 0:
+            self._start()
+        new = self._latest(batch.select(*self.schema.names).withColumn("_epoch", F.lit(epoch).cast("long")))
+        bucketed = new.withColumn("bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+        bucketed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/deltas/epoch={epoch}")
+        base, rows = self._newest()
+        if base < epoch and self.deltas(base).count() > self.ratio * rows:
+            self.compact(epoch)
+
+    def compact(self, epoch: int) -> None:
+        whole = self._merged(epoch)
+        whole.write.mode("overwrite").parquet(f"{self.root}/base/v{epoch}")
+        rows = self.spark.read.parquet(f"{self.root}/base/v{epoch}").count()
+        self.spark.createDataFrame([(epoch, rows)], "epoch long, rows long").coalesce(1).write.mode("append").json(f"{self.root}/bases")
+
+    def _merged(self, upto: int | None = None) -> DataFrame:
+        at, _ = self._newest()
+        rows = self.deltas(at) if upto is None else self.deltas(at).where(F.col("_epoch") <= upto)
+        if at >= 0:
+            rows = self.spark.read.parquet(f"{self.root}/base/v{at}").unionByName(rows)
+        return self._latest(rows)
+
+    def read(self) -> DataFrame:
+        """The state as of the last batch."""
+        return self._merged().select(*self.schema.names)
+
+    def obsolete(self) -> list[str]:
+        """Folders of bases before the newest; their deltas are below ``deltas/epoch=`` up to its number."""
+        at, _ = self._newest()
+        return [f"{self.root}/base/v{r.epoch}" for r in self._pointers().where(F.col("epoch") < at).distinct().collect()]  # one each doubling
+
+
+def write_latest(stream: DataFrame, root: str, key: str, order: str, checkpoint: str, ratio: float = 1.0):
+    """A stream folded into its latest row by key, as a ``StateLog``."""
     schema = stream.schema
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        done = spark.read.schema(schema).parquet(f"{root}/v{epoch - 1}") if epoch else spark.createDataFrame([], schema)
-        rest = [c for c in batch.columns if c != key]
-        both = done.unionByName(batch).groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
-        both.select(*batch.columns).write.mode("overwrite").parquet(f"{root}/v{epoch}")
+        StateLog(batch.sparkSession, root, schema, key, order, ratio).append(batch, epoch)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -78,7 +78,7 @@ def test_stream_keeps_latest_by_key(spark, tmp_path):
     spark.createDataFrame([("part1", 1, "Hello"), ("part1", 2, "Hello Updated"), ("part2", 1, "x")], "key string, seq long, text string").coalesce(1).write.json(str(src))
     stream = spark.readStream.schema("key string, seq long, text string").json(str(src))
     eventlog.write_latest(stream, str(tmp_path / "out"), "key", "seq", str(tmp_path / "cp")).awaitTermination(120)
-    got = {(r.key, r.text) for r in spark.read.parquet(str(tmp_path / "out/v0")).collect()}
+    got = {(r.key, r.text) for r in eventlog.StateLog(spark, str(tmp_path / "out"), stream.schema, "key", "seq").read().collect()}
     assert got == {("part1", "Hello Updated"), ("part2", "x")}
 
 
