@@ -39,7 +39,7 @@ def two_levels(spark, d):
 @query("a05_median", f"WITH {USAGE}, s AS (SELECT ws, key_id, sum(input + output) AS tokens FROM usage GROUP BY ws, key_id) SELECT ws, coalesce(quantile_cont(tokens, 0.5), 0) AS median FROM s GROUP BY ws")
 def median(spark, d):
     s = usage(spark, d).groupBy("ws", "key_id").agg(F.sum(F.col("input") + F.col("output")).alias("tokens"))
-    return s.groupBy("ws").agg(A.median("tokens").alias("median"))
+    return A.medians(s, ["ws"], "tokens")
 
 
 @query("a06_per_day", f"WITH {SESSION}, s AS (SELECT project_id, greatest(1, ceil((max(time_updated) - min(time_created)) / 86400000.0)) AS days, count(*) AS n, sum(price) AS cost FROM session GROUP BY 1) SELECT project_id, CAST(days AS BIGINT) AS days, round(cost / days, 4) AS cost_per_day, n FROM s")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import joins as J
 from quillspark.operators import sets as U
+from quillspark.operators.patterns import matches
 from quillspark.operators.retrieval import similarities
 from quillspark.plans.registry import query
 from quillspark.plans.views import MESSAGE, SESSION, USAGE, message, session, usage
@@ -119,8 +120,9 @@ def insert_absent(spark, d):
 
 @query("j14_theta_pattern", "SELECT p_partkey AS id, pattern FROM part JOIN (VALUES ('%ring'), ('red%'), ('small %')) t(pattern) ON p_name LIKE pattern")
 def theta_pattern(spark, d):
-    pats = spark.sql("SELECT * FROM VALUES ('%ring'), ('red%'), ('small %') AS t(pattern)")
-    return table(spark, d, "part").join(F.broadcast(pats), F.expr("p_name LIKE pattern")).select(F.col("p_partkey").alias("id"), "pattern")
+    pats = spark.sql("SELECT * FROM VALUES ('*ring'), ('red*'), ('small *') AS t(pattern)").where("pattern NOT LIKE '% *'").unionByName(spark.sql("SELECT 'small ?*' AS pattern"))
+    hit = matches(table(spark, d, "part"), pats, "p_name")
+    return hit.select(F.col("p_partkey").alias("id"), F.replace(F.replace("pattern", F.lit("?"), F.lit("")), F.lit("*"), F.lit("%")).alias("pattern"))
 
 
 @query("j15_similarity", "SELECT v.vec_id AS id, q.vec_id AS query, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings v JOIN embeddings q ON q.vec_id % 50 = 0")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import paging, writes
-from quillspark.operators.joins import last_match
+from quillspark.operators.patterns import last_rule
 from quillspark.plans.registry import query
 from quillspark.plans.views import FILE, MESSAGE, SESSION, USAGE, file, message, session, usage
 from quillspark.sources import files as S
@@ -261,17 +261,31 @@ _LIKE = "path SIMILAR TO replace(replace(pattern, '.', '[.]'), '*', '.*')"
 
 
 def _rules(spark):
-    return spark.sql(f"SELECT * FROM {_RULES}").withColumn("rx", T.wildcard_column(F.col("pattern")))
+    return spark.sql(f"SELECT * FROM {_RULES}")
 
 
 @query("p10_last_rule_wins", f"WITH {FILE}, r AS (SELECT * FROM {_RULES}) SELECT id, coalesce(arg_max(action, ord), 'ask') AS action FROM file LEFT JOIN r ON regexp_full_match(path, replace(replace(pattern, '.', '[.]'), '*', '.*'), 's') GROUP BY id")
 def last_rule_wins(spark, d):
-    return last_match(file(spark, d).select("id", "path"), _rules(spark), F.expr("path rlike rx"), "id", F.col("ord"), "action", "ask")
+    return last_rule(file(spark, d), _rules(spark), "path", "id", F.col("ord"), "action", "ask")
 
 
 @query("p11_longest_pattern_wins", f"WITH {FILE}, r AS (SELECT * FROM {_RULES}) SELECT id, arg_max(action, (length(pattern), pattern)) AS action FROM file LEFT JOIN r ON regexp_full_match(path, replace(replace(pattern, '.', '[.]'), '*', '.*'), 's') GROUP BY id")
 def longest_pattern_wins(spark, d):
-    return last_match(file(spark, d).select("id", "path"), _rules(spark), F.expr("path rlike rx"), "id", F.struct(F.length("pattern"), "pattern"), "action")
+    return last_rule(file(spark, d), _rules(spark), "path", "id", F.struct(F.length("pattern"), "pattern"), "action")
+
+
+_OWN_RULES = """rules AS (SELECT id AS ord, CASE id % 4 WHEN 0 THEN path WHEN 1 THEN substr(path, 1, length(path) - 5) || '*' WHEN 2 THEN '*' || substr(path, length(path) - 6) ELSE '*' || substr(path, 12, 9) || '*.md' END AS pattern, 'a' || id AS action FROM file)"""
+
+
+@query("p10_many_rules", f"WITH {FILE}, {_OWN_RULES}, e AS (SELECT ord, action, replace(replace(pattern, '_', '$_'), '*', '%') AS lk FROM rules), h AS (SELECT file.id, max(ord) AS ord FROM file JOIN e ON path LIKE lk ESCAPE '$' GROUP BY 1) SELECT file.id, coalesce(action, 'ask') AS action FROM file LEFT JOIN h USING (id) LEFT JOIN e ON e.ord = h.ord")
+def many_rules(spark, d):
+    f, i, path = file(spark, d), F.col("id"), F.col("path")
+    pattern = (
+        F.when(i % 4 == 0, path).when(i % 4 == 1, F.concat(F.substr(path, F.lit(1), F.length(path) - 5), F.lit("*")))
+        .when(i % 4 == 2, F.concat(F.lit("*"), F.substr(path, F.length(path) - 6))).otherwise(F.concat(F.lit("*"), F.substr(path, F.lit(12), F.lit(9)), F.lit("*.md")))
+    )
+    rules = f.select(i.alias("ord"), pattern.alias("pattern"), F.concat(F.lit("a"), i).alias("action"))
+    return last_rule(f, rules, "path", "id", F.col("ord"), "action", "ask")
 
 
 @query("p12_structured_pattern", "SELECT p_partkey AS id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda t: t LIKE 'r%')) > 0 AND p_type LIKE '%O%'")
