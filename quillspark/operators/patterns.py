@@ -12,35 +12,45 @@ only the last rule of each length is kept, at most two for each length of a patt
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import wildcard_column
+from quillspark.functions.text import wildcard
 
 #: Lengths of begins and ends, and of grams from within.
-ENDS, GRAMS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), (1, 2, 3, 4)
-
-
-def _cut(size: Column, lengths: tuple[int, ...]) -> Column:
-    """The greatest of the lengths that is <= size, or 0."""
-    return F.coalesce(*[F.when(size >= n, n) for n in reversed(lengths)], F.lit(0))
+ENDS, GRAMS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), (1, 2, 3, 4, 6, 8)
+
+
+def anchor(pattern: str) -> tuple[str, int, str]:
+    """Kind ('=' whole, '<' begin, '>' end, '~' within, '*' none), length and text of a pattern's longest anchor."""
+    core = pattern.replace("\\", "/")
+    core = core[:-2] + "*" if core.endswith(" *") else core
+    pieces = re.split(r"[*?]", core)
+    if len(pieces) == 1:
+        return "=", -1, core
+    cut = lambda piece, lengths: max((n for n in lengths if n <= len(piece)), default=0)
+    first, last, within = pieces[0], pieces[-1], max(pieces, key=len)
+    a, b, c = cut(first, ENDS), cut(last, ENDS), cut(within, GRAMS)
+    if not c:
+        return "*", 0, ""
+    if a >= max(b, c):
+        return "<", a, first[:a]
+    return (">", b, last[-b:]) if b >= c else ("~", c, within[:c])
 
 
 def anchors(rules: DataFrame, pattern: str) -> DataFrame:
-    """``rules`` with kind ('=' whole, '<' begin, '>' end, '~' within, '*' none), size and anchor."""
-    p = F.replace(F.col(pattern), F.lit("\\"), F.lit("/"))
-    core = F.when(F.endswith(p, F.lit(" *")), F.concat(F.substr(p, F.lit(1), F.length(p) - 2), F.lit("*"))).otherwise(p)
-    rows = rules.withColumn("_pieces", F.split(core, r"[*?]")).withColumn("_first", F.get("_pieces", 0)).withColumn("_last", F.element_at("_pieces", -1))
-    rows = rows.withColumn("_mid", F.element_at(F.array_sort("_pieces", lambda a, b: F.length(a) - F.length(b)), -1))
-    a, b, m = (F.length(c) for c in ("_first", "_last", "_mid"))
-    kind = F.when(F.size("_pieces") == 1, "=").when((a > 0) & (a >= b) & (a >= m / 4), "<").when((b > 0) & (b >= m / 4), ">").when(m > 0, "~").otherwise("*")
-    rows = rows.withColumn("_kind", kind)
-    k = F.col("_kind")
-    size = F.when(k == "=", -1).when(k == "<", _cut(a, ENDS)).when(k == ">", _cut(b, ENDS)).when(k == "~", _cut(m, GRAMS)).otherwise(0)
-    rows = rows.withColumn("_size", size)
-    n = F.col("_size")
-    key = F.when(k == "=", F.col("_first")).when(k == "<", F.substr("_first", F.lit(1), n)).when(k == ">", F.substr("_last", b - n + 1, n)).when(k == "~", F.substr("_mid", F.lit(1), n)).otherwise("")
-    return rows.withColumn("_anchor", key).drop("_pieces", "_first", "_last", "_mid")
+    """``rules`` that have a pattern, with _kind, _size, _anchor and the whole pattern as a regex, _rx."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(*anchor(p), wildcard(p)) for p in pdf["_p"]]
+            yield pd.DataFrame([(p, *f) for p, f in zip(pdf["_p"], found, strict=True)], columns=["_p", "_kind", "_size", "_anchor", "_rx"])
+
+    each = rules.where(F.col(pattern).isNotNull()).select(F.col(pattern).alias("_p")).distinct().mapInPandas(run, "_p string, _kind string, _size int, _anchor string, _rx string")
+    return rules.join(each, F.col(pattern) == F.col("_p")).drop("_p")
 
 
 def _offers(text: Column, kinds: list[tuple[str, int]]) -> Column:
@@ -74,7 +84,7 @@ def matches(requests: DataFrame, rules: DataFrame, text: str, pattern: str = "pa
     if order is not None:
         rest = [c for c in rule_columns if c != pattern]
         rules = rules.groupBy(pattern).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(pattern, "_r.*").select(*rule_columns)
-    placed = anchors(rules, pattern).withColumn("_rx", wildcard_column(F.col(pattern)))
+    placed = anchors(rules, pattern)
     kinds = [(r[0], r[1]) for r in placed.where("_kind <> '*'").select("_kind", "_size").distinct().collect()]  # at most a few of each kind
     offered = requests.withColumn("_o", F.explode(_offers(F.col(text), sorted(kinds))))
     on = (F.col("_o.k") == F.col("_kind")) & (F.col("_o.n") == F.col("_size")) & (F.col("_o.a") == F.col("_anchor"))
