@@ -125,10 +125,17 @@ def score_matrix(results: DataFrame, tasks: list[str]) -> DataFrame:
 
 
 def by_section(df: DataFrame, item: str, areas: str, priority: list[str]) -> DataFrame:
-    """Items under the first of their areas by priority, each section an ordered list."""
+    """section, item, position: items under the first of their areas by priority, in order within their
+    section (A25). Rows stay rows, so a section of any size is many tasks."""
     best = F.array_min(F.transform(areas, lambda a: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, priority)), a), F.lit(0)), F.lit(len(priority) + 1))))
     section = F.coalesce(F.get(F.array(*map(F.lit, priority)), (best - 1).cast("int")), F.lit("other"))
-    return df.groupBy(section.alias("section")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return _positions(df.select(section.alias("section"), F.col(item).alias("item")), "section", "item")
+
+
+def _positions(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """``rows`` with their position, from 1, in the order of items of a group."""
+    scan = Scan(rows, [group], [item])
+    return scan.running(scan.rows, {"position": ("count", F.lit(1))}).drop("_cell")
 
 
 def without_reverts(commits: DataFrame, group: str, order: str, title: str) -> DataFrame:
@@ -178,5 +185,5 @@ def deduplicated(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def grouped_lists(df: DataFrame, keep: Column, group: str, item: str) -> DataFrame:
-    """Filter, group, sort within groups, sort groups."""
-    return df.where(keep).groupBy(group).agg(F.sort_array(F.collect_list(item)).alias("items")).orderBy(group)
+    """Filter, group, sort within groups, sort groups: group, item, position in that order."""
+    return _positions(df.where(keep).select(group, item), group, item).orderBy(group, "position")

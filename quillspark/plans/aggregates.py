@@ -168,10 +168,10 @@ def score_matrix(spark, d):
     return A.score_matrix(results, ["t1", "t2"])
 
 
-@query("a25_sections", "SELECT CASE WHEN p_name LIKE '%red%' THEN 'red' WHEN p_name LIKE '%ring%' THEN 'ring' ELSE 'other' END AS section, count(*) AS n FROM part GROUP BY 1")
+@query("a25_sections", "SELECT *, row_number() OVER (PARTITION BY section ORDER BY item) AS position FROM (SELECT CASE WHEN p_name LIKE '%red%' THEN 'red' WHEN p_name LIKE '%ring%' THEN 'ring' ELSE 'other' END AS section, p_partkey AS item FROM part)")
 def sections(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("item"), F.split("p_name", " ").alias("areas"))
-    return A.by_section(p, "item", "areas", ["red", "ring"]).select("section", F.size("items").cast("long").alias("n"))
+    return A.by_section(p, "item", "areas", ["red", "ring"])
 
 
 @query("a26_reverts", "SELECT c_nationkey AS nation, count(*) FILTER (c_custkey % 4 > 1) AS n FROM customer WHERE c_custkey < (SELECT max(c_custkey) + 1 - (max(c_custkey) + 1) % 4 FROM customer) GROUP BY 1 HAVING count(*) FILTER (c_custkey % 4 > 1) > 0")
@@ -208,10 +208,10 @@ def dedup(spark, d):
     return A.deduplicated(e, ["id", "kind"], F.col("event_id")).select("id", "kind", "first_at", "props")
 
 
-@query("a30_grouped_lists", "SELECT n_regionkey AS region, array_to_string(list_sort(list(n_name)), ',') AS items FROM nation WHERE n_nationkey > 3 GROUP BY 1")
+@query("a30_grouped_lists", "SELECT n_regionkey AS region, n_name AS item, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS position FROM nation WHERE n_nationkey > 3")
 def grouped_lists(spark, d):
     out = A.grouped_lists(table(spark, d, "nation"), F.col("n_nationkey") > 3, "n_regionkey", "n_name")
-    return out.select(F.col("n_regionkey").alias("region"), F.array_join("items", ",").alias("items"))
+    return out.select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("item"), "position")
 
 
 @query("a31_role_counts", "SELECT conv_id AS id, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants FROM conversations GROUP BY 1")
