@@ -16,7 +16,8 @@ well up to about half the least count of phrases a cell; a corpus beyond that wa
 a higher least count, or else has more phrases counted exactly, with the same result.
 
 Tasks send their counts as compressed columns by a hash of the phrase; what meets in one bucket is
-added up as it streams by.
+added up as it streams by. A task holds at most HELD_ROWS counts: beyond that its sums so far go on, and
+a last aggregate, which can spill, adds them up.
 
 A hot language or phrase is one number a task before the shuffle. Scores use 38-digit integers.
 
@@ -303,28 +304,34 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, width: int = BITS) -
             yield from _packed(held)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held, size = None, [], 0
+        bucket, held, size, parted = None, [], 0, False
 
-        def done() -> Iterator[pa.RecordBatch]:
+        def done(whole: bool) -> Iterator[pa.RecordBatch]:
             t = added(held)
-            yield from t.filter(pc.or_(pc.equal(t.column("words"), 0), pc.greater_equal(t.column("f"), least))).select(["lang", "words", "phrase", "f"]).to_batches()
+            if whole:  # nothing of this bucket has gone before, so these are the totals
+                t = t.filter(pc.or_(pc.equal(t.column("words"), 0), pc.greater_equal(t.column("f"), least)))
+            yield from t.select(["lang", "words", "phrase", "f"]).to_batches()
 
         for b in batches:
             for k, raw in zip(b.column("bucket").to_pylist(), b.column("counts"), strict=True):
                 if k != bucket:
                     if held:
-                        yield from done()
-                    bucket, held, size = k, [], 0
+                        yield from done(not parted)
+                    bucket, held, size, parted = k, [], 0, False
                 held.append(pa.ipc.open_stream(raw.as_buffer()).read_all())
                 size += held[-1].num_rows
                 if size > HELD_ROWS:
                     held = [added(held)]
-                    size = held[0].num_rows // 2  # room for as many again before the next sum
+                    size = held[0].num_rows
+                    if 2 * size > HELD_ROWS:  # more phrases than a task should hold: their sums go on as they are
+                        yield from done(False)
+                        held, size, parted = [], 0, True
         if held:
-            yield from done()
+            yield from done(not parted)
 
     packed = rows.mapInArrow(count, "bucket int, counts binary").repartition("bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(total, "lang string, words int, phrase string, f long")
+    sums = packed.mapInArrow(total, "lang string, words int, phrase string, f long")
+    return sums.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least))
 
 
 # --- scores ----------------------------------------------------------------------
