@@ -9,6 +9,7 @@ from quillspark.operators import joins as J
 from quillspark.operators import retrieval as R
 from quillspark.operators import search as S
 from quillspark.operators.keyword_index import KeywordIndex
+from quillspark.operators.trigram_index import TrigramIndex
 from quillspark.operators.vector_search import VectorIndex
 from quillspark.plans.registry import query
 from quillspark.plans.views import FILE, file
@@ -240,11 +241,20 @@ def fuzzy_files(spark, d):
     return S.fuzzy_find(file(spark, d), "s1plain", 20)
 
 
-@query("r18_regex_lines", f"WITH {FILE}, l AS (SELECT path, mtime, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file) SELECT path, CAST(line_no AS INTEGER) AS line_no FROM l WHERE regexp_matches(line, 'License') ORDER BY mtime DESC, path, line_no LIMIT 100")
+_LICENSE = f"WITH {FILE}, l AS (SELECT path, mtime, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM file) SELECT path, CAST(line_no AS INTEGER) AS line_no FROM l WHERE regexp_matches(line, 'License') ORDER BY mtime DESC, path, line_no LIMIT 100"
+
+
+@query("r18_regex_lines", _LICENSE)
 def regex_lines(spark, d):
     return S.grep(file(spark, d).select("path", "mtime", "text"), "License").select("path", "line_no")
 
 
+@query("r18_regex_index", _LICENSE)
+def regex_index(spark, d):
+    index = TrigramIndex.build(file(spark, d), scratch(spark, "trigrams"))
+    return index.search("License").select("path", "line_no")
+
+
 @query("r19_glob", f"WITH {FILE} SELECT path FROM file WHERE path LIKE 'notes/src1/%' ORDER BY path LIMIT 100")
 def glob(spark, d):
     from quillspark.functions.text import wildcard
