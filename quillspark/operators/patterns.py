@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import wildcard
+from quillspark.session import scratch
 
 #: Lengths of begins and ends, and of grams from within.
 ENDS, GRAMS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64), (1, 2, 3, 4, 6, 8)
@@ -84,7 +85,9 @@ def matches(requests: DataFrame, rules: DataFrame, text: str, pattern: str = "pa
     if order is not None:
         rest = [c for c in rule_columns if c != pattern]
         rules = rules.groupBy(pattern).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(pattern, "_r.*").select(*rule_columns)
-    placed = anchors(rules, pattern)
+    spark, at = rules.sparkSession, scratch(rules.sparkSession, "rules")
+    anchors(rules, pattern).write.parquet(at)  # once; its size then says how it is joined
+    placed = spark.read.parquet(at)
     kinds = [(r[0], r[1]) for r in placed.where("_kind <> '*'").select("_kind", "_size").distinct().collect()]  # at most a few of each kind
     offered = requests.withColumn("_o", F.explode(_offers(F.col(text), sorted(kinds))))
     on = (F.col("_o.k") == F.col("_kind")) & (F.col("_o.n") == F.col("_size")) & (F.col("_o.a") == F.col("_anchor"))
