@@ -47,9 +47,9 @@ BITS, SLICE_BITS = 24, 18
 #: Sketches added up by one task and slice.
 FAN = 64
 SLICE_BYTES = 4 << 20
-EXACT_BYTES = 8 << 20
+EXACT_BYTES = 4 << 20
 #: Buckets of phrases, and rows of counts held before they are added up.
-BUCKETS, HELD_ROWS = 128, 1_500_000
+BUCKETS, HELD_ROWS = 128, 600_000
 #: Languages whose totals are sent to all phrases; more meet them by a shuffle.
 MANY_LANGS = 10_000
 UNKNOWN = "und"
