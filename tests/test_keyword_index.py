@@ -105,6 +105,31 @@ def test_changes_and_compaction(spark, world, tmp_path):
     assert again.stats() == pytest.approx(index.stats())
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_many_queries_are_added_up_by_group(spark, world, tmp_path, monkeypatch, kind):
+    docs, queries = world
+    monkeypatch.setattr(K, "GROUP", 10)
+    monkeypatch.setattr(K, "FEW", 0)
+    monkeypatch.setattr(K, "SENT", 20)  # in several parts
+    rows, asked = frames(spark, docs, queries)
+    index = K.KeywordIndex.build(rows.withColumn("id", F.col("id").cast(kind)), str(tmp_path / "i"), buckets=4)
+    index.remove(spark.createDataFrame([(1,), (500,), (903,)], "id long").select(F.col("id").cast(kind)))
+    left = [(i if kind == "long" else str(i), t) for i, t in docs if i not in (1, 500, 903)]
+    same(found(index.search(asked, 5)), brute(left, queries, 5))
+    kept = index._many(index._asked(asked), index.stats()[1], 5)
+    assert kept.groupBy("query", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_an_owner_stands_once_and_no_word_is_shuffled(spark, world, tmp_path):
+    docs, _ = world
+    rows = spark.createDataFrame([(f"path {i}", i, t) for i, t in docs], "owner string, id long, text string")
+    index = K.KeywordIndex.build(rows, str(tmp_path / "i"), owner="owner", buckets=4)
+    n, _ = index.stats()
+    names = index._read("postings").select(F.explode("rows.owner"))
+    assert names.count() == n == len([1 for _, t in docs if words(t)])
+    assert "Exchange" not in K._grouped(rows, 0)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sync_of_chunks(spark, tmp_path):
     files = {"a": "w1 one", "b": "w1 w1 two", "c": "gone"}
     old = spark.createDataFrame(list(files.items()), "path string, text string")
