@@ -6,8 +6,9 @@ are read; files whose trigrams fulfil the requirement are candidates, and the pa
 their lines, so the result is that of a scan. A pattern that requires nothing (too short, or letters of
 either case) reads all files.
 
-Files lie by block, about ``BLOCK`` files each; a posting is one trigram's files of one block, so a
-trigram that all files hold is many rows. The search prunes blocks without candidates.
+Files lie by block, at most ``BLOCK`` files each, numbered where they are read; a posting is one trigram's
+files of one block, as numbers, made in the task that reads them, so neither texts nor trigrams are shuffled
+and a trigram that all files hold is many rows. The search prunes blocks without candidates.
 """
 
 from __future__ import annotations
@@ -15,13 +16,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.search import grep
+from quillspark.session import scratch
 
 BLOCK, BUCKETS = 4096, 16
+#: Characters whose trigrams are held at once, and candidates that are sent to the files at most.
+SLICE, SENT = 4 << 20, 1 << 20
 #: A requirement: a trigram, ("and", parts) or ("or", parts); None asks for nothing.
 Need = str | tuple | None
 
@@ -90,38 +96,72 @@ class TrigramIndex:
     def build(cls, files: DataFrame, path: str) -> TrigramIndex:
         """From files (path, mtime, text)."""
         index = cls(files.sparkSession, path)
-        blocks = max(1, -(-files.count() // BLOCK))
-        rows = files.select("path", "mtime", F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int"))
-        rows.limit(0).drop("block").coalesce(1).write.parquet(f"{index.path}/files/block=-1")
-        rows.repartition("block").write.mode("append").partitionBy("block").parquet(f"{index.path}/files")
+        most = BLOCK
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, seen = TaskContext.get().partitionId() << 14, 0  # a task has at most 16384 blocks
             for b in batches:
-                for p, n, t in zip(b.column("path").to_pylist(), b.column("block").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    grams = sorted({t[i:i + 3] for i in range(len(t) - 2)})
-                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array([p] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32())], ["gram", "path", "block"])
+                at = np.arange(seen, seen + b.num_rows)
+                seen += b.num_rows
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((first + at // most).astype(np.int32)), pa.array((at % most).astype(np.int32))], [*b.schema.names, "block", "no"])
 
-        grams = index._files().select("path", "block", "text").mapInArrow(run, "gram string, path string, block int")
-        lists = grams.groupBy("gram", "block").agg(F.collect_list("path").alias("paths"))  # at most the files of a block
+        rows = files.select("path", "mtime", F.coalesce("text", F.lit("")).alias("text"))
+        rows = rows.mapInArrow(number, f"path string, mtime {rows.schema['mtime'].dataType.simpleString()}, text string, block int, no int")
+        rows.limit(0).drop("block").coalesce(1).write.parquet(f"{index.path}/files/block=-1")
+        rows.write.mode("append").partitionBy("block").parquet(f"{index.path}/files")
+        lists = index._files().select("block", "no", "text").mapInArrow(_postings, "gram string, block int, nos array<int>")
         lists = lists.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
         lists.limit(0).drop("bucket").coalesce(1).write.parquet(f"{index.path}/postings/bucket=-1")
-        lists.repartition("bucket").sortWithinPartitions("gram").write.mode("append").partitionBy("bucket").parquet(f"{index.path}/postings")
+        lists.sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{index.path}/postings")
         return index
 
     def _files(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/files").where("block >= 0")
 
     def candidates(self, pattern: str) -> DataFrame:
-        """path, block of the files that may match."""
+        """block, no of the files that may match."""
         need = required(pattern)
         if need is None:
-            return self._files().select("path", "block")
+            return self._files().select("block", "no")
         asked = self.spark.createDataFrame([(g,) for g in sorted(grams_of(need))], "gram string").withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int"))
         hit = self.spark.read.parquet(f"{self.path}/postings").join(F.broadcast(asked), ["bucket", "gram"], "left_semi")  # the pattern's own trigrams
-        held = hit.select("gram", "block", F.explode("paths").alias("path")).groupBy("path", "block").agg(F.collect_set("gram").alias("held"))
-        return held.where(fulfilled(need, F.col("held"))).select("path", "block")
+        held = hit.select("gram", "block", F.explode("nos").alias("no")).groupBy("block", "no").agg(F.collect_set("gram").alias("held"))
+        return held.where(fulfilled(need, F.col("held"))).select("block", "no")
 
     def search(self, pattern: str, limit: int = 100, cut: int = 2000) -> DataFrame:
-        """What ``grep`` gives over all files."""
-        read = self._files().join(self.candidates(pattern), ["block", "path"], "left_semi") if required(pattern) is not None else self._files()
+        """What ``grep`` gives over all files. Candidates are sent to the files once they are counted; of too many,
+        the blocks alone are, for the pattern decides on every line anyhow."""
+        read = self._files()
+        if required(pattern) is not None:
+            path = scratch(self.spark, "candidates")
+            self.candidates(pattern).write.parquet(path)
+            few = self.spark.read.parquet(path)
+            few = few if few.count() <= SENT else few.select("block").distinct()
+            read = read.join(F.broadcast(few), few.columns, "left_semi")
         return grep(read.select("path", "mtime", "text"), pattern, limit, cut)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """gram, block, nos: of each slice of a block's files."""
+    def given(block: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        key = np.concatenate([k for _, k in held])
+        no = np.repeat(np.array([n for n, _ in held], np.int32), [len(k) for _, k in held])
+        order = np.argsort(key, kind="stable")
+        key, no = key[order], no[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        one = key[start]
+        letters = np.stack([one >> 42, one >> 21 & 0x1FFFFF, one & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+        nos = pa.ListArray.from_arrays(pa.array(np.append(start, len(no)).astype(np.int32)), pa.array(no))
+        return pa.RecordBatch.from_arrays([pa.array([letters[i:i + 3] for i in range(0, len(letters), 3)], pa.string()), pa.array(np.full(len(one), block, np.int32)), nos], ["gram", "block", "nos"])
+
+    for b in batches:
+        held, size, last = [], 0, None
+        for block, no, text in zip(b.column("block").to_pylist(), b.column("no").to_pylist(), b.column("text"), strict=True):
+            c = np.frombuffer(text.as_py().encode("utf-32-le"), "<u4").astype(np.int64)
+            if held and (block != last or size + len(c) > SLICE):
+                yield given(last, held)
+                held, size = [], 0
+            held.append((no, np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])))
+            size, last = size + len(c), block
+        if held:
+            yield given(last, held)

@@ -35,6 +35,20 @@ def test_few_files_are_read(index):
     assert hit <= ix.candidates("License").count() < n / 2 and ix.candidates("(?i)license").count() == n
 
 
+def test_neither_texts_nor_trigrams_are_shuffled(spark, index, monkeypatch):
+    files, ix = index
+    stored = spark.read.parquet(f"{ix.path}/postings")
+    assert dict(stored.dtypes)["nos"] == "array<int>" and "paths" not in stored.columns
+    monkeypatch.setattr(T, "SENT", 0)  # too many candidates: all files of their blocks
+    found = ix.search("License", 100)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [tuple(r) for r in found.select("path", "line_no").collect()] == [tuple(r) for r in grep(files, "License", 100).select("path", "line_no").collect()]
+    grams = {r.gram: r.n for r in stored.groupBy("gram").agg(F.sum(F.size("nos")).alias("n")).collect()}
+    texts = [r.text or "" for r in files.collect()]
+    assert grams == {g: sum(g in t for t in texts) for g in {t[i:i + 3] for t in texts for i in range(len(t) - 2)}}
+
+
 @pytest.mark.parametrize("pattern, held", [("abc", "abc"), ("abcd", ("and", ("abc", "bcd"))), ("ab", None), ("(abc|xyz)", ("or", ("abc", "xyz"))), ("(abc|x)", None), ("abc?de", None), ("(abc)+x?", "abc"), ("abc.*def", ("and", ("abc", "def"))), ("(?i)abc", None), ("[", None), ("(?i:abc)d", None), ("(?!abc)xyz", "xyz")])
 def test_requirements(pattern, held):
     assert T.required(pattern) == held
