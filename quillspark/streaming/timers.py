@@ -12,13 +12,15 @@ state store; ``prepare`` selects it for queries started afterwards.
 
 from __future__ import annotations
 
+import operator
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,15 +34,19 @@ def _plain(x):
 
 
 class _Waiting(StatefulProcessor):
-    """Rows of a key that wait for the watermark; ``take`` says which may go, and what they give."""
+    """Rows of a key that wait for the watermark; ``take`` says which may go, and what they give.
 
-    def __init__(self, schema: StructType, time: str, ties: tuple[str, ...]):
-        self.schema, self.names = schema, schema.names
+    What a micro-batch brings waits as one block, put behind those that wait; blocks are read only once the
+    watermark lets the earliest row go, and what is left of them then waits as one block again."""
+
+    def __init__(self, schema: StructType, time: str, ties: tuple[str, ...], after: int):
+        self.schema, self.names, self.after = schema, schema.names, after
         self.order = [self.names.index(c) for c in (time, *ties)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = handle.getListState("waiting", StructType([StructField("block", BinaryType())]))
+        self.first = handle.getValueState("first", StructType([StructField("at", LongType())]))
         self.start(handle)
 
     def start(self, handle: StatefulProcessorHandle) -> None:
@@ -49,20 +55,39 @@ class _Waiting(StatefulProcessor):
     def _at(self, row: tuple) -> int:
         return row[self.order[0]]
 
+    def wakes(self, row: tuple) -> int:
+        return self._at(row) + self.after
+
     def _run(self, new: list[tuple], watermark: int) -> Iterator[pd.DataFrame]:
-        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        rows = sorted(rows + new, key=lambda r: tuple(r[i] for i in self.order))
+        held = self.first.get()
+        earliest = held[0] if held else None
+        if new:
+            least = min(map(self._at, new))
+            if min(least, least if earliest is None else earliest) + self.after > watermark:
+                self.waiting.appendValue((pickle.dumps(new),))
+                if earliest is None or least < earliest:
+                    self._wait(least, watermark)
+                return
+        elif earliest is None or earliest + self.after > watermark:
+            return
+        rows = new if earliest is None else [r for (block,) in self.waiting.get() for r in pickle.loads(block)] + new
+        rows.sort(key=operator.itemgetter(*self.order))
         out, rest = self.take(rows, watermark)
         if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(max(self.wakes(rest[0]), watermark + 1))
-        else:
+            self.waiting.put([(pickle.dumps(rest),)])
+            self._wait(self._at(rest[0]), watermark)
+        elif earliest is not None:
             self.waiting.clear()
+            self.first.clear()
         if out:
             yield pd.DataFrame(out, columns=self.out_names)
 
+    def _wait(self, at: int, watermark: int) -> None:
+        self.first.update((at,))
+        self.handle.registerTimer(max(at + self.after, watermark + 1))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(map(_plain, r)) for pdf in rows for r in pdf[self.names].itertuples(index=False, name=None)]
+        new = [r for pdf in rows for r in zip(*([*map(_plain, pdf[c].tolist())] for c in self.names), strict=True)]
         yield from self._run(new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -76,37 +101,31 @@ class Debounce(_Waiting):
     """A batch opens at its first row and is given out once the watermark is ``wait_ms`` later: of each item the last row."""
 
     def __init__(self, schema: StructType, time: str, ties: tuple[str, ...], item: str, wait_ms: int):
-        super().__init__(schema, time, ties)
+        super().__init__(schema, time, ties, wait_ms)
         self.item, self.wait_ms = self.names.index(item), wait_ms
         self.out_names = [*self.names, "batch_start"]
 
-    def wakes(self, row: tuple) -> int:
-        return self._at(row) + self.wait_ms
-
     def take(self, rows: list[tuple], watermark: int):
-        out = []
-        while rows and self.wakes(rows[0]) <= watermark:
-            opened = self._at(rows[0])
-            n = next((i for i, r in enumerate(rows) if self._at(r) >= opened + self.wait_ms), len(rows))
-            out += [(*r, opened) for r in {r[self.item]: r for r in rows[:n]}.values()]
-            rows = rows[n:]
-        return out, rows
+        out, at = [], 0
+        while at < len(rows) and self.wakes(rows[at]) <= watermark:
+            opened = self._at(rows[at])
+            n = next((i for i in range(at, len(rows)) if self._at(rows[i]) >= opened + self.wait_ms), len(rows))
+            out += [(*r, opened) for r in {r[self.item]: r for r in rows[at:n]}.values()]
+            at = n
+        return out, rows[at:]
 
 
 class Anchored(_Waiting):
     """Running cost since an anchor, which moves to the first row after its window has passed."""
 
     def __init__(self, schema: StructType, time: str, ties: tuple[str, ...], cost: str, window_ms: int):
-        super().__init__(schema, time, ties)
+        super().__init__(schema, time, ties, 1)
         self.cost, self.window_ms = self.names.index(cost), window_ms
         self.out_names = [*self.names, "anchor", "used"]
 
     def start(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("anchor", StructType([StructField("anchor", LongType()), StructField("used", LongType())]))
 
-    def wakes(self, row: tuple) -> int:
-        return self._at(row) + 1
-
     def take(self, rows: list[tuple], watermark: int):
         anchor, used = self.held.get() if self.held.exists() else (None, 0)
         n = next((i for i, r in enumerate(rows) if self.wakes(r) > watermark), len(rows))

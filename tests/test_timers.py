@@ -1,6 +1,7 @@
 """Streams cut into many micro-batches, out of order and started again, against the batch forms."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,57 @@ def test_anchored_window(spark, parts, tmp_path):
     assert sorted(map(tuple, got.where("g <> 'end'").select(want.columns).collect())) == sorted(map(tuple, want.collect()))
 
 
+class _State:
+    """A state that counts what is read from it and written to it."""
+
+    def __init__(self):
+        self.held, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.held if not isinstance(self.held, list) else iter(self.held)
+
+    def exists(self):
+        return self.held is not None
+
+    def update(self, x):
+        self.held = x
+
+    def put(self, x):
+        self.calls.append("put")
+        self.held = list(x)
+
+    def appendValue(self, x):
+        self.held = [*(self.held or []), x]
+
+    def clear(self):
+        self.held = None
+
+
+def test_waiting_rows_are_read_once_and_as_blocks():
+    from types import SimpleNamespace as Some
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    states, woken = {}, []
+    handle = Some(getListState=lambda n, s: states.setdefault(n, _State()), getValueState=lambda n, s: states.setdefault(n, _State()), registerTimer=woken.append)
+    p = timers.Anchored(StructType([StructField(c, LongType()) for c in ("at", "id", "cost")]), "at", ("id",), "cost", 50)
+    p.init(handle)
+    out = []
+    at = lambda t: Some(getCurrentWatermarkInMs=lambda: t)
+    for k in range(5):
+        rows = pd.DataFrame({"at": np.arange(100) + 100 * (4 - k), "id": np.arange(100), "cost": 1})
+        out += list(p.handleInputRows(("g",), iter([rows]), at(-1)))
+    assert not out and not states["waiting"].calls and len(states["waiting"].held) == 5
+    first = pd.concat(p.handleExpiredTimer(("g",), at(250), None))
+    rest = pd.concat(p.handleExpiredTimer(("g",), at(10_000), None))
+    assert states["waiting"].calls == ["get", "put", "get"] and states["waiting"].held is None
+    both = pd.concat([first, rest])
+    assert len(first) == 250 and both["at"].tolist() == list(range(500))
+    assert both["used"].tolist() == [t % 51 + 1 for t in range(500)] and both["anchor"].tolist() == [t // 51 * 51 for t in range(500)]
+    assert not list(p.handleExpiredTimer(("g",), at(20_000), None)) and woken[0] == 401 and woken[-1] == 251
+
+
 def test_sticky_values_expire(spark, parts, tmp_path):
     rows, files = parts
     rows = rows + [("early", "e", 1_000_500, 500, 0)]
