@@ -129,7 +129,7 @@ def theta_pattern(spark, d):
 def similarity(spark, d):
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_embedding"))
-    return similarities(v, q, "vec_id").select("id", "query", F.round("score", 6).alias("score"))
+    return similarities(v, q, "vec_id", digits=6).select("id", "query", "score")
 
 
 @query("j16_self_join", f"WITH {MESSAGE} SELECT u.id, count(a.id) AS replies, coalesce(sum(a.cost), 0) AS cost FROM message u LEFT JOIN message a ON a.id - 1 = u.id AND a.role = 'assistant' WHERE u.role = 'user' GROUP BY u.id")

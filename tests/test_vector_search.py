@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import retrieval as R
 from quillspark.operators import vector_search as V
 from quillspark.plans import catalog
 
@@ -62,6 +63,48 @@ def test_parts_that_meet_by_a_shuffle(world, monkeypatch):
     assert near.count() == want == near.select("query", "id").distinct().count()
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_pairs_of_few_digits_are_those_that_sql_rounds(world, monkeypatch, few):
+    _, _, v, q = world
+    for name, value in (("QUERY_BYTES", V.QUERY_BYTES if few else 1), ("VECTOR_PART", 90), ("QUERY_PART", 3), ("PAIRS", 64), ("STRIP", 10), ("TASK_PAIRS", 100)):
+        monkeypatch.setattr(V, name, value)
+    for above in (None, 0.25):
+        for digits in (2, 6):
+            got = V.block_scores(v, q, above=above, digits=digits).select("query", "id", "score")
+            want = V.block_scores(v, q, above=above).select("query", "id", F.round("score", digits))
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        V.block_scores(v, q, k=3, digits=6)
+
+
+def test_halves_are_rounded_as_sql_rounds_them(spark):
+    values = [0.5, -0.5, 0.125, 0.0000005, -0.0000005, 0.1234565, -0.1234565, 0.1234575, 0.000001, 0.0]
+    v = spark.createDataFrame([(i, [x, (1 - x * x) ** 0.5]) for i, x in enumerate(values)], "id long, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query long, query_embedding array<double>")
+    got = dict(V.block_scores(v, q, digits=6).select("id", "score").collect())
+    want = dict(spark.createDataFrame(list(enumerate(values)), "id long, x double").select("id", F.round("x", 6)).collect())
+    assert got == want and str(got[4]) == str(want[4])  # and no negative zero where SQL has none
+
+
+def test_all_pairs_take_little_room_and_no_task_makes_too_many(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(4000, 16)).astype(np.float32))]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>").coalesce(1)
+    q = v.where("id % 5 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("query_embedding"))
+    pairs = R.similarities(v, q, digits=6)
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 4000 * 800
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6.5 * 4000 * 800  # 8 bytes and more in any other order
+    monkeypatch.setattr(V, "TASK_PAIRS", 400_000)
+    share = R.similarities(v, q, digits=6).groupBy(F.spark_partition_id()).count().select("count").collect()
+    assert len(share) == 8 and max(r[0] for r in share) <= 1.1 * 400_000
+
+
+def test_registered_pairs_are_sorted_blocks(spark):
+    rows = catalog.QUERIES["j15_similarity"](spark, "/root/testdata/sf0.1").where("id < 500").select("score").collect()
+    assert all(a.score >= b.score for a, b in zip(rows, rows[1:], strict=False))  # one file, one block
+
+
 def test_index_is_exact_and_its_search_finds_nearly_all(spark, world, tmp_path, monkeypatch):
     rows, queries, v, q = world
     monkeypatch.setattr(V, "VECTOR_PART", 60)  # the common vector's cell is several tasks
