@@ -176,3 +176,16 @@ def test_diversity_of_every_query(spark):
     merged = R.decayed(R.merged_legs(v, k).join(views.file(spark, SF).select("id", "path"), "id"), F.lit("2025-12-01").cast("timestamp")).toPandas()
     for q, rows in merged.groupby("query"):
         assert got[q] == greedy([(i, s, texts[i]) for i, s in zip(rows["id"], rows["score"], strict=True)], 10), q
+
+
+def test_pipeline_takes_every_step(spark):
+    texts = {r.id: r.text for r in views.file(spark, SF).collect()}
+    k = R.rank_scale(PR._by_keyword(spark, SF, 30).withColumn("rank", -F.col("score")), by=("query",))
+    legs, files, now = (PR._near(spark, SF, 30), k), views.file(spark, SF).select("id", "path", "text"), F.lit("2025-12-01").cast("timestamp")
+    merged = R.decayed(R.merged_legs(*legs).join(files.select("id", "path"), "id"), now).where("score >= 0.05").toPandas()
+    kept = {q: [(i, s, texts[i]) for i, s in zip(rows["id"], rows["score"], strict=True)] for q, rows in merged.groupby("query")}
+    order = lambda df: {q: rows.sort_values("rank")["id"].tolist() for q, rows in df.toPandas().groupby("query")}
+    diverse, plain = order(catalog.QUERIES["r12_pipeline"](spark, SF)), order(R.hybrid(*legs, files, now, min_score=0.05, mmr=False))
+    assert diverse == {q: greedy(rows, 10) for q, rows in kept.items()}
+    assert plain == {q: [i for i, _, _ in sorted(rows, key=lambda r: (-r[1], r[0]))][:10] for q, rows in kept.items()}
+    assert diverse != plain  # the last step is more than a slice
