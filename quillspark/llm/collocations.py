@@ -1,23 +1,24 @@
 """Phrase collocations: merged count-min sketches, an exact second pass, scores and subsumption.
 
 First pass: each task hashes every phrase of 1 to 5 words and its language into the rows of a
-count-min sketch. Sketches go out in slices, saturated at the least count, and slices of one
-place are added up in a tree of fixed fan-in. What is kept of the sum is a bit a cell: is it at
-least the least count? A sketch only overestimates, so a phrase with a zero bit is rare.
+count-min sketch. Tasks send the cells that they hit, as gaps and counts saturated at the least
+count, in slices; slices of one place are added up in a tree of wide fixed fan-in. What is kept of
+the sum is a bit a cell: is it at least the least count? A sketch only overestimates, so a phrase
+with a zero bit is rare.
 
 Second pass: phrases whose bits are all set, and whose shorter parts' bits are too, are counted
 exactly, by their words: each task adds up its slices of text, one shuffle adds up tasks. Parts
 of a frequent phrase are frequent, so both sides of every cut are among the counts.
 
 A wrong survivor costs some bytes and changes nothing, so the sketch's width decides only how
-many rare phrases the second pass counts. It is the same at every size (2^24 cells a row: 4 MB of
-bits for every task), so a task's sketch takes the same room however large the corpus. It screens
-well up to about half the least count of phrases a cell; a corpus beyond that wants more cells or
-a higher least count, or else has more phrases counted exactly, with the same result.
+many rare phrases the second pass counts. It grows with the text, so that a cell gets about half the
+least count of phrases (2^24 cells a row for 1 GB of text, 2^27 for 8 GB, 2^29 at most: 128 MB of bits
+for every task). What a task sends and holds doesn't grow with it but by bits: only cells that it hits count.
 
-Tasks send their counts as compressed columns by a hash of the phrase; what meets in one bucket is
-added up as it streams by. A task holds at most HELD_ROWS counts: beyond that its sums so far go on, and
-a last aggregate, which can spill, adds them up.
+Counts are tries: a row is the row of the phrase without its last word, that word's number, and its
+occurrences, so a phrase takes some four bytes in the shuffle. A trie is cut into buckets by a hash of
+language and first two words; what meets in one bucket is added up as it streams by. A task holds at most
+HELD_ROWS counts: beyond that its sums so far go on, and a last aggregate, which can spill, adds them up.
 
 A hot language or phrase is one number a task before the shuffle. Scores use 38-digit integers.
 
@@ -28,7 +29,9 @@ phrase in UTF-8 order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -38,18 +41,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import materialize, table
+from quillspark.llm.common import discard, materialize, table
 
 LEAST, LONGEST, TOP, SUBSUME = 100, 5, 2000, 100
 ROWS = 2
-#: Cells of a row and of a slice of it, as powers of two.
-BITS, SLICE_BITS = 24, 18
-#: Sketches added up by one task and slice.
-FAN = 64
+#: Cells of a row, at least and at most, and of a slice of it, as powers of two; phrases a byte of text.
+BITS, MOST_BITS, SLICE_BITS, PER_BYTE = 24, 29, 18, 0.6
+#: Sketches added up by one task and slice, and hashes held by a task before it sends their cells.
+FAN, HELD_HASHES = 1024, 1 << 23
 SLICE_BYTES = 4 << 20
 EXACT_BYTES = 4 << 20
 #: Buckets of phrases, and rows of counts held before they are added up.
-BUCKETS, HELD_ROWS = 128, 600_000
+BUCKETS, HELD_ROWS = 128, 1_000_000
 #: Languages whose totals are sent to all phrases; more meet them by a shuffle.
 MANY_LANGS = 10_000
 UNKNOWN = "und"
@@ -84,18 +87,23 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits of each word; equal words have equal ones."""
-        if not self.n:
-            return np.zeros(0, np.uint64)
-        size = np.diff(self.begin, append=len(self.bytes))
-        place = np.arange(len(self.bytes)) - np.repeat(self.begin, size)
-        h = np.add.reduceat((self.bytes.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place], self.begin)
-        return mix(h + size.astype(np.uint64))
+        return word_hashes(self.bytes, self.begin)
 
     def encoded(self) -> pa.DictionaryArray:
         offsets = np.append(self.begin, len(self.bytes)).astype(np.int32)
         return pa.StringArray.from_buffers(self.n, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.bytes))).dictionary_encode()
 
 
+def word_hashes(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64 bits of each of the words that lie end to end."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    size = np.diff(begin, append=len(raw))
+    place = np.arange(len(raw)) - np.repeat(begin, size)
+    h = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place], begin)
+    return mix(h + size.astype(np.uint64))
+
+
 def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.full(n, _A)) if n else np.zeros(0, np.uint64)
 
@@ -150,74 +158,113 @@ def _held(least: int) -> np.dtype:
     return np.dtype(np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.uint32)
 
 
+def width_for(documents: DataFrame, least: int) -> int:
+    """Bits of a row that leaves a cell about half of ``least`` phrases."""
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(BITS, math.ceil(math.log2(max(1, 2 * PER_BYTE * size / least)))))
+
+
+_SLICES = "part long, slot long, cells int, counts binary"
+
+
 def sketches(documents: DataFrame, bits: int, least: int) -> DataFrame:
-    """part, slot, counts: every task's sketch in slices, saturated at ``least``; empty slices are left out."""
-    kind, width = _held(least), min(SLICE_BITS, bits)
+    """part, slot, cells, counts: every task's sketch in slices, saturated at ``least``, as the cells that aren't empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = None
+        held, size, part = [], 0, TaskContext.get().partitionId()
         for b in batches:
             for texts, langs in _slices(b, SLICE_BYTES):
-                if sketch is None:
-                    sketch = np.zeros((ROWS, 1 << bits), np.uint32)
                 for _, h in phrase_hashes(Words(texts), langs):
-                    for row, cell in zip(sketch, cells(h, bits), strict=True):
-                        np.add.at(row, cell, np.uint32(1))
-        if sketch is not None:
-            part = TaskContext.get().partitionId()
-            yield from _sliced(part, ((i, s) for i, s in enumerate(sketch.reshape(-1, 1 << width))), least, kind)
-
-    return documents.mapInArrow(run, "part long, slot long, counts binary")
-
-
-def _sliced(part: int, slices, least: int, kind: np.dtype) -> Iterator[pa.RecordBatch]:
-    codec = pa.Codec("zstd", compression_level=1)
-    for slot, s in slices:
-        if s.any():
-            raw = np.minimum(s, least).astype(kind).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([slot]), pa.array([codec.compress(raw, asbytes=True)], pa.binary())], ["part", "slot", "counts"])
+                    held.append(h)
+                    size += len(h)
+                if size > HELD_HASHES:
+                    yield from _sketch(part, held, bits, least)
+                    held, size = [], 0
+        if size:
+            yield from _sketch(part, held, bits, least)
+
+    return documents.mapInArrow(run, _SLICES)
+
+
+def _sketch(part: int, hashes: list[np.ndarray], bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    for row, cell in enumerate(cells(np.concatenate(hashes), bits)):
+        cell.sort()
+        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        n = np.diff(first, append=len(cell))
+        yield _sliced(part, cell[first].astype(np.int64) + (row << bits), n, bits, least)
+
+
+def _sliced(part: int, at: np.ndarray, n: np.ndarray, bits: int, least: int) -> pa.RecordBatch:
+    """Ascending cells, all rows end to end, and what they count: the low and high bytes of gaps, then counts."""
+    kind, width, codec = _held(least), min(SLICE_BITS, bits), pa.Codec("zstd", compression_level=1)
+    edges = [0, *(np.flatnonzero(np.diff(at >> width)) + 1).tolist(), len(at)]
+    slots, sizes, out = [], [], []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        gap = np.diff(at[lo:hi] & ((1 << width) - 1), prepend=0)
+        raw = gap.astype(np.uint8).tobytes() + (gap >> 8).astype(np.uint16).tobytes() + np.minimum(n[lo:hi], least).astype(kind).tobytes()
+        slots.append(int(at[lo]) >> width)
+        sizes.append(hi - lo)
+        out.append(codec.compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(slots, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["part", "slot", "cells", "counts"])
+
+
+def _unsliced(n: int, raw: pa.Buffer, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells within a slice, and their counts."""
+    kind = _held(least)
+    got = pa.Codec("zstd").decompress(raw, n * (3 + kind.itemsize))
+    gap = np.frombuffer(got, np.uint8, n).astype(np.int64) + (np.frombuffer(got, np.uint16, n, n).astype(np.int64) << 8)
+    return np.cumsum(gap), np.frombuffer(got, kind, n, 3 * n)
 
 
 def merged(slices: DataFrame, bits: int, least: int) -> DataFrame:
     """Slices of one slot and part added up."""
-    kind, width = _held(least), min(SLICE_BITS, bits)
+    width = min(SLICE_BITS, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, key, total = pa.Codec("zstd"), None, None
+        key, total = None, None
+
+        def done() -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return _sliced(key[0], at + (key[1] << width), total[at], bits, least)
+
         for b in batches:
-            for part, slot, raw in zip(*(b.column(c).to_pylist() for c in ("part", "slot", "counts")), strict=True):
+            for part, slot, n, raw in zip(*(b.column(c).to_pylist() for c in ("part", "slot", "cells")), b.column("counts"), strict=True):
                 if (part, slot) != key:
                     if key is not None:
-                        yield from _sliced(key[0], [(key[1], total)], least, kind)
+                        yield done()
                     key, total = (part, slot), np.zeros(1 << width, np.uint64)
-                total += np.frombuffer(codec.decompress(raw, kind.itemsize << width), kind)
+                at, f = _unsliced(n, raw.as_buffer(), least)
+                total[at] += f
         if key is not None:
-            yield from _sliced(key[0], [(key[1], total)], least, kind)
+            yield done()
 
-    return slices.repartition("part", "slot").sortWithinPartitions("part", "slot").mapInArrow(run, "part long, slot long, counts binary")
+    return slices.repartition("part", "slot").sortWithinPartitions("part", "slot").mapInArrow(run, _SLICES)
 
 
 def frequent_bits(documents: DataFrame, bits: int, least: int) -> np.ndarray:
     """For each row of the merged sketch, a bit a cell: does it reach ``least``? (ROWS x 2^bits / 8 bytes)"""
-    kind, width = _held(least), min(SLICE_BITS, bits)
-    now = materialize(sketches(documents, bits, least), "sketches")
-    parts = (now.agg(F.max("part")).first()[0] or 0) + 1
+    width = min(SLICE_BITS, bits)
+    now, written = sketches(documents, bits, least), []
     while True:
-        parts = -(-parts // FAN)
-        now = merged(now.withColumn("part", F.floor(F.col("part") / FAN)), bits, least)
-        if parts == 1:
+        now = materialize(merged(now.withColumn("part", F.floor(F.col("part") / FAN)), bits, least), "sketches")
+        written.append(now)
+        if not now.agg(F.max("part")).first()[0]:
             break
-        now = materialize(now, "sketches")
 
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
         for b in batches:
-            got = [np.packbits(np.frombuffer(codec.decompress(x, kind.itemsize << width), kind) >= least).tobytes() for x in b.column("counts").to_pylist()]
+            got = []
+            for n, raw in zip(b.column("cells").to_pylist(), b.column("counts"), strict=True):
+                at, f = _unsliced(n, raw.as_buffer(), least)
+                full = np.zeros(1 << width, bool)
+                full[at[f >= least]] = True
+                got.append(np.packbits(full).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("slot"), pa.array(got, pa.binary())], ["slot", "bits"])
 
     out = np.zeros((ROWS << (bits - width), (1 << width) // 8), np.uint8)
     for r in now.mapInArrow(reach, "slot long, bits binary").toLocalIterator():
         out[r.slot] = np.frombuffer(r.bits, np.uint8)
+    discard(*written)
     return out.reshape(ROWS, -1)
 
 
@@ -230,62 +277,149 @@ def _set(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     return ok
 
 
-def slice_counts(texts: pa.Array, langs: list[str], bits: np.ndarray, width: int) -> pa.Table:
-    """lang, words, phrase, h (its hash), f: exact counts, in these texts, of the phrases that the sketch lets through;
-    with 0 words, all words of a language."""
+class Counts(NamedTuple):
+    """Phrases as a trie. ``levels`` has the phrases of 0, 1 … LONGEST words (of 0: all words of a language), in
+    order of their first two arrays: row of the phrase without its last word, number of that word (of 0: of the
+    language), occurrences."""
+
+    langs: pa.Array
+    words: pa.Array
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @property
+    def size(self) -> int:
+        return sum(len(f) for _, _, f in self.levels)
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its place among the distinct ones, and those, ascending."""
+    ids, distinct = pd.factorize(key)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[ids], distinct[order]
+
+
+def slice_counts(texts: pa.Array, langs: list[str], bits: np.ndarray, width: int) -> Counts:
+    """Exact counts, in these texts, of the phrases that the sketch lets through."""
     w = Words(texts)
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
     lang = np.array([number[x] for x in langs], np.int64)[w.text] if w.n else np.zeros(0, np.int64)
     encoded = w.encoded()
-    code, vocabulary = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary
-    of_lang = np.array([lang_hash(x) for x in names], np.uint64)
-    out = [(np.bincount(lang, minlength=len(names)), np.arange(len(names)), np.full(len(names), -1), of_lang, 0)]
+    code, n = encoded.indices.to_numpy().astype(np.int64), max(1, len(encoded.dictionary))
+    levels = [(np.zeros(len(names), np.int64), np.arange(len(names)), np.bincount(lang, minlength=len(names)))]
     alive = np.zeros(w.n + 1, bool)
-    same = np.zeros(w.n + 1, np.int64)  # number of the phrase that begins here
+    same = np.zeros(w.n + 1, np.int64)  # row of the phrase that begins here
     for k, (at, h) in enumerate(phrase_hashes(w, langs), 1):
         ok = _set(bits, h, width)
         if k > 1:
             ok &= alive[at] & alive[at + 1]
-        at, h = at[ok], h[ok]
-        key = (lang[at] if k == 1 else same[at]) * max(1, len(vocabulary)) + code[at + k - 1]
-        ids, distinct = pd.factorize(key)
+        at = at[ok]
+        ids, distinct = _numbered((lang[at] if k == 1 else same[at]) * n + code[at + k - 1])
         alive[:] = False
         alive[at] = True
         same[at] = ids
-        place = np.zeros(len(distinct), np.int64)
-        place[ids[::-1]] = np.arange(len(at))[::-1]
-        first = at[place]
-        out.append((np.bincount(ids, minlength=len(distinct)), lang[first], first, h[place], k))
-    tables = []
-    for f, of, first, h, k in out:
-        words = [vocabulary.take(pa.array(code[first + j])) for j in range(k)]
-        phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0] if k else pa.array([""] * len(f), pa.string())
-        tables.append(pa.table({"lang": pa.array(names, pa.string()).take(pa.array(of)), "words": pa.array(np.full(len(f), k, np.int32)), "phrase": phrase, "h": pa.array(h), "f": pa.array(f.astype(np.int64))}))
-    return pa.concat_tables(tables)
-
-
-def _packed(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-    """bucket, counts: a task's counts added up, as compressed columns."""
-    t = added(tables)
-    bucket = t.column("h").to_numpy() % np.uint64(BUCKETS)
-    for k in np.unique(bucket).tolist():
-        sink = pa.BufferOutputStream()
-        part = t.filter(pa.array(bucket == k)).combine_chunks()
-        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            w.write_table(part)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "counts"])
-
-
-def added(tables: list[pa.Table]) -> pa.Table:
-    keys = ["lang", "words", "phrase", "h"]
-    return pa.concat_tables(tables).group_by(keys).aggregate([("f", "sum")]).rename_columns([*keys, "f"])
-
-
-def phrase_counts(documents: DataFrame, least: int = LEAST, width: int = BITS) -> DataFrame:
+        levels.append((distinct // n, distinct % n, np.bincount(ids, minlength=len(distinct))))
+    used = np.unique(levels[1][1])  # words of longer phrases are among them
+    levels[1:] = [(before, np.searchsorted(used, last), f) for before, last, f in levels[1:]]
+    return Counts(pa.array(names, pa.string()), encoded.dictionary.take(pa.array(used)), levels)
+
+
+def _joined(parts: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct strings of all parts, and for each part their numbers."""
+    both = pa.concat_arrays(parts).dictionary_encode()
+    return both.dictionary, np.split(both.indices.to_numpy().astype(np.int64), np.cumsum([len(x) for x in parts])[:-1])
+
+
+def added(held: list[Counts]) -> Counts:
+    """Counts added up."""
+    if len(held) == 1:
+        return held[0]
+    langs, lang_of = _joined([x.langs for x in held])
+    words, word_of = _joined([x.words for x in held])
+    rows, levels = [np.zeros(1, np.int64)] * len(held), []
+    for k in range(LONGEST + 1):
+        n, last_of = max(1, len(words if k else langs)), word_of if k else lang_of
+        ids, distinct = _numbered(np.concatenate([rows[i][x.levels[k][0]] * n + last_of[i][x.levels[k][1]] for i, x in enumerate(held)]))
+        f = np.zeros(len(distinct), np.int64)
+        np.add.at(f, ids, np.concatenate([x.levels[k][2] for x in held]))
+        levels.append((distinct // n, distinct % n, f))
+        rows = np.split(ids, np.cumsum([len(x.levels[k][2]) for x in held])[:-1])
+    return Counts(langs, words, levels)
+
+
+def _packed(t: Counts) -> pa.RecordBatch:
+    """bucket, counts: counts cut by a hash of language and first two words, and compressed. Shorter phrases stand, as
+    many as they occur, in a bucket of their own, and with none where longer ones need them."""
+    offsets = np.frombuffer(t.words.buffers()[1], np.int32)[t.words.offset:t.words.offset + len(t.words) + 1].astype(np.int64) if len(t.words) else np.zeros(1, np.int64)
+    word = word_hashes(np.frombuffer(t.words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]], offsets[:-1] - offsets[0])
+    h, of = np.array([lang_hash(x) for x in t.langs.to_pylist()], np.uint64), []
+    for k, (before, last, _) in enumerate(t.levels):
+        if k:
+            h = mix(h[before] * _A + word[last]) if k < 3 else h[before]
+        of.append((h % np.uint64(BUCKETS)).astype(np.int64))
+    n = [max(1, len(x)) for x in of]
+    placed = [np.sort(x * m + np.arange(len(x))) for x, m in zip(of, n, strict=True)]  # bucket and row as one number
+    for k in (1, 0):
+        bucket, row = np.divmod(placed[k + 1], n[k + 1])
+        placed[k] = np.union1d(placed[k], bucket * n[k] + t.levels[k + 1][0][row])
+    begins = [np.searchsorted(x, np.arange(BUCKETS + 1) * m) for x, m in zip(placed, n, strict=True)]
+    columns = []
+    for k, (before, last, f) in enumerate(t.levels):
+        bucket, row = np.divmod(placed[k], n[k])
+        up = np.searchsorted(placed[k - 1], bucket * n[k - 1] + before[row]) - begins[k - 1][bucket] if k else before[row]
+        columns.append((up, last[row], np.where(of[k][row] == bucket, f[row], 0)))
+    keys, out = [], []
+    for b in range(BUCKETS):
+        part = [tuple(c[x[b]:x[b + 1]] for c in col) for x, col in zip(begins, columns, strict=True)]
+        if len(part[0][0]):
+            used, last = np.unique(np.concatenate([x[1] for x in part[1:]]), return_inverse=True)
+            keys.append(b)
+            out.append(_bytes([len(x[0]) for x in part], t.langs.take(pa.array(part[0][1])), t.words.take(pa.array(used)), np.concatenate([np.diff(x[0], prepend=0) for x in part]), last, np.concatenate([x[2] for x in part])))
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(out, pa.binary())], ["bucket", "counts"])
+
+
+def _bytes(sizes: list[int], langs: pa.Array, words: pa.Array, up: np.ndarray, last: np.ndarray, f: np.ndarray) -> bytes:
+    def row(x: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+
+    small = [row(pa.array(x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0)))) for x in (up, last, f)]
+    whole = pc.binary_join(row(words), " ")  # no word has a space
+    t = pa.RecordBatch.from_arrays([row(pa.array(sizes, pa.int64())), row(langs), whole, *small], ["sizes", "langs", "words", "up", "last", "f"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: pa.Buffer) -> Counts:
+    t = pa.ipc.open_stream(raw).read_next_batch()
+    sizes, up, last, f = (t.column(c).flatten().to_numpy().astype(np.int64) for c in ("sizes", "up", "last", "f"))
+    cuts = np.cumsum(sizes)[:-1]
+    last = np.concatenate([np.arange(sizes[0]), last])
+    words = pc.split_pattern(t.column("words"), " ").flatten() if len(t.column("words")[0].as_py()) else pa.array([], pa.string())
+    return Counts(t.column("langs").flatten(), words, list(zip([np.cumsum(x) for x in np.split(up, cuts)], np.split(last, cuts), np.split(f, cuts), strict=True)))
+
+
+def _listed(t: Counts, least: int) -> Iterator[pa.RecordBatch]:
+    """lang, words, phrase, f of phrases with at least ``least`` occurrences, and of languages."""
+    for k, (_, _, f) in enumerate(t.levels):
+        at = row = np.flatnonzero(f >= (least if k else 1))
+        words = []
+        for before, last, _ in t.levels[k:0:-1]:
+            words.insert(0, t.words.take(pa.array(last[row])))
+            row = before[row]
+        phrase = pc.binary_join_element_wise(*words, " ") if k > 1 else words[0] if k else pa.array([""] * len(at), pa.string())
+        yield pa.RecordBatch.from_arrays([t.langs.take(pa.array(t.levels[0][1][row])), pa.array(np.full(len(at), k, np.int32)), phrase, pa.array(f[at].astype(np.int64))], ["lang", "words", "phrase", "f"])
+
+
+def phrase_counts(documents: DataFrame, least: int = LEAST, width: int | None = None) -> DataFrame:
     """lang, words, phrase, f: every phrase of 1 to LONGEST words with at least ``least`` occurrences, exactly;
     with 0 words and an empty phrase, all words of a language."""
     rows = documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    if width is None:
+        width = width_for(rows, least)
     bits = rows.sparkSession.sparkContext.broadcast(frequent_bits(rows, width, least))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,41 +427,34 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, width: int = BITS) -
         for b in batches:
             for texts, langs in _slices(b, EXACT_BYTES):
                 held.append(slice_counts(texts, langs, bits.value, width))
-                size += held[-1].num_rows
+                size += held[-1].size
                 if size > HELD_ROWS:
                     held = [added(held)]
-                    size = held[0].num_rows
+                    size = held[0].size
                     if 2 * size > HELD_ROWS:
-                        yield from _packed(held)
+                        yield _packed(held[0])
                         held, size = [], 0
         if held:
-            yield from _packed(held)
+            yield _packed(added(held))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held, size, parted = None, [], 0, False
-
-        def done(whole: bool) -> Iterator[pa.RecordBatch]:
-            t = added(held)
-            if whole:  # nothing of this bucket has gone before, so these are the totals
-                t = t.filter(pc.or_(pc.equal(t.column("words"), 0), pc.greater_equal(t.column("f"), least)))
-            yield from t.select(["lang", "words", "phrase", "f"]).to_batches()
-
         for b in batches:
             for k, raw in zip(b.column("bucket").to_pylist(), b.column("counts"), strict=True):
                 if k != bucket:
-                    if held:
-                        yield from done(not parted)
+                    if held:  # if nothing of this bucket has gone before, these are the totals
+                        yield from _listed(added(held), 1 if parted else least)
                     bucket, held, size, parted = k, [], 0, False
-                held.append(pa.ipc.open_stream(raw.as_buffer()).read_all())
-                size += held[-1].num_rows
+                held.append(_unpacked(raw.as_buffer()))
+                size += held[-1].size
                 if size > HELD_ROWS:
                     held = [added(held)]
-                    size = held[0].num_rows
+                    size = held[0].size
                     if 2 * size > HELD_ROWS:  # more phrases than a task should hold: their sums go on as they are
-                        yield from done(False)
+                        yield from _listed(held[0], 1)
                         held, size, parted = [], 0, True
         if held:
-            yield from done(not parted)
+            yield from _listed(added(held), 1 if parted else least)
 
     packed = rows.mapInArrow(count, "bucket int, counts binary").repartition("bucket").sortWithinPartitions("bucket")
     sums = packed.mapInArrow(total, "lang string, words int, phrase string, f long")

@@ -90,6 +90,37 @@ def test_scores_are_exact_beyond_64_bits(spark, monkeypatch):
     assert r.score == 1000 * rows[1][3] * rows[0][3] // (rows[2][3] * rows[3][3])
 
 
+def test_sketch_widens_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(C, "BITS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 3000, 400)), "en") for _ in range(40)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    monkeypatch.setattr(C, "HELD_HASHES", 5000)  # a task sends its sketch in parts
+    share = lambda bits: np.unpackbits(C.frequent_bits(df, bits, 10)).mean()
+    assert share(8) == 1 and share(C.width_for(df, 10)) < 0.2  # at its least width it screens nothing
+    everything = C.phrase_counts(df, 10, 8).collect()
+    assert sorted(map(tuple, C.phrase_counts(df, 10).collect())) == sorted(map(tuple, everything))
+
+
+def test_counts_are_sent_in_few_bytes():
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"word{x}" for x in rng.integers(0, 800, 500) ** 2 // 800) for _ in range(400)])
+    langs = ["en", "a b", "", "en"] * 100
+    bits = np.full((C.ROWS, 1 << 5), 255, np.uint8)  # lets everything through
+    whole = C.slice_counts(texts, langs, bits, 8)
+    sent = [x.as_buffer() for x in C._packed(whole).column("counts")]
+    assert len(sent) == C.BUCKETS and sum(x.size for x in sent) < 8 * whole.size  # phrases in full took 21
+    parts = [C.slice_counts(texts.slice(i, 100), langs[i:i + 100], bits, 8) for i in range(0, 400, 100)]
+    again = C.added([C._unpacked(x.as_buffer()) for p in parts for x in C._packed(p).column("counts")])
+    listed = lambda t: sorted(tuple(r.values()) for b in C._listed(t, 1) for r in b.to_pylist())
+    want = Counter()
+    for lang, text in zip(langs, texts.to_pylist(), strict=True):
+        w = text.split()
+        want.update((lang, k, " ".join(w[i:i + k])) for k in range(1, 6) for i in range(len(w) - k + 1))
+        want[lang, 0, ""] += len(w)
+    assert listed(whole) == listed(again) == sorted((*p, f) for p, f in want.items())
+
+
 # --- periodic runs --------------------------------------------------------------
 
 def brute_runs(w):
