@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -135,9 +136,9 @@ def phrase_hashes(words: Words, langs: list[str]) -> Iterator[tuple[np.ndarray,
         yield at, now
 
 
-def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    """A cell in each row of the sketch."""
-    return [(h >> np.uint64(32 * r)).astype(np.uint32) >> np.uint32(32 - bits) for r in range(ROWS)]
+def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """Cells in a row of the sketch."""
+    return (h >> np.uint64(32 * row)).astype(np.uint32) >> np.uint32(32 - bits)
 
 
 def _slices(b: pa.RecordBatch, most: int) -> Iterator[tuple[pa.Array, list[str]]]:
@@ -187,25 +188,30 @@ def sketches(documents: DataFrame, bits: int, least: int) -> DataFrame:
 
 
 def _sketch(part: int, hashes: list[np.ndarray], bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    for row, cell in enumerate(cells(np.concatenate(hashes), bits)):
+    width = min(SLICE_BITS, bits)
+    for row in range(ROWS):
+        cell = np.concatenate([cells(h, row, bits) for h in hashes])
         cell.sort()
-        first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-        n = np.diff(first, append=len(cell))
-        yield _sliced(part, cell[first].astype(np.int64) + (row << bits), n, bits, least)
+        edges = np.searchsorted(cell, np.arange(1 << (bits - width), dtype=np.uint32) << np.uint32(width)).tolist()
+        found = []
+        for slot, (lo, hi) in enumerate(pairwise([*edges, len(cell)])):
+            if lo < hi:
+                c = cell[lo:hi] & np.uint32((1 << width) - 1)
+                first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+                found.append(_sliced((row << (bits - width)) + slot, c[first].astype(np.int64), np.diff(first, append=len(c)), least))
+        yield _rows_of(part, found)
+
+
+def _sliced(slot: int, at: np.ndarray, n: np.ndarray, least: int) -> tuple[int, int, bytes]:
+    """Ascending cells of a slice, and what they count: the low and high bytes of gaps, then counts."""
+    gap = np.diff(at, prepend=0)
+    raw = gap.astype(np.uint8).tobytes() + (gap >> 8).astype(np.uint16).tobytes() + np.minimum(n, least).astype(_held(least)).tobytes()
+    return slot, len(at), pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
 
-def _sliced(part: int, at: np.ndarray, n: np.ndarray, bits: int, least: int) -> pa.RecordBatch:
-    """Ascending cells, all rows end to end, and what they count: the low and high bytes of gaps, then counts."""
-    kind, width, codec = _held(least), min(SLICE_BITS, bits), pa.Codec("zstd", compression_level=1)
-    edges = [0, *(np.flatnonzero(np.diff(at >> width)) + 1).tolist(), len(at)]
-    slots, sizes, out = [], [], []
-    for lo, hi in zip(edges, edges[1:], strict=False):
-        gap = np.diff(at[lo:hi] & ((1 << width) - 1), prepend=0)
-        raw = gap.astype(np.uint8).tobytes() + (gap >> 8).astype(np.uint16).tobytes() + np.minimum(n[lo:hi], least).astype(kind).tobytes()
-        slots.append(int(at[lo]) >> width)
-        sizes.append(hi - lo)
-        out.append(codec.compress(raw, asbytes=True))
-    return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(slots, pa.int64()), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["part", "slot", "cells", "counts"])
+def _rows_of(part: int, found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    slots, sizes, raw = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([part] * len(slots), pa.int64()), pa.array(slots, pa.int64()), pa.array(sizes, pa.int32()), pa.array(raw, pa.binary())], ["part", "slot", "cells", "counts"])
 
 
 def _unsliced(n: int, raw: pa.Buffer, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +231,7 @@ def merged(slices: DataFrame, bits: int, least: int) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             at = np.flatnonzero(total)
-            return _sliced(key[0], at + (key[1] << width), total[at], bits, least)
+            return _rows_of(key[0], [_sliced(key[1], at, total[at], least)])
 
         for b in batches:
             for part, slot, n, raw in zip(*(b.column(c).to_pylist() for c in ("part", "slot", "cells")), b.column("counts"), strict=True):
@@ -272,7 +278,8 @@ def frequent_bits(documents: DataFrame, bits: int, least: int) -> np.ndarray:
 
 def _set(bits: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     ok = np.ones(len(h), bool)
-    for row, cell in zip(bits, cells(h, width), strict=True):
+    for r, row in enumerate(bits):
+        cell = cells(h, r, width)
         ok &= (row[cell >> np.uint32(3)] >> (np.uint32(7) - (cell & np.uint32(7))) & 1).astype(bool)
     return ok
 
